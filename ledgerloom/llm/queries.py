@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm import sql
 from ledgerloom.llm.common import table
 
 
@@ -17,6 +18,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm import exact_dedup
+
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm import toxicity
 
@@ -32,8 +45,8 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_bpe": op4_bpe, "op9_toxicity": op9_toxicity, "op10_licenses": op10_licenses}
+    return {"op4_bpe": op4_bpe, "op7_exact_dedup": op7_exact_dedup, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_dedup": sql.OP7, "op8_mixing": sql.OP8}
