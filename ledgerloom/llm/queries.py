@@ -10,6 +10,25 @@ from ledgerloom.llm import sql
 from ledgerloom.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm import language
+
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm import topk
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -18,6 +37,19 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm import url_rules
+
+    judged = url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm import near_dedup
+
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm import exact_dedup
 
@@ -45,8 +77,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_bpe": op4_bpe, "op7_exact_dedup": op7_exact_dedup, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity, "op10_licenses": op10_licenses}
+    return {
+        "op1_quality": op1_quality, "op2_language": op2_language, "op3_topk": op3_topk, "op4_bpe": op4_bpe, "op5_urls": op5_urls,
+        "op6_near_dedup": op6_near_dedup, "op7_exact_dedup": op7_exact_dedup, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity,
+        "op10_licenses": op10_licenses,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": sql.OP7, "op8_mixing": sql.OP8}
+    return {"op7_exact_dedup": sql.OP7, "op8_mixing": sql.OP8, "op3_topk": sql.OP3}
