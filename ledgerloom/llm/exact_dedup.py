@@ -10,6 +10,7 @@ their texts instead.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,26 +33,28 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` from files, with its rows' locators: the file's path and the place of the row in it."""
-    return docs.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+def located(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` of ``docs`` and the rows' locators: ``file``, the file's path, and ``row``, the place in it."""
+    meta = docs.metadataColumn("_metadata")
+    return docs.select(*columns, meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+
+
+def whole(docs: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs can clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
 
 
 def from_files(docs: DataFrame) -> DataFrame:
     """``docs`` itself if it reads Parquet files, whose rows have lasting places; else written to the shared folder first."""
     try:
-        located(docs).schema  # noqa: B018
+        located(docs)
         return docs
-    except Exception as e:
-        if "_metadata" not in str(e):
-            raise
+    except AnalysisException:
         return written(docs, "dedup-input")
 
 
 def digests(docs: DataFrame, digest=sha256) -> DataFrame:
-    return located(docs).select(
-        digest(normalised(F.col("text"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_file").alias("file"), F.col("_row").alias("row")
-    )
+    return located(docs, digest(normalised(docs["text"])).alias("digest"), docs["doc_id"].cast("long").alias("doc_id"))
 
 
 def _rank() -> Column:
@@ -106,16 +109,17 @@ def decide(docs: DataFrame, digest=sha256) -> DataFrame:
         return rows.withColumns({"keep": F.lit(None).cast("struct<no_id:boolean,doc_id:long,file:string,row:long>"), "group_size": F.lit(0).cast("long")})
     state = written(keepers(spark, changes), "dedup-keepers")
     hits = state.where("group_size > 1").select("digest")
-    texts = located(docs).select(digest(normalised(F.col("text"))).alias("digest"), normalised(F.col("text")).alias("_text"), "_file", "_row")
+    text = normalised(docs["text"])
+    texts = located(docs, digest(text).alias("digest"), text.alias("text"))
     hit = texts.join(hits, "digest", "left_semi")
-    clashes = hit.groupBy("digest").agg(F.min("_text").alias("a"), F.max("_text").alias("b")).where("a != b").select("digest")
+    clashes = hit.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b").select("digest")
     clashes = written(clashes, "dedup-clashes")
     if not clashes.limit(1).count():
         return rows.join(state, "digest")
-    own = texts.join(clashes, "digest", "left_semi").select(F.col("_file").alias("file"), F.col("_row").alias("row"), "_text")
+    own = texts.join(clashes, "digest", "left_semi").select("file", "row", "text")
     own = rows.join(own, ["file", "row"])
-    exact = own.groupBy("digest", "_text").agg(F.min(_rank()).alias("keep"), F.count("*").alias("group_size"))
-    return rows.join(clashes, "digest", "left_anti").join(state, "digest").unionByName(own.join(exact, ["digest", "_text"]).drop("_text"))
+    exact = own.groupBy("digest", "text").agg(F.min(_rank()).alias("keep"), F.count("*").alias("group_size"))
+    return rows.join(clashes, "digest", "left_anti").join(state, "digest").unionByName(own.join(exact, ["digest", "text"]).drop("text"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -135,5 +139,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     docs = from_files(docs)
     kept = decide(docs).where((F.col("keep.file") == F.col("file")) & (F.col("keep.row") == F.col("row")))
-    kept = kept.select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    return located(docs).join(kept, ["_file", "_row"], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return located(docs, whole(docs)).join(kept.select("file", "row"), ["file", "row"], "left_semi").select("doc.*")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ledgerloom.llm.common import written
+from ledgerloom.llm.exact_dedup import whole
 
 MAX_EPOCHS = 3
 #: The weights of the sources in order of their names, repeating.
@@ -125,6 +126,6 @@ def mix(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS, weights
 def mixed(docs: DataFrame, seed: str = SEED, max_epochs: int = MAX_EPOCHS, weights=WEIGHTS) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with all its columns."""
     _, sources = plan(docs, seed, max_epochs, weights)
-    keyed = docs.withColumns({"_key": key_of(F.col("source")), "_place": order_of(F.col("doc_id"), seed), "_id": F.col("doc_id").cast("long")})
-    rows = keyed.join(sources.withColumnsRenamed({c: f"_{c}" for c in ("source_size", "target")}).withColumnRenamed("key", "_key"), "_key")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(True), repeats(F.col("_place"), F.col("_id")).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(whole(docs), key_of(docs["source"]).alias("key"), order_of(docs["doc_id"], seed).alias("place"), docs["doc_id"].cast("long").alias("id"))
+    rows = keyed.join(sources, "key")
+    return rows.select("doc", F.explode(F.array_repeat(F.lit(True), repeats(F.col("place"), F.col("id")).cast("int")))).select("doc.*")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import ids_and_texts, map_texts, mix, written
+from ledgerloom.llm.exact_dedup import whole
 
 #: Texts that the scorer is trained on at most, in the order of a hash of doc_id.
 MAX_TRAIN_ROWS = 16_000
@@ -271,5 +272,5 @@ def classify(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
 
 def good_documents(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    judged = judge(docs.withColumn("_judged", F.col("text").cast("string")), train(docs, max_rows), "_judged")
-    return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole(docs), docs["text"].cast("string").alias("text"))
+    return judge(rows, train(docs, max_rows)).where("kept").select("doc.*")
