@@ -1 +1,206 @@
-"""Jobs."""
+"""Jobs on the graph of the order tables: suppliers, parts, customers, nations and regions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import texts
+from ledgerloom.jobs.registry import query
+from ledgerloom.jobs.tables import read
+from ledgerloom.operators import graph, relax
+
+SUPPLIES = """e AS (SELECT DISTINCT 'supplier:' || l_suppkey AS source, 'customer:' || o_custkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def supplies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, target, edge_id: which supplier delivers to which customer."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    pairs = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey").distinct()
+    return pairs.select(
+        F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("target"), F.concat_ws(">", "l_suppkey", "o_custkey").alias("edge_id"),
+    )
+
+
+@query("G11 R1 R2 A10 F5 Z17 K5", """
+WITH r AS (SELECT 'company:' || o_custkey AS id, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE '' END AS note, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status FROM orders)
+SELECT id, arg_min(note, seq) FILTER (WHERE trim(note) <> '') AS note, arg_min(status, seq) FILTER (WHERE trim(status) <> '') AS status FROM r GROUP BY id""")
+def node_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("company:"), F.col("o_custkey").cast("string")).alias("id"), k.alias("seq"), F.when(k % 3 == 0, F.col("o_orderpriority")).otherwise("").alias("note"), F.when(k % 2 == 0, F.col("o_orderstatus")).alias("status"),
+    )
+    return graph.merge_nodes(rows, ["note", "status"])
+
+
+@query("G12 R3 A11 A12", """
+WITH f AS (SELECT o_custkey, o_orderpriority, o_orderstatus AS s, min(o_orderkey) AS k, count(*) AS n FROM orders GROUP BY ALL)
+SELECT o_custkey AS source, o_orderpriority AS type, CAST(sum(n) AS BIGINT) AS n_rows, string_agg(s, ';' ORDER BY k) AS source_csv FROM f GROUP BY ALL""")
+def edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderpriority").alias("type"), F.col("o_orderstatus").alias("source_csv"), F.col("o_orderkey").alias("seq"))
+    return graph.merge_edges(rows, ["source", "type"], "source_csv")
+
+
+@query("J5 J6 R8 R6 L2 U1", f"""WITH {SUPPLIES}, a AS (SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_nationkey = 3 UNION SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_nationkey = 3),
+h AS (SELECT * FROM e WHERE source IN (SELECT id FROM a) OR target IN (SELECT id FROM a))
+SELECT source, target, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_name END, substr(source, 10)) AS source_name FROM h LEFT JOIN supplier ON source = 'supplier:' || s_suppkey""")
+def one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges around the companies of one nation, with names; every second supplier is without one."""
+    customers = read(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
+    suppliers = read(spark, sf_dir, "supplier")
+    sid = F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id")
+    anchors = customers.union(suppliers.where("s_nationkey = 3").select(sid))
+    nodes = suppliers.select(sid, F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("name"))
+    return graph.named(graph.one_hop(supplies(spark, sf_dir), anchors), nodes, "source").select("source", "target", "source_name")
+
+
+@query("J7 U3 R14", f"""WITH {SUPPLIES}, a AS (SELECT 'supplier:' || min(s_suppkey) AS id FROM supplier), h1 AS (SELECT DISTINCT target AS id FROM e WHERE source IN (SELECT id FROM a)),
+h2 AS (SELECT DISTINCT source AS id FROM e WHERE target IN (SELECT id FROM h1) AND source NOT IN (SELECT id FROM a))
+SELECT id, 1 AS hop FROM h1 UNION ALL SELECT id, 2 FROM h2""")
+def subgraph_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = supplies(spark, sf_dir)
+    anchor = read(spark, sf_dir, "supplier").agg(F.concat(F.lit("supplier:"), F.min("s_suppkey").cast("string")).alias("id"))
+    first = graph.neighbours(edges, anchor)
+    second = graph.neighbours(edges, first.union(anchor))
+    return first.withColumn("hop", F.lit(1)).union(second.withColumn("hop", F.lit(2)))
+
+
+@query("R13 R12", """
+WITH e AS (SELECT DISTINCT l_suppkey % 50 AS a, l_partkey % 50 AS b FROM lineitem WHERE l_quantity > 48 AND l_suppkey % 50 <> l_partkey % 50)
+SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b AND NOT EXISTS (SELECT 1 FROM e z WHERE z.a = x.a AND z.b = y.b)""")
+def two_hop_indirect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indirect holdings: a holds b, b holds c, and a does not hold c itself."""
+    edges = read(spark, sf_dir, "lineitem").where("l_quantity > 48").select((F.col("l_suppkey") % 50).alias("source"), (F.col("l_partkey") % 50).alias("target")).where("source != target")
+    return graph.indirect(edges)
+
+
+@query("Q3 Q17 R10", """
+SELECT s_suppkey, (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R') AS returned, (SELECT count(DISTINCT l_orderkey) FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity = 50) AS large,
+  (SELECT count(DISTINCT c_custkey) FROM customer WHERE c_nationkey = s_nationkey) AS neighbours FROM supplier""")
+def optional_match_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three optional patterns per supplier, each counted by itself."""
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), "l_partkey", "l_orderkey", "l_returnflag", "l_quantity")
+    near = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("s_nationkey"), F.col("c_custkey").alias("value"))
+    out = graph.profile(s, "s_suppkey", returned=lines.where("l_returnflag = 'R'").select("s_suppkey", F.col("l_partkey").alias("value")), large=lines.where("l_quantity = 50").select("s_suppkey", F.col("l_orderkey").alias("value")))
+    return graph.profile(out, "s_nationkey", neighbours=near).drop("s_nationkey")
+
+
+@query("Q6 Q13 Q16 G13 J18", f"""WITH {SUPPLIES} SELECT target AS customer, count(DISTINCT source) AS n_suppliers, string_agg(DISTINCT source, ',' ORDER BY source) AS suppliers FROM e GROUP BY 1 HAVING count(DISTINCT source) > 3""")
+def shared_party_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = supplies(spark, sf_dir)  # distinct already, so plain counts suffice
+    return e.groupBy(F.col("target").alias("customer")).agg(F.count("*").alias("n_suppliers"), F.array_join(F.sort_array(F.collect_list("source")), ",").alias("suppliers")).where("n_suppliers > 3")
+
+
+@query("Q9 Q12 Q4 X1 R4 G2", """
+SELECT r_name AS stage, n_name AS segment, s_name AS company FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 0""")
+def stage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage to segment to company: the small levels are joined first, the large one is filtered at the scan."""
+    upper = read(spark, sf_dir, "region").join(read(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
+    s = read(spark, sf_dir, "supplier").where("s_acctbal > 0")
+    return s.join(upper, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("r_name").alias("stage"), F.col("n_name").alias("segment"), F.col("s_name").alias("company"))
+
+
+@query("Q7 Q11 L9 Q1 Q2", """
+WITH g AS (SELECT p_brand, p_type, count(*) AS n, CAST(sum(CAST(p_retailprice AS DECIMAL(18,4))) AS DOUBLE) AS book FROM part WHERE p_size <> 15 GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY book DESC, p_type) AS INT) AS rank FROM g)
+SELECT p_brand, p_type, n, book, rank FROM r WHERE rank <= 5""")
+def group_stats_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = read(spark, sf_dir, "part").where("p_size != 15").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.sum(F.col("p_retailprice").cast("decimal(18,4)")).cast("double").alias("book"))
+    rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("book"), "p_type"))
+    return g.withColumn("rank", rank).where("rank <= 5")
+
+
+RULES = (
+    {"name": "供應鏈壓力", "level": "strong", "any": ["STEEL", "COPPER", "TIN"], "exclude": ["SMALL"]},
+    {"name": "營運資金壓力", "level": "medium", "all": [["ECONOMY", "STANDARD"], ["BRASS", "NICKEL"]]},
+    {"name": "匯率風險", "level": "weak", "any": ["PROMO"]},
+)
+
+
+@query("J12 P12 R5 A-9 A13 J8 X2 Z15 Z16", """
+WITH t AS (SELECT p_partkey AS id, upper(p_type || ' ' || p_name) AS x FROM part), m AS (
+ SELECT id, '供應鏈壓力' AS risk, 'strong' AS level, list_sort(list_filter(['COPPER', 'STEEL', 'TIN'], lambda w: contains(x, w))) AS k FROM t WHERE NOT contains(x, 'SMALL') AND (contains(x, 'STEEL') OR contains(x, 'COPPER') OR contains(x, 'TIN'))
+ UNION ALL SELECT id, '營運資金壓力', 'medium', list_sort(list_filter(['BRASS', 'ECONOMY', 'NICKEL', 'STANDARD'], lambda w: contains(x, w))) FROM t WHERE (contains(x, 'ECONOMY') OR contains(x, 'STANDARD')) AND (contains(x, 'BRASS') OR contains(x, 'NICKEL'))
+ UNION ALL SELECT id, '匯率風險', 'weak', ['PROMO'] FROM t WHERE contains(x, 'PROMO'))
+SELECT id, risk, level, array_to_string(k, ';') AS keywords FROM m""")
+def risk_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.upper(F.concat_ws(" ", "p_type", "p_name")).alias("text"))
+    found = rows.select("id", F.inline(graph.matched_rules(F.col("text"), RULES)))
+    return found.select("id", F.col("name").alias("risk"), "level", F.array_join("keywords", ";").alias("keywords"))
+
+
+@query("X3 X4 R9 E16", """
+WITH c AS (SELECT c_custkey AS qid, o_orderkey, o_orderpriority, o_totalprice, o_orderstatus = 'O' AS p FROM customer JOIN orders ON c_custkey = o_custkey),
+r AS (SELECT * FROM (SELECT *, bool_or(p) OVER (PARTITION BY qid) AS a FROM c) WHERE p OR NOT a)
+SELECT qid, count(*) AS n_candidates, arg_max(o_orderpriority, o_orderkey) AS answer, 'L0-investee' AS layer FROM r GROUP BY qid""")
+def relation_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Investor to investee: candidates of an anchor, discriminators that relax, and the row disclosed last."""
+    edges = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("qid"), "o_orderkey", "o_orderpriority", "o_orderstatus")
+    rows = relax.relax_filter(edges, ["qid"], F.col("o_orderstatus") == "O")
+    return rows.groupBy("qid").agg(F.count("*").alias("n_candidates"), F.max_by("o_orderpriority", "o_orderkey").alias("answer")).withColumn("layer", F.lit("L0-investee"))
+
+
+@query("X5 X6 X7 J18 Z19", """
+WITH t AS (SELECT l_suppkey AS payer, o_custkey AS party, l_returnflag AS account, l_extendedprice AS amount, l_orderkey * 10 + l_linenumber AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+u AS (SELECT *, count(*) OVER (PARTITION BY payer, party, account) AS n FROM t)
+SELECT payer, party, account, seq, CAST(round(amount) AS BIGINT) AS amount FROM u WHERE n = 1""")
+def related_party_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions that payer, counterparty and account determine, by one aggregation instead of a self-join."""
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = lines.select(F.col("l_suppkey").alias("payer"), F.col("o_custkey").alias("party"), F.col("l_returnflag").alias("account"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.round("l_extendedprice").cast("bigint").alias("amount"))
+    return rows.groupBy("payer", "party", "account").agg(F.min("seq").alias("seq"), F.min("amount").alias("amount"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
+@query("S13 S14 W6 U5", """
+WITH c AS (SELECT r_name, n_name, s_name, s_suppkey FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey)
+SELECT r_name AS stage, n_name AS segment, s_suppkey AS code, s_name AS company FROM c""")
+def outline_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an outline (stage, segment, company) and what each company line inherits from the lines above it."""
+    from ledgerloom.sources.outline import carry_forward
+
+    r, n, s = (read(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    n = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    place = lambda a, b, c: F.format_string("%06d.%06d.%09d", a, b, c)
+    zero = F.lit(0)
+    lines = n.select(F.col("r_name").alias("doc"), place(F.col("r_regionkey"), F.col("n_nationkey"), zero).alias("line_no"), F.concat(F.lit("("), "n_name", F.lit(")")).alias("line"))
+    lines = lines.union(r.select("r_name", place(F.col("r_regionkey"), zero - 1, zero), F.concat(F.lit("["), "r_name", F.lit("]"))))
+    s = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    lines = lines.union(s.select("r_name", place(F.col("r_regionkey"), F.col("n_nationkey"), F.col("s_suppkey") + 1), F.concat_ws(" ", "s_suppkey", "s_name")))
+    return carry_forward(lines, "doc", "line_no", "line").select("stage", "segment", F.col("code").cast("bigint").alias("code"), "company")
+
+
+@query("J14 E18 U5", """
+SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal < 0)""")
+def exclusion_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates without a key of either family of exclusions: one anti-join each."""
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    seen = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    bad = read(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("c_nationkey"))
+    return c.join(seen, "c_custkey", "left_anti").join(bad, "c_nationkey", "left_anti").select("c_custkey")
+
+
+@query("G22 W4 §2.23", """
+WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('seed-3:' || o_orderkey), o_orderkey) AS rn FROM orders) SELECT o_custkey, o_orderkey FROM r WHERE rn <= 2""")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two orders of each customer by a seeded hash: the same draw wherever and however often it runs."""
+    order = [F.md5(F.concat(F.lit("seed-3:"), F.col("o_orderkey").cast("string"))), F.col("o_orderkey")]
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(*order))
+    return read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").withColumn("rn", rank).where("rn <= 2").drop("rn")
+
+
+@query("G18 J18", """
+WITH v AS (SELECT p_brand, p_size, min(p_partkey) AS p_partkey, count(*) AS n FROM part GROUP BY ALL) SELECT p_brand, p_size, p_partkey FROM v WHERE n = 1""")
+def values_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that identify a row within their group."""
+    return read(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
+@query("F2 F5 F16 F17 F8", """
+SELECT s_suppkey, regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g') AS slug, upper(replace(s_name, '#', '')) AS key, '［＿公司＿］' AS masked, 'abc(' || lower(s_name) || ')' AS folded FROM supplier""")
+def name_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_name")
+    whole = F.concat(F.lit("［"), F.regexp_replace(n, ".+", "Supplier"), F.lit("］"))
+    return read(spark, sf_dir, "supplier").select(
+        "s_suppkey", texts.safe_id(n).alias("slug"), texts.company_key(F.concat(n, F.lit(" Co., Ltd."))).alias("key"), texts.masked(whole, ["Supplier", "Supp"]).alias("masked"), texts.folded(F.concat(F.lit("ABC（"), n, F.lit("）"))).alias("folded"),
+    )
