@@ -22,7 +22,7 @@ RULES = (
 )
 #: Words of a host that label its url as one to block, beside the labels that are given.
 SEEDS = ("casino", "bets", "pills", "adult", "ads", "spam")
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_COUNT = 0.002, 0.8, 5
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_COUNT = 0.005, 0.8, 5
 BLOCK = "label=block"
 
 
@@ -41,7 +41,6 @@ def parsed(pages: DataFrame) -> DataFrame:
     p = p.withColumn("host", F.expr(lower)).withColumn("path", F.regexp_extract("_tail", "^[^?#]*", 0))
     query = F.expr("substring(_tail, length(path) + 1)")
     pieces = [
-        F.transform(F.filter(F.split("host", "\\."), lambda x: x != ""), lambda x: F.concat(F.lit("host:"), x)),
         F.transform(F.filter(F.split("host", "[^0-9a-z]+"), lambda x: x != ""), lambda x: F.concat(F.lit("word:"), x)),
         F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path:"), F.regexp_replace(x, "[0-9]+", "0"))),
         F.transform(F.filter(F.split(query, "[?&#]"), lambda x: x != ""), lambda x: F.concat(F.lit("query:"), F.split(x, "=")[0])),
