@@ -100,7 +100,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float =
     """page_id, host, path, rule, verdict and mined (the association rule that decided, if any) of every row of ``pages``.
 
     ``labels`` (doc_id, quality, toxic) labels the page of that id: bad quality or toxic means block; so does a host with
-    a word of SEEDS. Other pages are unlabelled and not mined. The base rules come first; where none fits, an association rule that matches blocks, and else the url is allowed. Null urls and urls
+    a word of SEEDS. Pages without a label count as not to block, so a rule's confidence is never too high. The base rules come first; where none fits, an association rule that matches blocks, and else the url is allowed. Null urls and urls
     without ``://`` have an empty host and path. Null page_ids stay, repeated rows have one row each, and a page_id
     that several labels name counts as blocked if any blocks. Without labels nothing is mined.
     """
@@ -108,7 +108,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float =
     bad = labels.select(F.col("doc_id").cast("long").alias("page_id"), (F.coalesce(F.col("quality").cast("int") == 0, F.lit(False)) | F.coalesce(F.col("toxic").cast("int") == 1, F.lit(False))).alias("b"))
     bad = bad.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("b").alias("blocked"))
     seeded = F.arrays_overlap("tokens", F.array(*[F.lit(f"word:{w}") for w in SEEDS]))
-    known = urls.join(bad, "page_id", "left").select("tokens", F.when(seeded, True).otherwise(F.col("blocked")).alias("blocked"))
+    known = urls.join(bad, "page_id", "left").select("tokens", (seeded | F.coalesce("blocked", F.lit(False))).alias("blocked"))
     mined = mine(known, min_support, min_confidence)
     rule, verdict = base_rule(rules)
     found = written(matched(urls, mined), "url-matches")
