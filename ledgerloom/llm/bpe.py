@@ -14,18 +14,25 @@ import os
 import re
 import tempfile
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ids_and_texts, map_texts
+from ledgerloom.llm.common import ids_and_texts, map_texts, written
 
 #: Words in the automaton at most; the rest is merged by rank, with the same ids.
 LEXICON_WORDS = 100_000
+#: A word that stands less often is not worth a place in the automaton.
+LEAST_COUNT = 4
+#: Distinct runs that a task counts before it hands them on.
+COUNTED_CHUNKS = 500_000
 #: A worker keeps the chunks it met last, so many to twice as many.
 CACHE_CHUNKS = 250_000
 
@@ -242,10 +249,14 @@ class Codec:
         self.words[word] = made
         return made
 
+    def split(self, chunk: str) -> list[str]:
+        """The words of a run without white space."""
+        return [chunk] if chunk.isalpha() else self.v.words.findall(chunk)
+
     def chunk(self, chunk: str) -> tuple[int, str, str]:
         """The same of a run without white space."""
         if (made := self.older.get(chunk)) is None:
-            words = [self.words.get(w) or self.word(w) for w in self.v.words.findall(chunk)]
+            words = [self.words.get(w) or self.word(w) for w in self.split(chunk)]
             made = words[0] if len(words) == 1 else (sum([w[0] for w in words]), " ".join([w[1] for w in words]), " ".join([w[2] for w in words]))
         if len(self.cache) >= CACHE_CHUNKS:
             self.cache, self.older = {}, self.cache
@@ -253,13 +264,15 @@ class Codec:
         return made
 
     def parts(self, text: str | None) -> list[tuple[int, str, str]]:
+        """Of a text in order: each special token and each run of which tokens come."""
         out = []
         for segment in self.segments(text or ""):
             if segment in self.v.special:
                 out.append((1, str(self.v.special[segment]), segment))
             else:
-                out += [self.cache.get(c) or self.chunk(c) for c in self.chunks(segment)]
-        return [p for p in out if p[0]]
+                known, made = self.cache.get, self.chunk
+                out += [p for c in self.chunks(segment) if (p := known(c) or made(c))[0]]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for p in self.parts(text) for i in p[1].split()]
@@ -279,33 +292,50 @@ def _codec(vocabulary: str, lexicon: str | None) -> Codec:
     return Codec(_vocabulary(vocabulary), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
 def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(word, n): how often each pre-token stands in all texts, counted per step before the shuffle."""
-    from collections import Counter
+    """(word, n): how often each pre-token stands in all texts, summed in each task before the shuffle."""
 
-    def counted(texts: list[str | None]) -> dict:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary, None)
+
+        def summed(chunks: Counter) -> pa.RecordBatch:
+            words: Counter = Counter()
+            for c, n in chunks.items():
+                for w in codec.split(c):
+                    words[w] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+
         chunks: Counter = Counter()
-        for t in texts:
-            for segment in codec.segments(t or ""):
-                if segment not in codec.v.special:
-                    chunks.update(codec.chunks(segment))
-        words: Counter = Counter()
-        find = codec.v.words.findall
-        for c, n in chunks.items():
-            for w in find(c):
-                words[w] += n
-        rows = [{"word": w, "n": n} for w, n in words.items()]
-        return {"words": [rows] + [[]] * (len(texts) - 1)}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for segment in codec.segments(text or ""):
+                    if segment not in codec.v.special:
+                        chunks.update(codec.chunks(segment))
+                if len(chunks) > COUNTED_CHUNKS:
+                    yield summed(chunks)
+                    chunks.clear()
+        yield summed(chunks)
 
-    parts = map_texts(docs.select(F.col("text").cast("string").alias("text")), counted, "words array<struct<word:string,n:long>>")
-    return parts.select(F.inline("words")).groupBy("word").agg(F.sum("n").alias("n"))
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, vocabulary: str, limit: int = LEXICON_WORDS) -> list[str]:
-    """The ``limit`` most frequent words of all texts (ties: smaller word first); their number bounds what comes here."""
-    counts = word_counts(docs, vocabulary).where(F.length("word") <= 64)
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(limit).select("word").collect()]
+    """The most frequent words of all texts, ``limit`` at most: those from a frequency on, in steps of an eighth of a doubling.
+
+    Words come here only once their number is known to be within the limit.
+    """
+    counts = written(word_counts(docs, vocabulary).where((F.length("word") <= 64) & (F.col("n") >= LEAST_COUNT)).withColumn("level", F.floor(F.log2("n") * 8)), "bpe-words")
+    cut, total = None, 0
+    for r in counts.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # a few hundred levels
+        total += r.words
+        if total > limit:
+            break
+        cut = r.level
+    return [] if cut is None else [r.word for r in counts.where(F.col("level") >= cut).select("word").collect()]
 
 
 def ship_lexicon(docs: DataFrame, vocabulary: str, limit: int = LEXICON_WORDS) -> str:
@@ -313,10 +343,13 @@ def ship_lexicon(docs: DataFrame, vocabulary: str, limit: int = LEXICON_WORDS) -
     v = _vocabulary(vocabulary)
     spelled = [v.spelled(w) for w in frequent_words(docs, vocabulary, limit)]
     arrays = compile_lexicon({w: v.merge_long(w) for w in spelled})
+    context = docs.sparkSession.sparkContext
     name = "lexicon-" + hashlib.sha256(b"".join(arrays[a].tobytes() for a in ARRAYS)).hexdigest()[:24]
-    path = os.path.join(tempfile.mkdtemp(), name)
-    save_lexicon(arrays, path)
-    docs.sparkSession.sparkContext.addFile(path)
+    if (context.applicationId, name) not in _shipped:
+        path = os.path.join(tempfile.mkdtemp(), name)
+        save_lexicon(arrays, path)
+        context.addFile(path)
+        _shipped.add((context.applicationId, name))
     return name
 
 
