@@ -55,12 +55,13 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75)
     totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     wanted = terms.select("term").distinct()
-    tf = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("dl"), F.explode(tokens(F.col("text"))).alias("term"))
-    tf = join_small(tf, wanted, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    # Lengths are joined later: next to explode they would be computed anew for every token.
+    tf = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
+    tf = join_small(tf, wanted, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    weighted = tf.join(df, "term").join(F.broadcast(totals)).select("term", "doc_id", weight.alias("w"))  # totals is one row
+    weighted = tf.join(df, "term").join(lengths, "doc_id").join(F.broadcast(totals)).select("term", "doc_id", weight.alias("w"))  # totals is one row
     return terms.join(weighted, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("w"), 4).alias("score"))
 
 
