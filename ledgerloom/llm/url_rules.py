@@ -97,21 +97,26 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """page_id, host, path, rule, verdict and mined (the association rule that decided, if any) of every row of ``pages``.
+    """page_id, host, path, rule, verdict and mined (the seed or association rule that decided, if any) of every row of ``pages``.
 
     ``labels`` (doc_id, quality, toxic) labels the page of that id: bad quality or toxic means block; so does a host with
-    a word of SEEDS. Pages without a label count as not to block, so a rule's confidence is never too high. The base rules come first; where none fits, an association rule that matches blocks, and else the url is allowed. Null urls and urls
+    a word of SEEDS. Only pages with a given label are mined, MIN_COUNT of them at least for a rule: seeds name no clean
+    pages, so by them any token beside a seed would look sure; they are rules of their own. The base rules come first; where none fits, a seed or
+    an association rule that matches blocks, and else the url is allowed. Null urls and urls
     without ``://`` have an empty host and path. Null page_ids stay, repeated rows have one row each, and a page_id
     that several labels name counts as blocked if any blocks. Without labels nothing is mined.
     """
     urls = written(parsed(pages).withColumn("tokens_id", F.xxhash64("tokens")), "urls")
     bad = labels.select(F.col("doc_id").cast("long").alias("page_id"), (F.coalesce(F.col("quality").cast("int") == 0, F.lit(False)) | F.coalesce(F.col("toxic").cast("int") == 1, F.lit(False))).alias("b"))
     bad = bad.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("b").alias("blocked"))
-    seeded = F.arrays_overlap("tokens", F.array(*[F.lit(f"word:{w}") for w in SEEDS]))
-    known = urls.join(bad, "page_id", "left").select("tokens", (seeded | F.coalesce("blocked", F.lit(False))).alias("blocked"))
+    seeds = F.array(*[F.lit(f"word:{w}") for w in SEEDS])
+    seeded = F.arrays_overlap("tokens", seeds)
+    known = urls.join(bad, "page_id").select("tokens", (seeded | F.col("blocked")).alias("blocked"))
     mined = mine(known, min_support, min_confidence)
     rule, verdict = base_rule(rules)
     found = written(matched(urls, mined), "url-matches")
     out = urls.join(found, "tokens_id", "left").withColumns({"rule": rule, "_base": verdict})
+    seed = F.array_min(F.array_intersect("tokens", seeds))
+    out = out.withColumn("mined", F.coalesce(seed, "mined"))
     own = F.when(F.col("mined").isNotNull(), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("_base", own).alias("verdict"), F.when(F.col("rule").isNull(), F.col("mined")).alias("mined"))

@@ -217,6 +217,15 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), labels).count() == 0 and url_rules.judge(pages.limit(3), labels.limit(0)).count() == 3
 
 
+def test_given_labels_make_url_rules(spark):
+    """All labelled pages of a host are bad, most of its pages have no label: the host is blocked, one with mixed labels is not."""
+    hosts = {"murk.example.org": 0, "plain.example.org": 1}
+    pages = spark.createDataFrame([(100 * k + i, f"https://{h}/en/{i}") for h, k in hosts.items() for i in range(50)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0, 0) for i in range(12)] + [(100 + i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    got = {(r.host, r.verdict) for r in url_rules.judge(pages, labels).collect()}
+    assert got == {("murk.example.org", "block"), ("plain.example.org", "allow")}
+
+
 def test_mined_rules_match_brute_force(spark):
     sets = [({"a", "b"}, True)] * 8 + [({"a"}, False)] * 10 + [({"b", "c"}, False)] * 3 + [({"c"}, True)] * 2
     rows = spark.createDataFrame([(sorted(t), y) for t, y in sets], "tokens array<string>, blocked boolean")
