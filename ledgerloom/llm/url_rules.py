@@ -7,6 +7,8 @@ inverted index from a rule's tokens to the rule finds, for every URL, the rules
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,8 @@ RULES = (
 )
 #: Words of a host that label its url as one to block, beside the labels that are given.
 SEEDS = ("casino", "bets", "pills", "adult", "ads", "spam")
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_COUNT = 0.005, 0.8, 5
+#: Support is a count of labelled pages to block, the same at every size; MIN_SUPPORT can ask for a share of them besides.
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_COUNT = 0.0, 0.8, 5
 BLOCK = "label=block"
 
 
@@ -41,6 +44,7 @@ def parsed(pages: DataFrame) -> DataFrame:
     p = p.withColumn("host", F.expr(lower)).withColumn("path", F.regexp_extract("_tail", "^[^?#]*", 0))
     query = F.expr("substring(_tail, length(path) + 1)")
     pieces = [
+        F.transform(F.filter(F.split("host", "\\."), lambda x: x != ""), lambda x: F.concat(F.lit("host:"), x)),
         F.transform(F.filter(F.split("host", "[^0-9a-z]+"), lambda x: x != ""), lambda x: F.concat(F.lit("word:"), x)),
         F.transform(F.filter(F.split("path", "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path:"), F.regexp_replace(x, "[0-9]+", "0"))),
         F.transform(F.filter(F.split(query, "[?&#]"), lambda x: x != ""), lambda x: F.concat(F.lit("query:"), F.split(x, "=")[0])),
@@ -62,18 +66,56 @@ def base_rule(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def vocabulary(labelled: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    """token, item, n, bad and apart of the tokens that stand in ``min_count`` pages to block; others are in no rule.
+
+    Tokens that stand in the same pages share an ``item``, the least of them. n counts an item's pages and bad those to
+    block. Items ``apart`` stand in every page, or only in pages to block: with other items they make no surer rule.
+    """
+    sets = labelled.groupBy("tokens").agg(F.count("*").alias("n"), F.count_if("blocked").alias("bad"))
+    marks = sets.select("n", "bad", F.xxhash64("tokens").alias("one"), F.xxhash64(F.lit(1), "tokens").alias("two"), F.explode(F.array_distinct("tokens")).alias("token"))
+    same = ["n", "bad", "one", "two"]
+    each = marks.groupBy("token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"))
+    each = written(each.where(F.col("bad") >= min_count), "url-tokens")
+    items = each.groupBy(same).agg(F.min("token").alias("item"))
+    every = labelled.agg(F.count("*").alias("every"))
+    apart = (F.col("bad") == F.col("n")) | (F.col("n") == F.col("every"))
+    return written(each.join(items, same).crossJoin(F.broadcast(every)).select("token", "item", "n", "bad", apart.alias("apart")), "url-items")
+
+
+def as_items(sets: DataFrame, words: DataFrame) -> DataFrame:
+    """tokens_id and tokens of distinct token sets, in items of ``words``; sets without any are left out."""
+    sets = sets.select("tokens_id", "tokens").dropDuplicates(["tokens_id"]).select("tokens_id", F.explode("tokens").alias("token"))
+    return sets.join(words.select("token", "item"), "token").groupBy("tokens_id").agg(F.sort_array(F.collect_set("item")).alias("tokens"))
+
+
+def rules_of(labelled: DataFrame, words: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
+    """The rules over the items of ``words``: items apart make rules alone, all others are mined together."""
+    n = labelled.count()
+    least = max(min_count, ceil(min_support * n))
+    labelled = labelled.withColumn("tokens_id", F.xxhash64("tokens"))
+    sets = as_items(labelled, words.where("NOT apart"))
+    rows = labelled.select("tokens_id", "blocked").join(sets, "tokens_id").select("tokens", "blocked")
+    alone = words.where(F.col("apart") & (F.col("bad") >= least) & (F.col("bad") / F.col("n") >= min_confidence))
+    alone = alone.select(F.col("item").alias("rule_id"), F.array("item").alias("tokens"), (F.col("bad") / F.col("n")).alias("confidence"), F.col("bad").alias("n")).distinct()
+    return alone.unionByName(mine(rows, 0.0, min_confidence, least))
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """rule_id, tokens, confidence and n of the mined rules for ``block``; ``labelled`` has tokens and blocked (boolean)."""
     items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens"))
     sets = written(labelled.where(F.col("blocked").isNotNull()).select(items.alias("items")), "url-transactions")
     n = sets.count()
     empty = sets.sparkSession.createDataFrame([], "rule_id string, tokens array<string>, confidence double, n long")
-    if not n:
+    least = max(min_count, ceil(min_support * n))
+    if n < least or not n:
         return empty
-    support = min(1.0, max(min_support, min_count / n))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(sets)
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(BLOCK)))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", F.round(F.col("support") * n).cast("long").alias("n"))
+    # Half a page less, so that rounding cannot raise the count.
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / n)).fit(sets)
+    # Of all rules only those for the label are wanted: its itemsets joined with the same ones without it.
+    found = written(model.freqItemsets.select(F.array_sort(F.array_except("items", F.array(F.lit(BLOCK)))).alias("tokens"), F.array_contains("items", BLOCK).alias("bad"), "freq"), "url-itemsets")
+    rules = found.where("bad AND size(tokens) > 0").select("tokens", F.col("freq").alias("n")).join(found.where("NOT bad").select("tokens", "freq"), "tokens")
+    rules = rules.select("tokens", (F.col("n") / F.col("freq")).alias("confidence"), "n").where(F.col("confidence") >= min_confidence)
     rules = written(rules.withColumn("rule_id", F.concat_ws(" ", "tokens")), "url-rules")
     # A shorter rule within this one, of no less confidence, says all that it says.
     index = rules.select(F.explode("tokens").alias("token"), F.col("rule_id").alias("short"), F.size("tokens").alias("k"), F.col("confidence").alias("as_sure"))
@@ -112,9 +154,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float =
     seeds = F.array(*[F.lit(f"word:{w}") for w in SEEDS])
     seeded = F.arrays_overlap("tokens", seeds)
     known = urls.join(bad, "page_id").select("tokens", (seeded | F.col("blocked")).alias("blocked"))
-    mined = mine(known, min_support, min_confidence)
+    known = written(known, "url-labelled")
+    words = vocabulary(known)
+    mined = written(rules_of(known, words, min_support, min_confidence), "url-mined")
     rule, verdict = base_rule(rules)
-    found = written(matched(urls, mined), "url-matches")
+    found = written(matched(as_items(urls, words), mined), "url-matches")
     out = urls.join(found, "tokens_id", "left").withColumns({"rule": rule, "_base": verdict})
     seed = F.array_min(F.array_intersect("tokens", seeds))
     out = out.withColumn("mined", F.coalesce(seed, "mined"))

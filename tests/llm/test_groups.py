@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -226,6 +227,33 @@ def test_given_labels_make_url_rules(spark):
     assert got == {("murk.example.org", "block"), ("plain.example.org", "allow")}
 
 
+def test_url_support_is_a_count_of_labelled_pages(spark):
+    """A bad host of six labelled pages among 3,000, and two seeded pages: no bar that grows with the table allows them."""
+    urls = [f"https://news{i % 7}.example.com/en/{i}" for i in range(3000)] + [f"https://a.mu-rk{i % 2}.example.org/en/{i}" for i in range(12)] + ["http://big-pills.example.com/en/1"] * 2
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3000)] + [(3000 + i, 0, 0) for i in range(0, 12)], "doc_id long, quality int, toxic int")
+    got = url_rules.judge(pages, labels).where("verdict = 'block'")
+    assert sorted(r.page_id for r in got.collect()) == list(range(3000, 3014))
+    hosts = spark.createDataFrame([(i, f"https://{'x.y' if i % 2 else 'x-y'}.example.com/en/") for i in range(200)], "page_id long, url string")
+    judged = url_rules.judge(hosts, spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int"))
+    assert {(r.host, r.verdict) for r in judged.collect()} == {("x.y.example.com", "block"), ("x-y.example.com", "allow")}
+
+
+def test_url_items_make_the_same_rules(spark):
+    """Merged and set-apart tokens leave the pages that plain mining's rules match."""
+    rng = random.Random(5)
+    drawn = [(["all", *[t for t in "abcd" if rng.random() < 0.5]], rng.random()) for _ in range(300)]
+    data = [(t + ["a2"] * ("a" in t) + ["p", "p2"] * (x < 0.1), x < 0.1 or ("a" in t and "b" in t and x < 0.9)) for t, x in drawn]
+    rows = spark.createDataFrame(data, "tokens array<string>, blocked boolean")
+    words = url_rules.vocabulary(rows)
+    plain = [set(r.tokens) for r in url_rules.mine(rows).collect()]
+    same = {r.token: r.item for r in words.collect()}
+    ours = [set(r.tokens) for r in url_rules.rules_of(rows, words).collect()]
+    probes = [set(t) for t, _ in data] + [set(c) for k in range(4) for c in itertools.combinations(["all", "a", "a2", "b", "c", "d", "p", "p2"], k)]
+    hit = [any(r <= t for r in plain) for t in probes]
+    assert hit == [any(r <= {same.get(x) for x in t} for r in ours) for t in probes] and any(hit) and not all(hit)
+
+
 def test_mined_rules_match_brute_force(spark):
     sets = [({"a", "b"}, True)] * 8 + [({"a"}, False)] * 10 + [({"b", "c"}, False)] * 3 + [({"c"}, True)] * 2
     rows = spark.createDataFrame([(sorted(t), y) for t, y in sets], "tokens array<string>, blocked boolean")
