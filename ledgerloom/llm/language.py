@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import map_texts, steps, written
 
 BUCKETS = 1 << 14
-#: A language is one that at least this share of the labelled documents has, so there are 100 at most.
-MIN_SHARE = 0.01
+#: Trigram tables are of so many languages at a time: each block of them has a pass of its own over the texts.
+BLOCK = 100
 #: A text's mean log-likelihood counts as of so many trigrams at most: neighbouring trigrams are not independent.
 EFFECTIVE = 40
 #: Pages' worth of the wider group's distribution that a group's own counts are mixed with.
@@ -46,14 +46,18 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return owner[2:][inside], (code >> np.uint32(18))[inside].astype(np.int64)
 
 
-def profiles(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and their trigrams' log-probabilities, over all documents (text, lang) of those languages."""
-    docs = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    langs = sorted(r.lang for r in counts.where(F.col("n") >= MIN_SHARE * total).select("lang").collect()) if total else []
-    if not langs:
-        return [], np.zeros((0, BUCKETS))
+def labelled(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+
+
+def languages(docs: DataFrame) -> list[str]:
+    """Every language that a document (text, lang) has, in order."""
+    return sorted(r.lang for r in labelled(docs).select("lang").distinct().collect())
+
+
+def profiles(docs: DataFrame, langs: list[str]) -> np.ndarray:
+    """The log-probabilities of the trigrams of ``langs``, over all documents (text, lang) of those languages."""
+    docs = labelled(docs)
     place = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,9 +73,9 @@ def profiles(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(sums[lang, bucket])], names=["lang", "bucket", "n"])
 
     table = np.full((len(langs), BUCKETS), 0.5)
-    for r in docs.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
-        table[r.lang, r.bucket] += r.n
-    return langs, np.log(table / table.sum(axis=1, keepdims=True))
+    counts = docs.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    table[counts["lang"].to_numpy(), counts["bucket"].to_numpy()] += counts["n"].to_numpy()
+    return np.log(table / table.sum(axis=1, keepdims=True))
 
 
 def log_likelihoods(texts: list[str], table: np.ndarray) -> np.ndarray:
@@ -81,8 +85,8 @@ def log_likelihoods(texts: list[str], table: np.ndarray) -> np.ndarray:
     return sums * (np.minimum(n, EFFECTIVE) / np.maximum(n, 1))[:, None]
 
 
-def evidence(pages: DataFrame, table: np.ndarray) -> DataFrame:
-    """page_id, host, domain, suffix, declared, path_code, log_text of every page, as a written table."""
+def evidence(pages: DataFrame, docs: DataFrame, langs: list[str]) -> DataFrame:
+    """page_id, host, domain, suffix, declared, path_code, log_text (in order of ``langs``) of every page, as a written table."""
     url, page = F.col("url").cast("string"), F.col("html").cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[^:]*://([^/?#]*)", 1))
     rows = pages.select(
@@ -90,25 +94,31 @@ def evidence(pages: DataFrame, table: np.ndarray) -> DataFrame:
         F.lower(F.regexp_extract(F.coalesce(page, F.lit("")), "(?i)<html\\b[^>]*?\\blang\\s*=\\s*[\"']?([A-Za-z]{2,3})", 1)).alias("declared"), page.alias("html"),
     )
     rows = rows.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
-    return written(map_texts(rows, lambda x: {"log_text": [*log_likelihoods([visible(t) for t in x], table)]}, "log_text array<double>", "html"), "lang-evidence")
+    rows = rows.withColumn("log_text", F.array().cast("array<double>"))
+    for a in range(0, len(langs), BLOCK):
+        table = profiles(docs, langs[a : a + BLOCK])
+        if a + BLOCK < len(langs):
+            rows = rows.withColumn("_html", F.col("html"))
+        rows = map_texts(rows, lambda x, table=table: {"_more": [*log_likelihoods([visible(t) for t in x], table)]}, "_more array<double>", "html")
+        rows = written(rows.withColumn("log_text", F.concat("log_text", "_more")).drop("_more").withColumnRenamed("_html", "html"), "lang-evidence")
+    return rows
 
 
-def softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    parts = [F.exp(x - top) for x in logs]
-    total = sum(parts[1:], parts[0])
-    return [p / total for p in parts]
+def with_softmax(rows: DataFrame, logs: str, name: str) -> DataFrame:
+    rows = rows.withColumn("_top", F.array_max(logs)).withColumn("_parts", F.transform(logs, lambda x: F.exp(x - F.col("_top"))))
+    rows = rows.withColumn("_total", F.aggregate("_parts", F.lit(0.0), lambda total, x: total + x))
+    return rows.withColumn(name, F.transform("_parts", lambda x: x / F.col("_total"))).drop("_top", "_parts", "_total")
 
 
-def smoothed(rows: DataFrame, key: str, wider: list[Column], n: int, also: tuple[str, ...] = ()) -> DataFrame:
-    """key and ``prior``: the group's summed posteriors with SMOOTHING pages of ``wider`` (columns of each row's group)."""
-    sums = [F.sum(f"p{i}") for i in range(n)]
+def smoothed(rows: DataFrame, key: str, wider: Column | None, n: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """key and ``prior``: the group's summed posteriors with SMOOTHING pages of ``wider`` (an array of each row's group)."""
+    sums = [F.sum(F.col("p")[i]) for i in range(n)]
     grouped = rows.groupBy(key, *also).agg(F.array(*sums).alias("sums"), F.count("*").alias("n"))
-    return grouped if not wider else grouped.select(key, *also, mixed("sums", "n", wider, n).alias("prior"))
+    return grouped if wider is None else grouped.select(key, *also, mixed("sums", "n", wider).alias("prior"))
 
 
-def mixed(sums: str, count: str, wider: list[Column], n: int) -> Column:
-    return F.array(*[(F.col(sums)[i] + SMOOTHING * wider[i]) / (F.col(count) + SMOOTHING) for i in range(n)])
+def mixed(sums: str, count: str, wider: Column) -> Column:
+    return F.zip_with(sums, wider, lambda s, w: (s + SMOOTHING * w) / (F.col(count) + SMOOTHING))
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -118,29 +128,27 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     host; then the other evidence decides, at last the prior of all pages. Ties go to the language that sorts first.
     Without a labelled document lang is null and score 0. Null page_ids stay; repeated rows have one row each.
     """
-    langs, table = profiles(docs)
+    langs = languages(docs)
     n = len(langs)
     if not n:
         host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), "^[^:]*://([^/?#]*)", 1))
         none = F.lit(None).cast("string")
         return pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), none.alias("declared"), none.alias("text_lang"), none.alias("lang"), F.lit(0.0).alias("score"))
-    rows = evidence(pages, table)
-    text = [F.col("log_text")[i] for i in range(n)]
-    rows = rows.withColumns({f"p{i}": p for i, p in enumerate(softmax(text))})
-    overall = rows.agg(*[F.sum(f"p{i}").alias(f"s{i}") for i in range(n)], F.count("*").alias("n")).first()
+    rows = with_softmax(evidence(pages, docs, langs), "log_text", "p")
+    overall = rows.agg(*[F.sum(F.col("p")[i]).alias(f"s{i}") for i in range(n)], F.count("*").alias("n")).first()
     prior = [(overall[i] or 0.0) / overall["n"] if overall["n"] else 1 / n for i in range(n)]
-    prior = [0.99 * p + 0.01 / n for p in prior]
-    every = [F.lit(p) for p in prior]
-    pick = lambda c: [F.col(c)[i] for i in range(n)]
+    every = F.array(*[F.lit(0.99 * p + 0.01 / n) for p in prior])
     suffixes = smoothed(rows, "suffix", every, n).withColumnRenamed("prior", "_suffix")
-    domains = smoothed(rows, "domain", [], n, ("suffix",)).join(suffixes, "suffix").select("domain", mixed("sums", "n", pick("_suffix"), n).alias("_domain"))
-    hosts = smoothed(rows, "host", [], n, ("domain",)).join(domains, "domain").select("host", mixed("sums", "n", pick("_domain"), n).alias("by_host"))
+    domains = smoothed(rows, "domain", None, n, ("suffix",)).join(suffixes, "suffix").select("domain", mixed("sums", "n", F.col("_suffix")).alias("_domain"))
+    hosts = smoothed(rows, "host", None, n, ("domain",)).join(domains, "domain").select("host", mixed("sums", "n", F.col("_domain")).alias("by_host"))
     hosts = written(hosts, "lang-hosts")
     declared = written(smoothed(rows, "declared", every, n).withColumnRenamed("prior", "by_declared"), "lang-declared")
     codes = written(smoothed(rows, "path_code", every, n).withColumnRenamed("prior", "by_code"), "lang-codes")
     full = rows.join(hosts, "host").join(declared, "declared").join(codes, "path_code")
     # P(evidence | language) is proportional to P(language | evidence) / P(language).
-    logs = [text[i] + F.log(F.col("by_host")[i]) + F.log(F.col("by_declared")[i]) + F.log(F.col("by_code")[i]) - 2 * F.log(every[i]) for i in range(n)]
-    full = full.select("page_id", "host", "declared", F.array(*text).alias("_text"), F.array(*softmax(logs)).alias("_post"))
+    logs = F.zip_with("log_text", "by_host", lambda x, p: x + F.log(p))
+    for by in ("by_declared", "by_code"):
+        logs = F.zip_with(logs, by, lambda x, p: x + F.log(p))
+    full = with_softmax(full.withColumn("_logs", F.zip_with(logs, every, lambda x, p: x - 2 * F.log(p))), "_logs", "_post")
     name = lambda c: F.array(*map(F.lit, langs))[F.array_position(c, F.array_max(c)).cast("int") - 1]
-    return full.select("page_id", "host", F.when(F.col("declared") != "", F.col("declared")).alias("declared"), name("_text").alias("text_lang"), name("_post").alias("lang"), F.array_max("_post").alias("score"))
+    return full.select("page_id", "host", F.when(F.col("declared") != "", F.col("declared")).alias("declared"), name("log_text").alias("text_lang"), name("_post").alias("lang"), F.array_max("_post").alias("score"))

@@ -176,6 +176,18 @@ def test_language_fuses_evidence(spark):
     assert language.identify(odd.limit(0), docs).count() == 0
 
 
+def test_rare_language_is_kept(spark, monkeypatch):
+    """One document of 300 has its own language; blocks of languages give what one table gives."""
+    rare = "zyx qwv kjq xzz vqk jwx " * 20
+    rows = [("the house and the garden are here", "en")] * 200 + [("la maison et le jardin sont ici", "fr")] * 99 + [(rare, "zz")]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    pages = spark.createDataFrame([(1, "https://a.org/x", f"<p>{rare}</p>"), (2, "https://b.org/x", "<p>the garden and the house</p>"), (3, None, None)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.text_lang, r.lang, round(r.score, 9)) for r in language.identify(pages, docs).collect())
+    assert [x[1:3] for x in got[:2]] == [("zz", "zz"), ("en", "en")]
+    monkeypatch.setattr(language, "BLOCK", 2)
+    assert sorted((r.page_id, r.text_lang, r.lang, round(r.score, 9)) for r in language.identify(pages, docs).collect()) == got
+
+
 def test_words_and_runs():
     w = Words(["One two-three", None, "", "ÉTÉ x", "a b c d e f"])
     assert w.counts.tolist() == [3, 0, 0, 2, 6]
