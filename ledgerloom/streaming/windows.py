@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stream_files(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files under ``path`` (a file or a folder) as a stream with the schema that they have now."""
+def stream_files(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet files under ``path`` (a file or a folder) as a stream with the schema that they have now.
+
+    All files there are one micro-batch: with several, the newest event of one would make older ones of the next late.
+    """
     schema = spark.read.parquet(path).schema
     glob = path[:-1] + f"[{path[-1]}]"  # a pattern may name a single file, a plain path may not
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(glob)
+    return spark.readStream.schema(schema).parquet(glob)
 
 
 def windowed(events: DataFrame, time: str, by: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -136,3 +136,20 @@ def test_slots(spark):
     a, b = (r[0] for r in df.select(routing.validated(F.col("p"), F.col("item"), F.col("c"))).collect())
     assert (a.periods, a.violations, a.missing, a.status) == (["113Q2"], ["illegal period: 2024"], ["item"], "needs_clarification")
     assert (b.periods, b.status) == ([], "ok")
+
+
+def test_windows_over_many_files_lose_no_rows(spark, tmp_path):
+    """Two days of events in each of 2,010 files, whose times overlap: the windows count every row, as the batch does."""
+    from datetime import datetime, timedelta
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from ledgerloom.streaming import windows
+
+    (tmp_path / "events").mkdir()
+    start = datetime(2024, 1, 1)
+    times = pa.array([start, start + timedelta(days=2)], pa.timestamp("us", "UTC"))
+    for i in range(2010):
+        pq.write_table(pa.table({"ts": times, "kind": ["a", "a"]}), tmp_path / "events" / f"{i:04d}.parquet")
+    stream = windows.windowed(windows.stream_files(spark, str(tmp_path / "events")), "ts", "kind").select("kind", "n")
+    assert [r.n for r in windows.run_once(stream, str(tmp_path / "out"), str(tmp_path / "state")).collect()] == [2010]
