@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Bytes of text that one vectorised step takes at a time; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+#: Bytes of text, and texts, that one vectorised step takes at a time at most; a longer text is a step of its own.
+STEP_BYTES, STEP_TEXTS = 1 << 20, 1024
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_PRIME), -1, 1 << 64))
@@ -98,33 +99,37 @@ class Words:
             return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def steps(texts: Iterable[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts of about STEP_BYTES together."""
-    start, size, n = 0, 0, 0
-    for n, t in enumerate(texts, 1):
-        size += len(t or "") + 1
-        if size >= STEP_BYTES:
-            yield start, n
-            start, size = n, 0
-    if n > start:
-        yield start, n
+def steps(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts, given by their lengths, of at most STEP_BYTES and STEP_TEXTS together or of one text."""
+    ends = np.cumsum(np.asarray(lengths, dtype=np.int64) + 1)
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = int(np.searchsorted(ends, before + STEP_BYTES, side="right"))
+        stop = min(max(stop, start + 1), start + STEP_TEXTS)
+        yield start, stop
+        start = stop
 
 
-def map_texts(df: DataFrame, fn: Callable[[list[str | None]], dict], schema: str, text: str = "text") -> DataFrame:
-    """Columns of ``df`` but for ``text``, and those of ``schema``, which ``fn`` gives for a list of texts.
+def byte_lengths(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
 
-    ``fn`` gets neighbouring texts of about STEP_BYTES, never a whole partition; other columns pass through as Arrow.
+
+def map_texts(df: DataFrame, fn: Callable[[list[str | None]], dict], schema: str, text: str = "text", keep: bool = False) -> DataFrame:
+    """Columns of ``df``, without ``text`` unless ``keep``, and those of ``schema``, which ``fn`` gives for a list of texts.
+
+    ``fn`` gets neighbouring texts of about STEP_BYTES, never a whole batch; other columns pass through as Arrow.
     """
     new = StructType.fromDDL(schema)
-    kept = [c for c in df.columns if c != text]
-    out = StructType(df.select(*kept).schema.fields + new.fields)
+    kept = [c for c in df.columns if keep or c != text]
+    out = StructType(df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields + new.fields)
     types = to_arrow_schema(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            for a, b in steps(texts):
-                made = fn(texts[a:b])
+            texts = batch.column(batch.schema.get_field_index(text))
+            for a, b in steps(byte_lengths(texts)):
+                made = fn(texts.slice(a, b - a).to_pylist())
                 here = batch.slice(a, b - a)
                 arrays = [here.column(here.schema.get_field_index(c)) for c in kept]
                 arrays += [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, type=f.type) for f in types]
@@ -133,6 +138,16 @@ def map_texts(df: DataFrame, fn: Callable[[list[str | None]], dict], schema: str
     return df.mapInArrow(run, out)
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, list[Column], str]:
+    """``docs`` with its columns named by place, so that no name of theirs can clash; the columns that give the names
+    back; and the name by which the text, as a string, is found."""
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    rows, text = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names["text"]
+    if docs.schema["text"].dataType.simpleString() != "string":
+        rows, text = rows.withColumn("_text", F.col(text).cast("string")), "_text"
+    return rows, [F.col(n).alias(c) for c, n in names.items()], text
+
+
 def ids_and_texts(docs: DataFrame) -> DataFrame:
     """doc_id as long and text as string: all that an operator on texts reads."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

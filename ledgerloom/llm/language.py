@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_texts, steps, written
+from ledgerloom.llm.common import byte_lengths, map_texts, steps, written
 
 BUCKETS = 1 << 14
 #: Trigram tables are of so many languages at a time: each block of them has a pass of its own over the texts.

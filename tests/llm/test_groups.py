@@ -70,8 +70,14 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert (r.keep.doc_id, r.group_size) == (3, 3)
 
 
+def weighted_sets(texts):
+    text, element, count = near_dedup.counted(texts)
+    cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+    return [(element[a:b], near_dedup.weight_of(count[a:b])) for a, b in zip(cuts, cuts[1:])]
+
+
 def brute_components(texts, threshold=0.8):
-    sets = near_dedup._sets(texts)
+    sets = weighted_sets(texts)
     parent = list(range(len(texts)))
 
     def root(i):
@@ -110,24 +116,53 @@ def test_chains_of_near_copies_and_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
 
 
-def test_stray_members_of_a_bucket_are_compared(spark, monkeypatch):
-    """With one row per band buckets mix groups; the second round must find the links that leaders miss."""
-    rng = np.random.default_rng(4)
-    base = [f"w{i}" for i in range(200)]
+def edited(seed, n, most, words=200):
+    """n copies of one text with up to ``most`` words replaced: a loose group, whose members are at most similarities."""
+    rng = np.random.default_rng(seed)
     texts = []
-    for _ in range(40):
-        t = list(base)
-        for i in rng.choice(200, rng.integers(0, 9), replace=False):
+    for _ in range(n):
+        t = [f"w{i}" for i in range(words)]
+        for i in rng.choice(words, rng.integers(0, most + 1), replace=False):
             t[i] = f"x{rng.integers(1000)}"
         texts.append(" ".join(t))
+    return texts
+
+
+def linked_pairs(texts, threshold=0.8):
+    sets = weighted_sets(texts)
+    return [(i, j, s) for i, j in itertools.combinations(range(len(texts)), 2) if (s := near_dedup.similarity(sets[i], sets[j])) >= threshold]
+
+
+def test_small_buckets_are_compared_in_full(spark):
+    """With one bucket of all texts, as many rounds as texts find every link."""
+    texts = edited(4, 40, 9)
     docs = written(table(spark, [(i, t, "s") for i, t in enumerate(texts)]), "stray")
-    rows = near_dedup.sketched(docs).withColumn("bands", F.array(F.lit(1).cast("long")))  # one bucket holds all
-    links = near_dedup.links(docs, rows)
-    roots = {r.node: r.root for r in near_dedup.components(links).collect()}
-    fps = {r.doc_id: r.fp for r in rows.select("doc_id", "fp").collect()}
-    got = [roots.get(fps[i], fps[i]) for i in range(40)]
+    reps = near_dedup.representatives(near_dedup.sketched(docs)).withColumn("bands", F.array(F.lit(1).cast("long")))
+    roots = {r.node: r.root for r in near_dedup.links(docs, reps, rounds=40).collect()}
+    ids = {r.fp: r.id for r in reps.collect()}
+    own = [ids[r["fp"]] for r in near_dedup.sketched(docs).orderBy("doc_id").collect()]
+    got = [roots.get(i, i) for i in own]
     want = brute_components(texts)
-    assert len({(a, b) for a, b in zip(got, want)}) == len(set(got)) == len(set(want))
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+def test_recall_in_a_loose_group(spark):
+    """300 copies at 0.3 to 1.0 of each other: rounds of leaders keep at least 0.99 of the links, and add none."""
+    texts = edited(5, 300, 16)
+    pairs = linked_pairs(texts)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    want = brute_components(texts)
+    assert np.mean([got[i] == got[j] for i, j, _ in pairs]) >= 0.99 and len(pairs) > 2000
+    assert all(len({want[i] for i in got if got[i] == c}) == 1 for c in set(got.values()))
+    assert len(set(want)) > 20
+
+
+def test_counts_weigh_by_their_logarithm(spark):
+    """A line that stands a hundred times in two texts that share nothing else makes them no near copies."""
+    line = "one line of ten words that stands here very often "
+    texts = [line * 100 + " ".join(f"{c}{i}" for i in range(150)) for c in "ab"] + [" ".join(f"c{i}" for i in range(150)) + " " + line * k for k in (3, 4)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2}
 
 
 def test_signatures_estimate_weighted_similarity():
@@ -141,9 +176,9 @@ def test_signatures_estimate_weighted_similarity():
 
 
 def test_components_of_long_paths(spark):
-    e = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("x", "y"), ("z", "z")], "a string, b string")
+    e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(70, 80), (90, 90)], "a long, b long")
     got = {r.node: r.root for r in near_dedup.components(e).collect()}
-    assert all(got[f"{i:03}"] == "000" for i in range(41)) and got["y"] == "x" and "z" not in got
+    assert all(got[i] == 0 for i in range(41)) and got[80] == 70 and 90 not in got
 
 
 def fill(sizes, weights, most=3):
