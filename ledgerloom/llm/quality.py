@@ -11,14 +11,17 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from ledgerloom.llm.common import ids_and_texts, map_texts, mix, written
-from ledgerloom.llm.exact_dedup import whole
+from ledgerloom.llm.common import apart, ids_and_texts, map_texts, mix, written
 
-#: Texts that the scorer is trained on at most, in the order of a hash of doc_id.
-MAX_TRAIN_ROWS = 16_000
+#: Texts that the scorer is trained on at most, in the order of a hash of doc_id, and (bucket, share) pairs that come to
+#: the driver with them: texts beyond that are left out of the sample, so its bytes are bounded however long texts are.
+MAX_TRAIN_ROWS, MAX_TRAIN_PAIRS = 16_000, 6_000_000
 BUCKETS = 1 << 14
 
 #: The labellers: (name, bad from this value on, good up to this one), each of a measure of the text. Between: no vote.
@@ -78,6 +81,12 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def _first_of_text(text: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of one word of each kind in each text; two kinds of one text are taken for one with odds of 2 ** -64."""
+    with np.errstate(over="ignore"):
+        return np.unique(mix(hashes + mix(text.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
+
+
 def measures(p: Parts, hashes: np.ndarray) -> np.ndarray:
     """n x labellers; NaN where a text has too little to judge."""
     n = p.n
@@ -90,7 +99,7 @@ def measures(p: Parts, hashes: np.ndarray) -> np.ndarray:
     shouts = _running(doubled)
     same = np.concatenate([[False], (hashes[1:] == hashes[:-1]) & (p.text[1:] == p.text[:-1])]) if len(hashes) else np.zeros(0, bool)
     thrice = same & np.concatenate([[False], same[:-1]]) if len(same) else same
-    distinct = np.bincount(np.unique(np.stack([p.text.astype(np.uint64), hashes]), axis=1)[0].astype(np.int64), minlength=n) if len(hashes) else np.zeros(n)
+    distinct = np.bincount(p.text[_first_of_text(p.text, hashes)], minlength=n)
     few = words < 5
     with np.errstate(divide="ignore", invalid="ignore"):
         out = np.stack([
@@ -229,25 +238,31 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model | None:
     votes = np.array([["b-g".index(c) - 1 for c in r.pattern] for r in counts])
     accuracies = expectation_maximisation(votes, np.array([r.n for r in counts], float))
     sample = patterns.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = ids_and_texts(docs).join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), F.sha2("text", 256)).limit(max_rows)
+    rows = ids_and_texts(docs).join(F.broadcast(sample), "doc_id")
 
     def described(texts: list[str | None]) -> dict:
         p = parts_of(texts)
         hashes = _word_hashes(p.data, p.starts, p.ends)
         text, bucket, value = features(p, hashes)
-        cuts = np.searchsorted(text, np.arange(1, len(texts)))
-        return {"weak": accuracies.posterior(votes_of(measures(p, hashes))), "buckets": np.split(bucket.astype(np.int32), cuts), "shares": np.split(value.astype(np.float32), cuts)}
+        cuts = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (bucket.astype(np.int32), value.astype(np.float32))]
+        return {"weak": accuracies.posterior(votes_of(measures(p, hashes))), "buckets": lists[0], "shares": lists[1]}
 
     made = map_texts(rows, described, "weak double, buckets array<int>, shares array<float>").where(F.size("buckets") > 0)
-    local = written(made, "quality-sample").orderBy(F.xxhash64("doc_id"), F.xxhash64("buckets")).select("weak", "buckets", "shares").toArrow()
-    as_rows = [(np.array(b, np.int64), np.array(s, float)) for b, s in zip(local.column("buckets").to_pylist(), local.column("shares").to_pylist())]
-    if not as_rows:
+    made = written(made, "quality-sample").groupBy("doc_id").agg(F.min(F.struct("buckets", "shares", "weak")).alias("one"))
+    made = made.select(F.xxhash64("doc_id").alias("place"), "doc_id", "one.*")
+    upto = F.sum(F.size("buckets")).over(W.Window.orderBy("place", "doc_id"))  # over max_rows rows at most
+    local = made.withColumn("upto", upto).where(F.col("upto") <= MAX_TRAIN_PAIRS).orderBy("place", "doc_id").select("weak", "buckets", "shares").toArrow()
+    weak, buckets, shares = (local.column(c).combine_chunks() for c in local.column_names)
+    if not local.num_rows:
         return Model(accuracies, Scorer(0.0, np.zeros(BUCKETS)))
-    return Model(accuracies, fit(as_rows, local.column("weak").to_numpy()))
+    cuts = np.concatenate([[0], np.cumsum(pc.list_value_length(buckets).to_numpy(zero_copy_only=False))])
+    flat = buckets.flatten().to_numpy().astype(np.int64), shares.flatten().to_numpy().astype(float)
+    return Model(accuracies, fit([(flat[0][a:b], flat[1][a:b]) for a, b in zip(cuts, cuts[1:])], weak.to_numpy()))
 
 
-def judge(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` but for ``text``, and pattern, weak (posterior of the votes), score and kept."""
+def judge(docs: DataFrame, model: Model | None, text: str = "text", keep: bool = False) -> DataFrame:
+    """The columns of ``docs``, without ``text`` unless ``keep``, and pattern, weak (posterior of the votes), score and kept."""
 
     def judged(texts: list[str | None]) -> dict:
         p = parts_of(texts)
@@ -258,19 +273,19 @@ def judge(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
         weak = model.accuracies.posterior(votes) if model else np.full(len(texts), 0.5)
         return {"pattern": patterns_of(votes), "weak": weak, "score": score, "kept": score >= 0.5}
 
-    return map_texts(docs, judged, "pattern string, weak double, score double, kept boolean", text)
+    return map_texts(docs, judged, "pattern string, weak double, score double, kept boolean", text, keep)
 
 
 def classify(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """doc_id, pattern, weak, score and kept of every row of ``docs`` (doc_id, text; others are not read).
 
     Null texts and texts without words score 0 and are not kept. Rows with a null doc_id are judged, but never in the
-    training sample; repeated rows have one row each; an empty table gives no rows.
+    training sample; of rows that repeat a doc_id one is; each has a row of its own; an empty table gives no rows.
     """
     return judge(ids_and_texts(docs), train(docs, max_rows))
 
 
 def good_documents(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    rows = docs.select(whole(docs), docs["text"].cast("string").alias("text"))
-    return judge(rows, train(docs, max_rows)).where("kept").select("doc.*")
+    rows, back, text = apart(docs)
+    return judge(rows, train(docs, max_rows), text, keep=True).where("kept").select(*back)

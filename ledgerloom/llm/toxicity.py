@@ -12,15 +12,18 @@ from typing import NamedTuple
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ledgerloom.llm.common import Words, ids_and_texts, map_texts, written
 
-#: Labelled rows that training reads at most, in the order of a hash of doc_id.
-MAX_TRAIN_ROWS = 12_000
-#: Hash buckets of the terms, and those of them that the model keeps: the ones that tell the labels apart best.
+#: Labelled rows that training reads at most, in the order of a hash of doc_id, and terms that come to the driver with them:
+#: texts beyond that are left out of the sample.
+MAX_TRAIN_ROWS, MAX_TRAIN_TERMS = 12_000, 6_000_000
+#: Hash buckets of the terms.
 BUCKETS = 1 << 18
-MODEL_TERMS = 512
-#: Least evidence of a term: twice its log-likelihood ratio is then beyond what chance gives among all buckets.
+#: A bucket takes part in the machine if twice its log-likelihood ratio is beyond what chance gives among all buckets. With
+#: every bucket (179,438 stand in the 3,155 training texts of sf0.1) it learns the texts by heart: the area under the
+#: held-out curve falls from 0.96 to 0.79.
 LEAST_G = 12.0
 FACTORS = 8
 #: Beginnings of words, in bytes of UTF-8, that are terms too.
@@ -104,15 +107,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     """Fit on the rows of ``labels`` (doc_id, toxic) that are not held out, at most ``max_rows`` of them.
 
     The sampled ids are broadcast: their number is bounded by ``max_rows``. Rows with a null doc_id or label, or a
-    label that is neither 0 nor 1, teach nothing; of rows that repeat a doc_id the largest label counts. Without labels
+    label that is neither 0 nor 1, teach nothing; of rows that repeat a doc_id the largest label counts and one text does. Without labels
     the model is empty and every score is 0.5.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     usable = usable.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    # The sample again bounds the documents: repeated doc_ids could exceed it otherwise.
-    rows = ids_and_texts(docs).join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.sha2("text", 256)).limit(max_rows)
-    listed = written(map_texts(rows, term_lists, "terms array<int>").select("toxic", "terms"), "toxic")
+    rows = ids_and_texts(docs).join(F.broadcast(sample), "doc_id")
+    listed = written(map_texts(rows, term_lists, "terms array<int>"), "toxic-terms")
+    listed = written(listed.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("terms").alias("terms")), "toxic")
     totals = listed.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
     n, bad = totals["n"], totals["bad"] or 0
     if not n or not bad or bad == n:
@@ -123,12 +126,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     share = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
     k, b = F.col("k").cast("double"), F.col("b").cast("double")
     g = share(b, k * bad / n) + share(k - b, k * (n - bad) / n) + share(F.lit(float(bad)) - b, (n - k) * bad / n) + share(F.lit(float(n - bad)) - k + b, (n - k) * (n - bad) / n)
-    best = counts.where("k >= 2").select("term", g.alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(MODEL_TERMS)
-    kept = np.array(sorted(r.term for r in best.collect()), dtype=np.int64)
+    best = written(counts.where("k >= 2").select("term", g.alias("g")).where(F.col("g") >= LEAST_G).select("term"), "toxic-kept")
+    kept = np.sort(best.toArrow()["term"].to_numpy()).astype(np.int64)
     place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    known = F.array(*map(F.lit, kept.tolist())).cast("array<int>")
-    local = listed.select("toxic", F.array_sort(F.array_intersect("terms", known)).alias("terms"), F.xxhash64("terms").alias("key")).orderBy("key", "toxic").collect()
+    mine = listed.select("doc_id", "toxic", F.explode_outer("terms").alias("term")).join(best.withColumn("known", F.col("term")), "term", "left")
+    mine = mine.groupBy("doc_id", "toxic").agg(F.array_sort(F.collect_list("known")).alias("terms")).withColumn("key", F.xxhash64("doc_id"))
+    upto = F.sum(F.size("terms")).over(W.Window.orderBy("key", "doc_id"))  # over max_rows rows at most
+    local = mine.withColumn("upto", upto).where(F.col("upto") <= MAX_TRAIN_TERMS).orderBy("key", "doc_id").collect()
     w0, w, v = fit([place[np.array(r.terms, dtype=np.int64)] for r in local], np.array([r.toxic for r in local], float), len(kept))
     return Model(place, w0, w, v)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -112,6 +113,38 @@ def test_fuzzy_seeds_lose_nothing():
         assert hit and any(label == "mit" for label, *_ in licenses.fuzzy_spans(text))
 
 
+def test_neighbouring_and_repeated_notices():
+    spans = licenses.fuzzy_spans("released under teh mit license released under the mit license")
+    assert [(label, edits) for label, _, _, edits in spans] == [("mit", 2), ("mit", 0)]
+    began = time.monotonic()
+    n, places, first, last, _, labels, score, _ = licenses.scan_text("cc by " * 500_000)
+    assert (n, places, first, last, labels, score) == (1_000_000, 500_000, 0, 999_998, "cc-by", 1.0)
+    assert licenses.scan_text("under the " * 20_000)[5] == ""
+    assert len(licenses.scan_text("released under the mit licence " * 2000)[7]) == 2000
+    assert time.monotonic() - began < 60
+
+
+def test_fuzzy_labels_against_brute_force(spark):
+    """Every notice searched for over whole texts, without seeds, gives the same labels as the scan."""
+    import regex
+
+    rnd = random.Random(8)
+    letters = "abcdefgh mnost"
+    texts = []
+    for notice in licenses.NOTICES:
+        for edits in (0, 1, 2, 4, 7):
+            t = list(notice)
+            for _ in range(edits):
+                i = rnd.randrange(len(t))
+                t[i : i + 1] = rnd.choice([[], [rnd.choice(letters)], [t[i], rnd.choice(letters)]])
+            texts.append(f"some words before {''.join(t)} and words behind")
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if r.text and len(r.text) < 3000]
+    for text in texts + docs[:40]:
+        line = " ".join(licenses.fold(text).decode().split())
+        want = {label for notice, label in licenses.NOTICES.items() if regex.search(f"(?:{notice}){{e<={max(1, len(notice) // licenses.CHARS_PER_EDIT)}}}", line)}
+        assert {label for label, *_ in licenses.fuzzy_spans(line)} == want
+
+
 def test_quality_handles_odd_rows(spark):
     got = {r.doc_id: r for r in quality.classify(table(spark, ODD)).collect()}
     assert got[0].score == 0.0 and not got[0].kept and not got[1].kept and len(got) == len(ODD)
