@@ -3,9 +3,9 @@
 A stream of (digest, doc_id, content locator) rows is grouped by digest. Its state lives on disk in RocksDB, has no
 watermark and so never expires: per digest it retains the smallest row (doc_id, then locator) and the number of rows.
 Rows are combined per task before the shuffle, so a digest that a third of all rows share is no hot key. Digests that
-were hit more than once are then checked on the full bytes of the normalised texts, again by a grouped aggregation
-(the least and the greatest text of a digest are equal only if all are); digests that fail the check are grouped by
-their texts instead.
+were hit more than once are then checked on the full bytes of the normalised texts: a digest of several distinct texts
+fails the check and is grouped by its texts instead. Distinct texts are found per task first, so that copies of one
+text never meet in one task.
 """
 
 from __future__ import annotations
@@ -117,11 +117,9 @@ def decide(docs: DataFrame, digest=sha256) -> DataFrame:
     if not rows.limit(1).count():
         return rows.withColumns({"keep": F.lit(None).cast("struct<no_id:boolean,doc_id:long,file:string,row:long>"), "group_size": F.lit(0).cast("long")})
     state = written(keepers(spark, changes), "dedup-keepers")
-    hits = state.where("group_size > 1").select("digest")
     text = normalised(docs["text"])
     texts = located(docs, digest(text).alias("digest"), text.alias("text"))
-    hit = texts.join(hits, "digest", "left_semi")
-    clashes = hit.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a != b").select("digest")
+    clashes = texts.select("digest", "text").distinct().groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
     clashes = written(clashes, "dedup-clashes")
     if not clashes.limit(1).count():
         return rows.join(state, "digest")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import sql
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import table, written
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +26,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm import topk
 
-    vectors = table(spark, sf_dir, "embeddings")
-    return topk.top_k(vectors, vectors.where("vec_id % 20 = 0"))
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.expr("vec_id % 20 = 0"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm import url_rules
 
-    judged = url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    pages = table(spark, sf_dir, "pages")
+    judged = url_rules.judge(pages, written(url_rules.evidence(pages), "url-evidence"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -12,12 +12,13 @@ only k rows a query leave.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ledgerloom.llm.common import written
@@ -30,96 +31,111 @@ QUERY_BLOCK, BLOCK = 2048, 16384
 STRIDE = 8
 
 
-def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and v (array of integers): floor(scale * x) of every component. Rows that are null, or hold null or
-    non-finite components, are left out."""
-    x = F.col("embedding").cast("array<double>")
+def scaled(vectors: DataFrame, asked: Column, scale: int = SCALE) -> DataFrame:
+    """row (valid in the written table), vec_id, asked and v (array of integers): floor(scale * x) of every component.
+    Rows that are null, or hold null or non-finite components, are left out."""
+    x = F.col("x")
     fine = x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).where(fine & F.col("vec_id").isNotNull())
-    return rows.select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(asked, F.lit(False)).alias("asked"), F.col("embedding").cast("array<double>").alias("x")).where(fine)
+    return written(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "asked", F.transform("x", lambda c: F.floor(c * scale)).alias("v")), "topk-vectors")
 
 
-def packed(rows: DataFrame, size: int, seed: int) -> DataFrame:
-    """Blocks of about ``size`` vectors: block, ids and, dimension after dimension, the components, as bytes of int64.
-
-    Vectors of a block have the same number of components; the number of blocks follows the number of rows.
-    """
-    n = rows.count()
-    blocks = max(1, -(-n // size))
-    keyed = rows.select(F.size("v").alias("dims"), F.pmod(F.xxhash64(F.col("vec_id"), F.lit(seed)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v")
+def packed(rows: DataFrame, size: int, seed: int) -> tuple[DataFrame, int]:
+    """Blocks of about ``size`` vectors: dims, block, rows, ids, null_ids and, dimension after dimension, the components,
+    as bytes; and the number of blocks. Vectors of a block have the same number of components."""
+    blocks = max(1, -(-rows.count() // size))
+    keyed = rows.select(F.size("v").alias("dims"), F.pmod(F.xxhash64(F.col("row"), F.lit(seed)), F.lit(blocks)).cast("int").alias("block"), "row", F.coalesce("vec_id", F.lit(0)).alias("id"), F.col("vec_id").isNull().alias("no_id"), "v")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["vec_id"].to_numpy(np.int64)
         matrix = np.stack(pdf["v"].to_numpy()).astype(np.int64).T
-        return pd.DataFrame({"dims": [int(pdf["dims"].iloc[0])], "block": [int(pdf["block"].iloc[0])], "ids": [ids.tobytes()], "columns": [np.ascontiguousarray(matrix).tobytes()]})
+        own = {c: [pdf[c].to_numpy(t).tobytes()] for c, t in (("row", np.int64), ("id", np.int64), ("no_id", np.bool_))}
+        return pd.DataFrame({"dims": [int(pdf["dims"].iloc[0])], "block": [int(pdf["block"].iloc[0])], **own, "columns": [np.ascontiguousarray(matrix).tobytes()]})
 
-    return keyed.groupBy("dims", "block").applyInPandas(pack, "dims int, block int, ids binary, columns binary")
+    schema = "dims int, block int, row binary, id binary, no_id binary, columns binary"
+    return written(keyed.groupBy("dims", "block").applyInPandas(pack, schema), "topk-blocks"), blocks
 
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, columns: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the k best candidates of each query; queries and columns are dims x n."""
-    dims = len(columns)
-    order = np.argsort(-np.abs(columns).sum(axis=1), kind="stable")  # heavy dimensions first
+class Block(NamedTuple):
+    row: np.ndarray
+    id: np.ndarray
+    no_id: np.ndarray
+    columns: np.ndarray  # dims x n
+
+    @staticmethod
+    def of(dims: int, row: bytes, id: bytes, no_id: bytes, columns: bytes) -> Block:
+        rows = np.frombuffer(row, np.int64)
+        matrix = np.frombuffer(columns, np.int64).reshape(dims, len(rows)) if dims else np.zeros((1, len(rows)), np.int64)
+        return Block(rows, np.frombuffer(id, np.int64), np.frombuffer(no_id, np.bool_), matrix)
+
+
+def search_block(asked: Block, block: Block, k: int) -> dict[str, np.ndarray]:
+    """query (row), query_id, candidate (place in ``block``) and score of the k best candidates of each query."""
+    columns, queries = block.columns, asked.columns
+    order = np.argsort(-np.abs(columns.astype(np.float64)).sum(axis=1), kind="stable")  # heavy dimensions first
+    exact = [x.astype(object)[order] for x in (columns, queries)]
     columns, queries = columns[order].astype(np.float64), queries[order].astype(np.float64)
+    dims = len(columns)
     stops = [*range(STRIDE, dims, STRIDE), dims]
-    rest = [np.sqrt((columns[s:] ** 2).sum(axis=0)) for s in stops]
-    query_rest = [np.sqrt((queries[s:] ** 2).sum(axis=0)) for s in stops]
-    out_q, out_v, out_s = [], [], []
-    for q, query_id in enumerate(query_ids):
-        alive = np.flatnonzero(ids != query_id)
-        score = np.zeros(len(alive))
-        start, full = 0, len(alive) == len(ids)
-        for step, stop in enumerate(stops):
-            part = columns[start:stop] if full else columns[start:stop, alive]
-            score += queries[start:stop, q] @ part
-            start, full = stop, False
-            if stop == dims or len(alive) <= k:
-                continue
+    rest = [np.sqrt((columns[s:] ** 2).sum(axis=0)) for s in [0, *stops]]
+    query_rest = [np.sqrt((queries[s:] ** 2).sum(axis=0)) for s in [0, *stops]]
+    out: dict[str, list] = {c: [] for c in ("query", "query_id", "candidate", "score")}
+    for q in range(len(asked.row)):
+        alive = np.flatnonzero(block.row != asked.row[q])
+        if rest[0].max(initial=0.0) * query_rest[0][q] < 2.0**53:
             # Sums of integers below 2**53 are exact; the bound's roots are not, so it is widened a little.
-            slack = rest[step][alive] * query_rest[step][q] * (1 + 1e-9) + 1e-6
-            low = score - slack
-            certain = np.partition(low, len(low) - k)[len(low) - k]
-            stay = score + slack >= certain
-            alive, score = alive[stay], score[stay]
+            score = np.zeros(len(alive))
+            start, full = 0, len(alive) == len(block.row)
+            for step, stop in enumerate(stops, 1):
+                part = columns[start:stop] if full else columns[start:stop, alive]
+                score += queries[start:stop, q] @ part
+                start, full = stop, False
+                if stop == dims or len(alive) <= k:
+                    continue
+                slack = rest[step][alive] * query_rest[step][q] * (1 + 1e-9) + 1e-6
+                low = score - slack
+                certain = np.partition(low, len(low) - k)[len(low) - k]
+                stay = score + slack >= certain
+                alive, score = alive[stay], score[stay]
+            score = score.astype(np.int64)
+        else:  # whole numbers of any length
+            score = np.clip(exact[1][:, q] @ exact[0][:, alive], -(2**63), 2**63 - 1).astype(np.int64)
         if len(alive) > k:
             edge = np.partition(score, len(score) - k)[len(score) - k]
             stay = score >= edge
             alive, score = alive[stay], score[stay]
-        best = np.lexsort((ids[alive], -score))[:k]
-        out_q.append(np.full(len(best), query_id))
-        out_v.append(ids[alive][best])
-        out_s.append(score[best].astype(np.int64))
-    return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
+        best = np.lexsort((block.id[alive], block.no_id[alive], -score))[:k]
+        for c, x in (("query", np.full(len(best), asked.row[q])), ("query_id", np.full(len(best), asked.id[q])), ("candidate", alive[best]), ("score", score[best])):
+            out[c].append(x)
+    return {c: np.concatenate(x) for c, x in out.items()}
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of ``vectors`` for every row of ``queries`` (both vec_id, embedding).
+def top_k(vectors: DataFrame, asked: Column, k: int = K, scale: int = SCALE, query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best rows of ``vectors`` (vec_id, embedding) for every row where ``asked``.
 
-    A row with the query's own id is no candidate. Ties go to the smaller vec_id. Null vec_ids and unusable vectors take
-    no part; only vectors of equally many components meet; rows that repeat a vec_id count once, the greatest vector of
-    them; fewer than k candidates give fewer rows; empty tables give none.
+    Every row but the query's own is a candidate, also rows that repeat its vec_id; each row that is asked has ranks of its own. Ties go to
+    the smaller vec_id, null last. Unusable vectors take no part; only vectors of equally many components meet; fewer
+    than k candidates give fewer rows; empty tables give none. Scores beyond 64 bits are held at their limits.
     """
-    # A repeated id counts once; the scaled table is written so that both sides read the same rows.
-    rows = written(scaled(vectors, scale).groupBy("vec_id").agg(F.max("v").alias("v")), "topk-vectors")
-    asked = written(scaled(queries, scale).groupBy("vec_id").agg(F.max("v").alias("v")), "topk-queries")
-    left = packed(asked, query_block, 1)
-    right = packed(rows, block, 2)
-    left = written(left, "topk-query-blocks")
-    right = written(right, "topk-blocks")
-    # Each block of candidates is sent to each block of queries of its dimensions, which is the work that is asked for.
-    pairs = left.select("dims", F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("columns").alias("q_columns")).join(right, "dims")
-    pairs = pairs.repartition(F.col("dims"), F.col("qb"), F.col("block"))
-    schema = T.StructType.fromDDL("query_id long, vec_id long, score long")
-
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for r in part.itertuples(index=False):
-                q_ids, ids = (np.frombuffer(x, np.int64) for x in (r.q_ids, r.ids))
-                q = np.frombuffer(r.q_columns, np.int64).reshape(r.dims, len(q_ids)) if r.dims else np.zeros((0, len(q_ids)))
-                c = np.frombuffer(r.columns, np.int64).reshape(r.dims, len(ids)) if r.dims else np.zeros((0, len(ids)))
-                found = search_block(q_ids, q, ids, c, k) if r.dims else search_block(q_ids, np.zeros((1, len(q_ids))), ids, np.zeros((1, len(ids))), k)
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
-
-    found = pairs.mapInPandas(search, schema)
-    order = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    rows = scaled(vectors, asked, scale)
+    left, query_blocks = packed(rows.where("asked"), query_block, 1)
+    right, blocks = packed(rows, block, 2)
+    # Each block of candidates is sent to each block of queries, which is the work that is asked for; both sides are keyed by the pair.
+    sides = [x.select("dims", F.struct("row", "id", "no_id", "columns").alias(name), *cols) for x, name, cols in (
+        (left, "l", [F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("cb")]),
+        (right, "r", [F.col("block").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb")]),
+    )]
+    pairs = sides[0].join(sides[1], ["dims", "qb", "cb"]).select("dims", "l.*", *[F.col(f"r.{c}").alias(f"r_{c}") for c in ("row", "id", "no_id", "columns")])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dims, *parts = (column[i].as_py() for column in batch.columns)
+                own, other = Block.of(dims, *parts[:4]), Block.of(dims, *parts[4:])
+                found = search_block(own, other, k)
+                at = found.pop("candidate")
+                found |= {"vec_id": pa.array(other.id[at], mask=other.no_id[at]), "row": other.row[at]}
+                yield pa.RecordBatch.from_pydict({c: pa.array(found[c]) for c in ("query", "query_id", "vec_id", "row", "score")})
+
+    found = pairs.mapInArrow(search, "query long, query_id long, vec_id long, row long, score long")
+    order = W.Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,10 @@
 The tokens of labelled URLs and their label are Spark FP-growth's transactions. Rules from tokens to the label ``block``
 that reach a support and a confidence stay; one that a rule with fewer tokens implies at no less confidence goes. An
 inverted index from a rule's tokens to the rule finds, for every URL, the rules whose tokens it all has.
+
+Labels are a table of their own. Where none are given, the pages themselves say what they are (``evidence``): a base
+rule that fits labels its page, and the other pages' visible text does, by the quality classifier that is fitted, without
+labels, on the texts of all pages.
 """
 
 from __future__ import annotations
@@ -13,7 +17,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import written
+from ledgerloom.llm import language, quality
+from ledgerloom.llm.common import map_texts, written
 
 #: Fixed values: (verdict, host, path) of the base rules.
 RULES = (
@@ -22,8 +27,6 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-#: Words of a host that label its url as one to block, beside the labels that are given.
-SEEDS = ("casino", "bets", "pills", "adult", "ads", "spam")
 #: Support is a count of labelled pages to block, the same at every size; MIN_SUPPORT can ask for a share of them besides.
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_COUNT = 0.0, 0.8, 5
 BLOCK = "label=block"
@@ -35,10 +38,10 @@ def after_scheme(url: Column) -> Column:
     return F.when(at > 0, F.expr("substring(_url, locate('://', _url) + 3)"))
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, host, path and tokens of every url: A-Z of the host in lower case, the path up to ``?``, ``#`` or the end."""
+def parsed(pages: DataFrame, *also: str) -> DataFrame:
+    """page_id, host, path, tokens and ``also`` of every url: A-Z of the host in lower case, the path up to ``?``, ``#`` or the end."""
     lower = "translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("_url"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("_url"), *also)
     p = p.withColumn("_rest", F.coalesce(after_scheme(F.col("_url")), F.lit("")))
     p = p.withColumn("h", F.regexp_extract("_rest", "^[^/?#]*", 0)).withColumn("_tail", F.expr("substring(_rest, length(h) + 1)"))
     p = p.withColumn("host", F.expr(lower)).withColumn("path", F.regexp_extract("_tail", "^[^?#]*", 0))
@@ -50,7 +53,7 @@ def parsed(pages: DataFrame) -> DataFrame:
         F.transform(F.filter(F.split(query, "[?&#]"), lambda x: x != ""), lambda x: F.concat(F.lit("query:"), F.split(x, "=")[0])),
         F.array(F.concat(F.lit("scheme:"), F.when(F.locate("://", F.col("_url")) > 0, F.lower(F.substring_index("_url", "://", 1))).otherwise(""))),
     ]
-    return p.select("page_id", "host", "path", F.array_distinct(F.concat(*pieces)).alias("tokens"))
+    return p.select("page_id", "host", "path", *also, F.array_distinct(F.concat(*pieces)).alias("tokens"))
 
 
 def fits(host: str, path: str) -> Column:
@@ -78,9 +81,9 @@ def vocabulary(labelled: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     each = marks.groupBy("token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"))
     each = written(each.where(F.col("bad") >= min_count), "url-tokens")
     items = each.groupBy(same).agg(F.min("token").alias("item"))
-    every = labelled.agg(F.count("*").alias("every"))
-    apart = (F.col("bad") == F.col("n")) | (F.col("n") == F.col("every"))
-    return written(each.join(items, same).crossJoin(F.broadcast(every)).select("token", "item", "n", "bad", apart.alias("apart")), "url-items")
+    every = labelled.count()
+    spread = (F.col("bad") == F.col("n")) | (F.col("n") == every)
+    return written(each.join(items, same).select("token", "item", "n", "bad", spread.alias("apart")), "url-items")
 
 
 def as_items(sets: DataFrame, words: DataFrame) -> DataFrame:
@@ -138,29 +141,34 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("tokens_id").agg(F.min(F.struct((-F.col("confidence")).alias("sure"), "rule_id")).alias("best")).select("tokens_id", F.col("best.rule_id").alias("mined"))
 
 
+def evidence(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id and blocked of every row of ``pages`` (page_id, url, html) that says what it is: by the base rule that
+    fits, else by its visible text, which the quality classifier keeps or not. Pages without a visible word say nothing."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    texts = written(map_texts(rows, lambda x: {"text": [language.visible(t) for t in x]}, "text string", "html"), "url-texts")
+    texts = texts.withColumn("doc_id", F.col("page_id"))
+    judged = quality.judge(texts, quality.train(texts)).where(F.translate("pattern", "-", "") != "").select("page_id", "url", "kept")
+    _, verdict = base_rule(rules)
+    based = parsed(rows).select("page_id", verdict.alias("verdict")).where("verdict IS NOT NULL").select("page_id", (F.col("verdict") == "block").alias("blocked"))
+    other = parsed(judged, "kept").where(verdict.isNull()).select("page_id", (~F.col("kept")).alias("blocked"))
+    return based.union(other)
+
+
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """page_id, host, path, rule, verdict and mined (the seed or association rule that decided, if any) of every row of ``pages``.
+    """page_id, host, path, rule, verdict and mined (the association rule that decided, if any) of every row of ``pages``.
 
-    ``labels`` (doc_id, quality, toxic) labels the page of that id: bad quality or toxic means block; so does a host with
-    a word of SEEDS. Only pages with a given label are mined, MIN_COUNT of them at least for a rule: seeds name no clean
-    pages, so by them any token beside a seed would look sure; they are rules of their own. The base rules come first; where none fits, a seed or
-    an association rule that matches blocks, and else the url is allowed. Null urls and urls
+    ``labels`` (page_id, blocked) are what is mined: MIN_COUNT labelled pages to block at least for a rule. The base rules come first;
+    where none fits, an association rule that matches blocks, and else the url is allowed. Null urls and urls
     without ``://`` have an empty host and path. Null page_ids stay, repeated rows have one row each, and a page_id
-    that several labels name counts as blocked if any blocks. Without labels nothing is mined.
+    that several labels name counts as blocked if any blocks; null labels say nothing. Without labels nothing is mined.
     """
     urls = written(parsed(pages).withColumn("tokens_id", F.xxhash64("tokens")), "urls")
-    bad = labels.select(F.col("doc_id").cast("long").alias("page_id"), (F.coalesce(F.col("quality").cast("int") == 0, F.lit(False)) | F.coalesce(F.col("toxic").cast("int") == 1, F.lit(False))).alias("b"))
-    bad = bad.where("page_id IS NOT NULL").groupBy("page_id").agg(F.max("b").alias("blocked"))
-    seeds = F.array(*[F.lit(f"word:{w}") for w in SEEDS])
-    seeded = F.arrays_overlap("tokens", seeds)
-    known = urls.join(bad, "page_id").select("tokens", (seeded | F.col("blocked")).alias("blocked"))
-    known = written(known, "url-labelled")
+    bad = labels.where("page_id IS NOT NULL AND blocked IS NOT NULL").groupBy("page_id").agg(F.max("blocked").alias("blocked"))
+    known = written(urls.join(bad, "page_id").select("tokens", "blocked"), "url-labelled")
     words = vocabulary(known)
     mined = written(rules_of(known, words, min_support, min_confidence), "url-mined")
     rule, verdict = base_rule(rules)
     found = written(matched(as_items(urls, words), mined), "url-matches")
     out = urls.join(found, "tokens_id", "left").withColumns({"rule": rule, "_base": verdict})
-    seed = F.array_min(F.array_intersect("tokens", seeds))
-    out = out.withColumn("mined", F.coalesce(seed, "mined"))
     own = F.when(F.col("mined").isNotNull(), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("_base", own).alias("verdict"), F.when(F.col("rule").isNull(), F.col("mined")).alias("mined"))

@@ -227,53 +227,108 @@ def test_search_against_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 16)).astype(np.float32)
     x[10:20] = x[9]  # ties
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [None] * 16), (902, [float("nan")] * 16), (903, [1.0] * 3), (904, [2.0] * 3), (None, [1.0] * 16), (905, [])]
+    x[60:100] = x[200] * 3  # more ties than ranks, over the borders of blocks
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [None] * 16), (902, [float("nan")] * 16), (903, [1.0] * 3), (904, [2.0] * 3), (None, [1.0] * 16), (905, []), (40, x[7].tolist()), (40, x[7].tolist())]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit("clash"))
-    got = topk.top_k(v, v.where("vec_id % 20 = 0 OR vec_id >= 900"), 20, query_block=4, block=64).collect()
-    ints = np.floor(64 * x.astype(float)).astype(np.int64)
+    got = topk.top_k(v, F.expr("vec_id % 20 = 0 OR vec_id >= 900"), 20, query_block=4, block=64).collect()
+    all_ids = [*range(300), None, 40, 40]
+    ints = np.floor(64 * np.concatenate([x, np.ones((1, 16)), x[7:8], x[7:8]]).astype(float)).astype(np.int64)
     for q in range(0, 300, 20):
-        s = ints @ ints[q]
-        best = sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:20]
-        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == [(i, s[i]) for i in best]
+        mine = sorted((r["rank"], r.vec_id if r.vec_id is not None else 10**6, r.score) for r in got if r.query_id == q)
+        want = []
+        for own in [q] if q != 40 else [40, 301, 302]:
+            s = ints @ ints[own]
+            ids = [10**6 if i is None else i for i in all_ids]
+            best = sorted((i for i in range(len(s)) if i != own), key=lambda i: (-s[i], ids[i]))[:20]
+            want += [(n, ids[i], s[i]) for n, i in enumerate(best, 1)]
+        assert mine == sorted(want)
     assert [(r.query_id, r.vec_id) for r in got if r.query_id in (903, 904)] in ([(903, 904), (904, 903)], [(904, 903), (903, 904)])
-    assert topk.top_k(v.limit(0), v).count() == 0
+    assert topk.top_k(v.limit(0), F.lit(True)).count() == 0
+
+
+def test_search_in_very_long_and_very_large_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(-(2**24), 2**24, (12, 3000)).astype(float)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = topk.top_k(v, F.expr("vec_id < 2"), 5, scale=1, block=4).collect()
+    for q in (0, 1):
+        s = {i: sum(int(a) * int(b) for a, b in zip(x[q], x[i])) for i in range(12) if i != q}
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == sorted(s.items(), key=lambda e: (-e[1], e[0]))[:5]
 
 
 def test_url_rules(spark):
     urls = [
         "https://A.Example.COM/de/x?y#z", "https://example.net/en/1", "http://sub.example.net/fr/1", "https://x.org/fr/", "https://x.org/FR/", "no scheme", None, "a://b://c/d", "https://example.com?x=/de/", "http://casino-win.example.com/en/1",
     ]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(100 + i, f"https://casino-w{i % 2}.example.com/en/{i}") for i in range(30)] + [(200 + i, f"https://news{i % 3}.example.com/en/{i}") for i in range(60)], "page_id long, url string")
-    labels = spark.createDataFrame([(9, 0, 0), (9, 1, None), (None, 0, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    urls += ["http://" + "x" * 100_000 + ".com/" + "y/" * 20_000, urls[0]]
+    pages = spark.createDataFrame([(i, u, "clash", "clash", "clash") for i, u in enumerate(urls)] + [(100 + i, f"https://casino-w{i % 2}.example.com/en/{i}", "", "", "") for i in range(30)] + [(200 + i, f"https://news{i % 3}.example.com/en/{i}", "", "", "") for i in range(60)], "page_id long, url string, tokens string, host string, mined string")
+    labels = spark.createDataFrame([(i, i < 200) for i in [*range(100, 112), *range(200, 260)]] + [(4, None), (None, True), (9, False), (9, True)], "page_id long, blocked boolean")
     got = {r.page_id: r for r in url_rules.judge(pages, labels).collect()}
     assert [got[i].rule for i in range(9)] == ["example.com/de/", "example.net/en/", "net/", "org/fr/", None, None, None, None, None]
     assert [got[i].verdict for i in range(4)] == ["block", "allow", "block", "allow"]
     assert (got[0].host, got[0].path, got[7].host, got[7].path, got[5].host, got[6].path) == ("a.example.com", "/de/x", "b:", "//c/d", "", "")
-    assert got[9].verdict == "block" and got[9].rule is None and got[110].verdict == "block" and got[4].verdict == "allow"
-    assert url_rules.judge(pages.limit(0), labels).count() == 0 and url_rules.judge(pages.limit(3), labels.limit(0)).count() == 3
+    assert got[9].verdict == "block" and got[9].rule is None and got[120].verdict == "block" and got[4].verdict == "allow"
+    assert (len(got[10].host), got[10].verdict, got[11].rule, len(got)) == (100_004, "allow", "example.com/de/", 102)
+    assert url_rules.judge(pages.limit(0), labels).count() == 0
+    assert {r.verdict for r in url_rules.judge(pages.where("page_id > 11"), labels.limit(0)).collect()} == {"allow"}
 
 
 def test_given_labels_make_url_rules(spark):
-    """All labelled pages of a host are bad, most of its pages have no label: the host is blocked, one with mixed labels is not."""
+    """All labelled pages of a host are bad, most of its pages have no label: the host is blocked, one with mixed labels is not.
+    With the labels turned round the rules turn too."""
     hosts = {"murk.example.org": 0, "plain.example.org": 1}
     pages = spark.createDataFrame([(100 * k + i, f"https://{h}/en/{i}") for h, k in hosts.items() for i in range(50)], "page_id long, url string")
-    labels = spark.createDataFrame([(i, 0, 0) for i in range(12)] + [(100 + i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
-    got = {(r.host, r.verdict) for r in url_rules.judge(pages, labels).collect()}
-    assert got == {("murk.example.org", "block"), ("plain.example.org", "allow")}
+    for bad, ok in ((0, 100), (100, 0)):
+        labels = spark.createDataFrame([(bad + i, True) for i in range(12)] + [(ok + i, i % 2 == 0) for i in range(12)], "page_id long, blocked boolean")
+        got = {r.verdict: r.host for r in url_rules.judge(pages, labels).select("host", "verdict").distinct().collect()}
+        assert got["block"] == ("murk.example.org", "plain.example.org")[bad // 100] and len(set(got.values())) == 2
 
 
 def test_url_support_is_a_count_of_labelled_pages(spark):
-    """A bad host of six labelled pages among 3,000, and two seeded pages: no bar that grows with the table allows them."""
-    urls = [f"https://news{i % 7}.example.com/en/{i}" for i in range(3000)] + [f"https://a.mu-rk{i % 2}.example.org/en/{i}" for i in range(12)] + ["http://big-pills.example.com/en/1"] * 2
+    """A bad host of six labelled pages among 3,000: no bar that grows with the table allows it."""
+    urls = [f"https://news{i % 7}.example.com/en/{i}" for i in range(3000)] + [f"https://a.mu-rk{i % 2}.example.org/en/{i}" for i in range(12)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(3000)] + [(3000 + i, 0, 0) for i in range(0, 12)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, False) for i in range(3000)] + [(3000 + i, True) for i in range(0, 12)], "page_id long, blocked boolean")
     got = url_rules.judge(pages, labels).where("verdict = 'block'")
-    assert sorted(r.page_id for r in got.collect()) == list(range(3000, 3014))
+    assert sorted(r.page_id for r in got.collect()) == list(range(3000, 3012))
     hosts = spark.createDataFrame([(i, f"https://{'x.y' if i % 2 else 'x-y'}.example.com/en/") for i in range(200)], "page_id long, url string")
-    judged = url_rules.judge(hosts, spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int"))
+    judged = url_rules.judge(hosts, spark.createDataFrame([(i, i % 2 == 1) for i in range(100)], "page_id long, blocked boolean"))
     assert {(r.host, r.verdict) for r in judged.collect()} == {("x.y.example.com", "block"), ("x-y.example.com", "allow")}
 
 
+def test_urls_of_pages_against_brute_force(spark):
+    """Whole table: base rules by hand, and rules of up to three tokens from counting all combinations."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    labels = written(url_rules.evidence(pages), "labels")
+    bad = {}
+    for r in labels.collect():
+        bad[r.page_id] = bad.get(r.page_id, False) or r.blocked
+    got = {r.page_id: r for r in url_rules.judge(pages, labels).collect()}
+    tokens = {r.page_id: frozenset(r.tokens) for r in url_rules.parsed(pages).collect()}
+    n, hits = Counter(), Counter()
+    for i, t in tokens.items():
+        if i in bad:
+            for k in (1, 2, 3):
+                for c in itertools.combinations(sorted(t), k):
+                    n[c] += 1
+                    hits[c] += bad[i]
+    rules = [set(c) for c, x in hits.items() if x >= url_rules.MIN_COUNT and x / n[c] >= url_rules.MIN_CONFIDENCE]
+    for r in pages.select("page_id", "url").collect():
+        host, path = "", ""
+        if m := re.match(r".*?://([^/?#]*)([^?#]*)", r.url or "", re.S):
+            host, path = m[1].lower(), m[2]
+        fit = [(len(h + p), h + p, v) for v, h, p in url_rules.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        x = got[r.page_id]
+        assert (x.host, x.path, x.rule) == (host, path, max(fit)[1] if fit else None)
+        if fit:
+            assert x.verdict == max(fit)[2] and bad[r.page_id] == (x.verdict == "block")
+        elif x.mined is None:
+            assert x.verdict == "allow" and not any(c <= tokens[r.page_id] for c in rules)
+        else:
+            assert x.verdict == "block"
+    assert len(got) == pages.count() and rules
+
+
 def test_url_items_make_the_same_rules(spark):
     """Merged and set-apart tokens leave the pages that plain mining's rules match."""
     rng = random.Random(5)
