@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 ROC = 1911
 LABEL = r"^(\d{3})Q([1-4])$"
-RANGE = r"(\d{2,4})年(\d{1,2})月(\d{1,2})日至(?:(\d{2,4})年)?(\d{1,2})月(\d{1,2})日"
+RANGE = r"(\d{2,4})年(\d{1,2})月(\d{1,2})日(?:至|到|~|～|-|－)(?:(\d{2,4})年)?(\d{1,2})月(\d{1,2})日"
 INSTANT = r"(\d{2,4})年(\d{1,2})月(\d{1,2})日"
 
 
@@ -47,8 +47,26 @@ def _iso(y: Column, m: Column, d: Column) -> Column:
     return F.format_string("%04d-%02d-%02d", y, m, d)
 
 
+#: Words of headers without a date and the role that each gives, in the order in which they are looked for.
+RELATIVE = (
+    ("去年同期累計", "prior_ytd"), ("本期累計", "current_ytd"), ("去年同期", "prior"), ("本期期末", "current_end"), ("本期期初", "current_beginning"),
+    ("期末", "current_end"), ("期初", "current_beginning"), ("本期", "current"), ("上期", "prior"), ("前期", "prior"),
+)
+
+
 def header_kind(header: Column) -> Column:
-    return F.when(header.rlike(RANGE), "duration").when(header.rlike(INSTANT), "instant").otherwise("unknown")
+    relative = header.rlike("|".join(w for w, _ in RELATIVE))
+    return F.when(header.rlike(RANGE), "duration").when(header.rlike(INSTANT), "instant").when(relative, "relative").otherwise("unknown")
+
+
+def header_role(header: Column, label: Column) -> Column:
+    """current or prior by the year in which the header's date ends against the report's; else what its words say."""
+    ends, year = F.substring(header_end(header), 1, 4).cast("int"), fiscal_year(label) + ROC
+    dated = F.when(ends == year, "current").when(ends == year - 1, "prior").otherwise("unknown")
+    words = F.lit("unknown")
+    for word, role in reversed(RELATIVE):
+        words = F.when(header.contains(word), role).otherwise(words)
+    return F.when(header.rlike(RANGE) | header.rlike(INSTANT), dated).otherwise(words)
 
 
 def header_start(header: Column) -> Column:
@@ -69,7 +87,7 @@ def header_year(header: Column) -> Column:
 
 def header_key(header: Column) -> Column:
     """What two headers of one date share: the date, or range of dates, else the first 12 characters."""
-    found = F.regexp_extract(header, INSTANT + r"(至(?:\d{2,4}年)?\d{1,2}月\d{1,2}日)?", 0)
+    found = F.regexp_extract(header, INSTANT + r"((?:至|到|~|～|-|－)(?:\d{2,4}年)?\d{1,2}月\d{1,2}日)?", 0)
     return F.when(found != "", found).otherwise(F.substring(header, 1, 12))
 
 

@@ -34,6 +34,7 @@ SELECT column_header, period, CASE WHEN column_header LIKE '%至%' THEN 'duratio
   CASE WHEN column_header LIKE '%至%' THEN left(column_header, 4) || '-' || lpad(regexp_extract(column_header, '年([0-9]+)月1日至', 1), 2, '0') || '-01' END AS period_start,
   left(column_header, 4) || '-' || lpad(regexp_extract(column_header, '([0-9]+)月([0-9]+)日$', 1), 2, '0') || '-' || lpad(regexp_extract(column_header, '([0-9]+)日$', 1), 2, '0') AS period_end,
   CAST(left(column_header, 4) AS INT) AS header_year, column_header AS header_key,
+  CASE WHEN left(column_header, 4)::INT = CAST(left(period, 3) AS INT) + 1911 THEN 'current' WHEN left(column_header, 4)::INT = CAST(left(period, 3) AS INT) + 1910 THEN 'prior' ELSE 'unknown' END AS period_role,
   (CAST(left(period, 3) AS INT) + 1911) || right(period, 2) AS western, CAST(left(period, 3) AS INT) * 10 + CAST(right(period, 1) AS INT) AS sort_key
 FROM h""")
 def header_period_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def header_period_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts(spark, sf_dir).select("column_header", "period").distinct()
     return rows.select(
         h, p, periods.header_kind(h).alias("period_kind"), periods.header_start(h).alias("period_start"), periods.header_end(h).alias("period_end"),
-        periods.header_year(h).alias("header_year"), periods.header_key(h).alias("header_key"), periods.western_label(p).alias("western"), periods.sort_key(p).alias("sort_key"),
+        periods.header_year(h).alias("header_year"), periods.header_key(h).alias("header_key"), periods.header_role(h, p).alias("period_role"), periods.western_label(p).alias("western"), periods.sort_key(p).alias("sort_key"),
     )
 
 
@@ -95,17 +96,17 @@ def dedupe_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("P11 A5 F10", f"""WITH {FACTS} SELECT period, table_name LIKE '%現金流量%' AS entity, count(*) AS n, count(DISTINCT company) AS companies FROM facts GROUP BY ALL""")
 def entity_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of cash-flow tables stand in for those about single entities, which the order tables lack."""
-    named = F.regexp_replace("table_name", "現金流量", "關係人")
+    named = F.regexp_replace("table_name", "現金流量", "關係人名錄")
     rows = facts(spark, sf_dir).select("period", ops.is_entity_table(named).alias("entity"), "company")
     return rows.groupBy("period", "entity").agg(F.count("*").alias("n"), F.count_distinct("company").alias("companies"))
 
 
 @query("A9 J13 G10 K3", """
 SELECT s_suppkey AS source, count(l_suppkey) AS n_facts, coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag), '') AS record_types, count(l_suppkey) > 0 AS has_facts
-FROM supplier LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity >= 50) ON s_suppkey = l_suppkey GROUP BY 1""")
+FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1""")
 def coverage_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"))
-    lines = read(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_suppkey").alias("source"), F.col("l_returnflag").alias("record_type"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_returnflag").alias("record_type"))
     return ops.coverage(registry, lines, "source")
 
 

@@ -8,13 +8,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 SINGLE, TARGET, LEAST, MOST = 15, 1500, 10, 40
-_SUBTOTAL = re.compile(r"^\|\s*\w*XX\b")
+
+
+def cells_of(line: str) -> list[str]:
+    return [c.strip() for c in line.strip().removeprefix("|").removesuffix("|").split("|")]
 
 
 def is_section(line: str) -> bool:
-    """A row with text in its first cell only."""
-    cells = [c.strip() for c in line.strip().strip("|").split("|")]
-    return bool(cells and cells[0]) and not any(cells[1:])
+    """A row of three cells or more with text in its second cell, the name, only: neither a code nor values."""
+    cells = cells_of(line)
+    return len(cells) >= 3 and bool(cells[1]) and not any(cells[:1] + cells[2:])
+
+
+def is_subtotal(line: str) -> bool:
+    """A row whose code ends in XX."""
+    return cells_of(line)[0].upper().endswith("XX")
 
 
 def chunks(text: str | None) -> list[str]:
@@ -35,7 +43,7 @@ def chunks(text: str | None) -> list[str]:
     out, start = [], 0
     while start < len(rows):
         end = min(start + n, len(rows))
-        while end < len(rows) and _SUBTOTAL.match(rows[end]):
+        while end < len(rows) and is_subtotal(rows[end]):
             end += 1
         above = next((r for r in reversed(rows[:start]) if is_section(r)), None)
         carried = [above] if above and not is_section(rows[start]) else []

@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import numbers, texts
 
 #: What refusals say.
-REFUSALS = ("找不到", "條件不足", "無法", "未揭露")
+REFUSALS = ("找不到相關資料", "找不到符合條件的資料", "條件不足", "無法回答", "沒有相關資料", "不清楚", "查無資料")
+#: Fixed value: how the message of a failed service begins.
+SERVICE_ERROR = "[vLLM"
 
 
 def refused(answer: Column) -> Column:
-    return F.coalesce(answer.rlike("|".join(REFUSALS)), F.lit(True))
+    """No answer, a service's error, or one of the phrases of refusal."""
+    a = F.trim(F.coalesce(answer, F.lit("")))
+    return (a == "") | a.startswith(SERVICE_ERROR) | a.rlike("|".join(REFUSALS))
 
 
 def exact(answer: Column, gold: Column) -> Column:
@@ -27,19 +31,57 @@ def exact(answer: Column, gold: Column) -> Column:
     return (a == g) | F.coalesce(same, F.lit(False)) | (labels(a) == labels(g))
 
 
-def rouge(pairs: DataFrame, key: str, answer: str, gold: str, n: int) -> DataFrame:
-    """key, precision, recall and f of n-grams of tokens, four decimals; multiset overlap by a join on (key, n-gram)."""
-    def grams(c: str, name: str) -> DataFrame:
-        t = F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+"), lambda x: x != "")
-        runs = F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-        return pairs.select(key, F.explode(runs).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias(name))
+def numbers_in(text: Column) -> Column:
+    """The distinct numbers of a text, digit-group commas and parentheses left out."""
+    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), r"[,()]", ""), F.lit(r"(\d+(?:\.\d+)?)"), F.lit(1)))
+
+
+def number_matches(answer: Column, gold: Column) -> dict[str, Column]:
+    """numeric (the same numbers), contains (all of the gold's) and partial (one of them); false for gold without a number."""
+    a, g = numbers_in(answer), numbers_in(gold)
+    some, missing = F.size(g) > 0, F.size(F.array_except(g, a))
+    return {"numeric": some & (missing == 0) & (F.size(F.array_except(a, g)) == 0), "contains": some & (missing == 0), "partial": some & (missing < F.size(g))}
+
+
+def report(rows: DataFrame, *by: str) -> DataFrame:
+    """Per group of a rollup of ``by``: counts, and rates of four decimals. rows has em, refusal, contains, fallback (booleans) and seconds.
 
-    both = grams(answer, "x").join(grams(gold, "y"), [key, "gram"], "full").fillna(0, ["x", "y"])
-    sums = both.groupBy(key).agg(F.sum(F.least("x", "y")).alias("o"), F.sum("x").alias("x"), F.sum("y").alias("y"))
-    rows = pairs.select(key).join(sums, key, "left").fillna(0, ["o", "x", "y"])
+    Precision is of the answers given, recall of all questions; stable answers are those without a fallback.
+    """
+    share = lambda x, n: F.round(F.try_divide(F.col(x).cast("double"), F.col(n)), 4)
+    counts = rows.rollup(*by).agg(
+        F.count("*").alias("n"), F.count_if("em").alias("n_right"), F.count_if("refusal").alias("n_refused"), F.count_if("contains").alias("n_contains"),
+        F.count_if("fallback").alias("n_fallback"), F.count_if(F.col("em") & F.col("fallback")).alias("right_fallback"), F.count_if(F.col("em") & ~F.col("fallback")).alias("right_stable"),
+        F.min("seconds").alias("least_seconds"), F.round(F.avg("seconds"), 4).alias("mean_seconds"), F.max("seconds").alias("most_seconds"),
+    ).withColumns({"n_answered": F.col("n") - F.col("n_refused"), "n_stable": F.col("n") - F.col("n_fallback")})
+    counts = counts.withColumns({"precision": share("n_right", "n_answered"), "recall": share("n_right", "n"), "contains_rate": share("n_contains", "n"), "fallback_em": share("right_fallback", "n_fallback"), "stable_em": share("right_stable", "n_stable")})
+    p, r = F.try_divide(F.col("n_right").cast("double"), "n_answered"), F.col("n_right") / F.col("n")
+    return counts.withColumns({"f1": F.round(F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)), 4), "stability_gap": F.round(F.col("stable_em") - F.col("fallback_em"), 4)}).drop("right_fallback", "right_stable", "n_stable")
+
+
+def rouge(pairs: DataFrame, key: str, answer: str, gold: str, *sizes: int) -> DataFrame:
+    """key, n, precision, recall and f of the n-grams of tokens, for each n of ``sizes``, four decimals.
+
+    Multiset overlap by a join on (key, n, n-gram). Tokens are cut once; an n-gram is n neighbouring rows, so the work grows
+    with the length of the text. Pairs without an n-gram score 0.
+    """
+    def grams(c: str, name: str) -> DataFrame:
+        words = F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+"), lambda x: x != "")
+        rows = pairs.select(key, words.alias("t"))
+        # A list of n-grams is zipped from the list of tokens and the lists that begin one, two, ... tokens later.
+        shifted = lambda t, n: F.arrays_zip(*[F.slice(t, k + 1, F.greatest(F.size(t) - n + 1, F.lit(0))).alias(str(k)) for k in range(n)])
+        cut = [rows.select(key, F.lit(n).alias("n"), F.explode(shifted(F.col("t"), n)).alias("g")).select(key, "n", F.concat_ws(" ", *[F.col(f"g.`{k}`") for k in range(n)]).alias("gram")) for n in sizes]
+        every = cut[0]
+        for more in cut[1:]:
+            every = every.unionByName(more)
+        return every.groupBy(key, "n", "gram").agg(F.count("*").alias(name))
+
+    both = grams(answer, "x").join(grams(gold, "y"), [key, "n", "gram"], "full").fillna(0, ["x", "y"])
+    sums = both.groupBy(key, "n").agg(F.sum(F.least("x", "y")).alias("o"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    rows = pairs.select(key, F.explode(F.array(*map(F.lit, sizes))).alias("n")).join(sums, [key, "n"], "left").fillna(0, ["o", "x", "y"])
     p, r = F.coalesce(F.try_divide("o", "x"), F.lit(0.0)), F.coalesce(F.try_divide("o", "y"), F.lit(0.0))
     f = F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
-    return rows.select(key, F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f, 4).alias("f"))
+    return rows.select(key, "n", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(f, 4).alias("f"))
 
 
 def dcg(grades: Column) -> Column:

@@ -11,7 +11,9 @@ from ledgerloom.functions import numbers, periods, texts
 from ledgerloom.operators.relax import keep_first
 
 #: Words in the names of tables about single entities.
-ENTITY_WORDS = ("關係人", "轉投資", "被投資公司", "大陸投資", "背書保證", "資金貸與", "持有有價證券", "應收關係人", "進銷貨")
+ENTITY_WORDS = (
+    "被投資公司名稱", "列入合併財務報表之子公司", "母子公司間業務關係", "轉投資大陸地區之事業", "關係企業名稱", "關聯企業名稱", "投資公司名稱", "子公司名單", "關係人名錄",
+)
 
 
 def unpivot(wide: DataFrame, keep: Sequence[str], measures: dict[str, str], item: str = "item_name", value: str = "value_number") -> DataFrame:

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.checked import join_small
-
 
 def unit(v: Column) -> Column:
     """``v`` (array<double>) over its length."""
@@ -29,16 +27,23 @@ def ranked(rows: DataFrame, by: Sequence[str], score: str, tie: str, k: int | No
 
 def vector_scores(queries: DataFrame, chunks: DataFrame, on: Column | None = None) -> DataFrame:
     """Cosine similarity of each query (qid, q_vector) with each chunk (vector), both of unit length, rounded to four
-    decimals. Questions are broadcast while they are few; blocks of them are, too, while the blocks are few."""
-    pairs = join_small(chunks, queries, on) if on is not None else join_blocks(chunks, queries)
+    decimals. Without a condition every question meets every chunk, in blocks."""
+    pairs = chunks.join(queries, on) if on is not None else join_blocks(chunks, queries)
     return pairs.withColumn("score", F.round(dot(F.col("vector"), F.col("q_vector")), 4))
 
 
-def join_blocks(chunks: DataFrame, queries: DataFrame, size: int = 256) -> DataFrame:
-    """Every stated query with every chunk, a block of queries at a time: a chunk is sent to each block once and meets
-    the block's queries there."""
-    blocks = queries.groupBy(F.pmod(F.xxhash64("qid"), F.greatest(F.lit(1), F.lit(queries.count() // size + 1))).alias("_block")).agg(F.collect_list(F.struct("qid", "q_vector")).alias("_queries"))
-    return join_small(chunks.withColumn("_one", F.lit(1)), blocks.withColumn("_one", F.lit(1)), "_one").select(*chunks.columns, F.inline("_queries"))
+def join_blocks(chunks: DataFrame, queries: DataFrame, size: int = 256, parts: int = 64) -> DataFrame:
+    """Every stated query with every chunk, a block of queries at a time.
+
+    Chunks are dealt into ``parts`` parts by a hash; both sides are keyed by (block, part), so a chunk is sent once to each block and a
+    block once to each part, and no key is shared by more than a block of queries and a part of the chunks.
+    """
+    blocks = queries.count() // size + 1
+    asked = queries.groupBy(F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("qid", "q_vector")).alias("_queries"))
+    asked = asked.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = chunks.withColumn("_part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in chunks.columns]), F.lit(parts)).cast("int"))
+    dealt = dealt.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    return dealt.join(asked, ["_block", "_part"]).select(*chunks.columns, F.inline("_queries"))
 
 
 def tokens(text: Column) -> Column:
@@ -57,7 +62,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75)
     wanted = terms.select("term").distinct()
     # Lengths are joined later: next to explode they would be computed anew for every token.
     tf = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
-    tf = join_small(tf, wanted, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    tf = tf.join(wanted, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))

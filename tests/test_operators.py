@@ -30,9 +30,17 @@ def test_tiers_lists_and_last_rows(spark):
     assert {r.q: r.last_value for r in relax.last_row(df, ["q"], F.col("v"), "s").collect()} == {1: "x", 2: "z"}
 
 
-@pytest.mark.parametrize("limit", [100, 0])
-def test_longest_word_either_way(spark, limit, monkeypatch):
-    monkeypatch.setattr(checked, "small", lambda df, n=limit: limit > 0)
+def test_contained_words_against_brute_force(spark):
+    """Short, long, repeated and overlapping words, among them ones that share all but one run of characters."""
+    texts = [(1, "report of TSMC Nanjing"), (2, "nothing"), (3, None), (4, ""), (5, "公司 TSMC Nanjing plant 2"), (6, "aaaaaaaaaaaaaaaaaaaa")]
+    words = ["TSMC", "TSMC Nanjing", "", None, "TSMC Nanjing plant 1", "TSMC Nanjing plant 2", "公司", "n", "aaaaaaaaa", "a" * 21]
+    t, w = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(x,) for x in words], "w string")
+    got = sorted((r.id, r.w) for r in checked.contained(t, w, "id", "text", "w").collect())
+    assert got == sorted((i, x) for i, s in texts for x in words if s and x and x in s)
+    assert checked.contained(t, w.limit(0), "id", "text", "w").count() == 0
+
+
+def test_longest_word(spark):
     t = spark.createDataFrame([(1, "report of TSMC Nanjing"), (2, "nothing")], "id int, text string")
     w = spark.createDataFrame([("TSMC",), ("TSMC Nanjing",), ("",)], "w string")
     assert [(r.id, r.w) for r in checked.longest_contained(t, w, "id", "text", "w").collect()] == [(1, "TSMC Nanjing")]
@@ -75,6 +83,18 @@ def test_label_sets_and_refusals(spark):
     assert [r[0] for r in df.select(evaluate.exact(F.col("a"), F.col("g"))).collect()] == [True, False, True]
 
 
+def test_refusals(spark):
+    said = [None, "", " ", "[vLLM error] x", "抱歉，找不到相關資料。", "無法回答", "條件不足，請補充", "無法計算的比率為 5%", "未揭露", "12,345"]
+    rows = spark.createDataFrame([(i, a) for i, a in enumerate(said)], "i int, a string")
+    assert [r[0] for r in rows.orderBy("i").select(evaluate.refused(F.col("a"))).collect()] == [True] * 7 + [False] * 3
+
+
+def test_number_matches(spark):
+    rows = spark.createDataFrame([("1,234 和 5", "1234"), ("(5.0) 6", "6 5.0"), ("7", "8 7"), ("x", "y"), (None, "1")], "a string, g string")
+    m = evaluate.number_matches(F.col("a"), F.col("g"))
+    assert [tuple(r) for r in rows.select(m["numeric"], m["contains"], m["partial"]).collect()] == [(False, True, True), (True, True, True), (False, False, True), (False, False, False), (False, False, False)]
+
+
 def test_intervals_and_mcnemar():
     low, high = evaluate.clopper_pearson_bounds(0, 10)
     assert low == 0 and math.isclose(high, 0.30849710781876083, abs_tol=1e-9)
@@ -86,8 +106,10 @@ def test_intervals_and_mcnemar():
 
 def test_rouge_and_ranks(spark):
     p = spark.createDataFrame([(1, "a b c", "a b d"), (2, "", "x"), (3, "a", "a")], "id int, a string, g string")
-    got = {r.id: (r.precision, r.f) for r in evaluate.rouge(p, "id", "a", "g", 1).collect()}
-    assert got == {1: (0.6667, 0.6667), 2: (0.0, 0.0), 3: (1.0, 1.0)}
+    got = {(r.id, r.n): (r.precision, r.f) for r in evaluate.rouge(p, "id", "a", "g", 1, 2).collect()}
+    assert got == {(1, 1): (0.6667, 0.6667), (2, 1): (0.0, 0.0), (3, 1): (1.0, 1.0), (1, 2): (0.5, 0.5), (2, 2): (0.0, 0.0), (3, 2): (0.0, 0.0)}
+    long = spark.createDataFrame([(1, "a b c d " * 50_000, "d a b c " * 50_000)], "id int, a string, g string")
+    assert evaluate.rouge(long, "id", "a", "g", 3).first().f == 1.0
     g = spark.createDataFrame([([0, 2, 1],), ([0, 0],)], "g array<int>")
     rows = g.select(evaluate.ndcg(F.col("g"), 3), evaluate.reciprocal_rank(F.col("g"))).collect()
     assert rows[0][1] == 0.5 and rows[1][0] == 0.0 and rows[1][1] == 0.0 and 0.6 < rows[0][0] < 0.7
@@ -111,8 +133,10 @@ def test_chunks_repeat_headers_and_rows():
     head = "| k | v |\n|---|---|\n"
     assert len(chunking.chunks(head + "\n".join(f"| {i} | x |" for i in range(15)))) == 1
     rows = [f"| {i} | {'y' * 60} |" for i in range(50)]
-    out = chunking.chunks(head + "\n".join(["| section | |", *rows]))
-    assert len(out) > 1 and all(c.startswith("| k | v |") for c in out) and all("| section | |" in c for c in out)
+    head, rows = "| k | name | v |\n|---|---|---|\n", [f"| {i} | {'y' * 50} | 1 |" for i in range(50)]
+    out = chunking.chunks(head + "\n".join(["| | 流動資產 Current assets | |", *rows]))
+    assert len(out) > 1 and all(c.startswith("| k | name | v |") for c in out) and all("流動資產" in c for c in out)
+    assert chunking.is_subtotal("| 11XX | 流動資產合計 | 5 |") and not chunking.is_subtotal("| 1100 | 11XX | 5 |")
     seen = [r for c in out for r in c.split("\n") if r in rows]
     assert set(seen) == set(rows) and len(seen) > len(rows)
     assert chunking.chunks(None) == [] and chunking.chunks("") == []
