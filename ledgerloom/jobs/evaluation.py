@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import periods
 from ledgerloom.jobs.registry import query
-from ledgerloom.jobs.tables import FACTS, facts, read
+from ledgerloom.jobs.tables import FACTS, facts, kept, read
 from ledgerloom.operators import evaluate, routing
 from ledgerloom.operators.facts import current_view
 
@@ -155,26 +156,67 @@ def set_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_custkey", (F.col("g") == F.col("a")).alias("set_em"), F.round(F.size(F.array_intersect("g", "a")) / F.size("g"), 4).alias("coverage"), F.size(F.array_except("g", "a")).alias("missing"))
 
 
-@query("D1-D11 J15 §2.22 E17", f"""WITH {FACTS}, v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company, item_name, period ORDER BY CASE WHEN column_header LIKE '%至%' THEN 1 ELSE 0 END DESC, CAST(left(column_header, 4) AS INT) DESC, seq) AS rn FROM facts) WHERE rn = 1),
+@query("D1 D2 D3 D5 D6 D7 D11 J15 §2.22", f"""WITH {FACTS}, v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company, item_name, period ORDER BY CASE WHEN column_header LIKE '%至%' THEN 1 ELSE 0 END DESC, CAST(left(column_header, 4) AS INT) DESC, seq) AS rn FROM facts) WHERE rn = 1),
 u AS (SELECT company, item_name, period, count(DISTINCT value_raw) AS n_unique FROM facts WHERE table_name = '綜合損益表' AND column_header NOT LIKE '%年1月1日至%' GROUP BY ALL),
-a AS (SELECT v.company, v.item_name, v.period, v.seq % 6 AS k, coalesce(n_unique, 0) AS n_unique FROM v LEFT JOIN u USING (company, item_name, period))
-SELECT company, item_name, period, CASE WHEN k = 0 THEN 'D3 corrupt gold' WHEN k = 1 THEN 'D11 row index in question' WHEN n_unique = 0 THEN 'D1 not in corpus' WHEN n_unique > 1 THEN 'D5 ambiguous row' WHEN k IN (2, 3) THEN 'ok' WHEN k = 4 THEN 'D7 prior-period source' ELSE 'D2 wrong column' END AS defect FROM a""")
+a AS (SELECT v.company, v.item_name, v.period, v.seq // 10 % 8 AS k, coalesce(n_unique, 0) AS n_unique FROM v LEFT JOIN u USING (company, item_name, period))
+SELECT company, item_name, period, CASE WHEN k = 0 THEN 'D3 corrupt gold' WHEN k = 6 THEN 'D6 item name mismatch' WHEN k = 7 THEN 'D7 prior-period source' WHEN k = 1 THEN 'D11 row index in question' WHEN n_unique = 0 THEN 'D1 not in corpus' WHEN n_unique > 1 THEN 'D5 ambiguous row' WHEN k IN (2, 3) THEN 'ok' WHEN k = 4 THEN 'D2 wrong column' ELSE 'D1 not in corpus' END AS defect FROM a""")
 def gold_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold answers of the current view, some spoilt on purpose, against single-quarter income statements."""
-    rows = facts(spark, sf_dir)
+    """Gold answers of the current view, most spoilt on purpose, against single-quarter income statements."""
+    rows = kept(facts(spark, sf_dir), "facts")
     key = ["company", "item_name", "period"]
     corpus = rows.where((F.col("table_name") == "綜合損益表") & ~F.col("column_header").contains("年1月1日至"))
     found = corpus.groupBy(*key).agg(F.count("*").alias("n_rows"), F.count_distinct("value_raw").alias("n_unique"), F.min("value_raw").alias("found"))
-    k = F.col("seq") % 6
+    k = F.floor(F.col("seq") / 10) % 8
     gold = current_view(rows).join(found, key, "left").fillna(0, ["n_rows", "n_unique"])
-    asked = F.when(k == 1, "【表】的【7】中，數值為何").otherwise(F.concat_ws(" ", *key))
+    asked = F.when(k == 1, "公司的【7】中，數值為何").otherwise(F.concat_ws(" ", *key))
     prior = F.lit("123,456,789")
     printed = F.when(k == 0, "value_2=1; value_3=2").when(k.isin(1, 2, 3), F.coalesce("found", F.lit("1"))).when(k == 4, prior).otherwise("987,654,321")
+    item, source = F.when(k == 6, evaluate.BROKEN_ITEMS[0]).otherwise(F.col("item_name")), F.when(k == 7, F.concat(F.lit("去年同期"), "table_name")).otherwise(F.col("table_name"))
     # A dash is no number: such gold is written as zero on both sides.
-    code = evaluate.audit_code(F.when(printed == "-", "0").otherwise(printed), asked, F.col("n_rows"), F.col("n_unique"), F.when(F.col("found") == "-", "0").otherwise(F.col("found")), prior)
+    code = evaluate.audit_code(F.when(printed == "-", "0").otherwise(printed), asked, item, source, F.col("n_rows"), F.col("n_unique"), F.when(F.col("found") == "-", "0").otherwise(F.col("found")), prior)
     return gold.select(*key, code.alias("defect"))
 
 
+@query("D4 D2", f"""WITH {FACTS}, s AS (SELECT company, period, CAST(left(period, 3) AS INT) + 1911 AS y, CAST(sum(value_number) AS BIGINT) AS v FROM facts WHERE item_name LIKE '營業收入%' GROUP BY ALL),
+p AS (SELECT company, period, y, v, lead(y) OVER w AS y2, lead(v) OVER w AS v2, lead(period) OVER w AS period2 FROM s WINDOW w AS (PARTITION BY company ORDER BY period))
+SELECT company, period, period2, CASE WHEN v % 4 = 0 AND y <> y2 THEN 'D4 same value for two periods' WHEN v % 4 = 1 AND v <> v2 THEN 'D4 same value for two periods' WHEN v % 4 = 2 THEN 'D2 wrong column' ELSE 'ok' END AS defect FROM p WHERE period2 IS NOT NULL""")
+def audit_two_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenues of neighbouring periods as gold: with one column for both, the first value twice, a wrong second value, or right."""
+    sums_ = facts(spark, sf_dir).where(F.col("item_name").startswith("營業收入")).groupBy("company", "period").agg(F.sum(F.col("value_number").cast("bigint")).alias("v"))
+    w = Window.partitionBy("company").orderBy("period")
+    rows = sums_.withColumns({"period2": F.lead("period").over(w), "v2": F.lead("v").over(w)}).where("period2 IS NOT NULL")
+    year = lambda c: periods.fiscal_year(F.col(c)) + periods.ROC
+    k, printed = F.col("v") % 4, lambda c: F.format_number(F.col(c), 0)
+    header = F.when(k == 0, year("period"))
+    second = F.when(k == 1, printed("v")).when(k == 2, F.format_number(F.col("v") + F.col("v2") + 1, 0)).otherwise(printed("v2"))
+    defect = evaluate.two_period_defect(header, (year("period"), year("period2")), (printed("v"), second), (printed("v"), printed("v2")))
+    return rows.select("company", "period", "period2", defect.alias("defect"))
+
+
+@query("D9 M10", """
+WITH r AS (SELECT s_suppkey AS id, s_name AS a, CAST(round(s_acctbal) AS BIGINT) AS n, s_suppkey % 7 + 3 AS d FROM supplier), p AS (SELECT x.id, x.a, y.a AS b, round(x.n::DOUBLE / x.d * 100, 2) AS r1, round(y.n::DOUBLE / y.d * 100, 2) AS r2 FROM r x JOIN r y ON y.id = x.id + 1)
+SELECT id, CASE WHEN id % 4 = 1 THEN 'D9 arithmetic' WHEN id % 4 = 3 THEN 'D9 winner' WHEN r1 = r2 THEN 'D9 no winner' ELSE 'ok' END AS defect FROM p""")
+def audit_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratios of each supplier and the next: some with a wrong ratio, some with the loser as winner."""
+    s, k = read(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    r = s.select(k.alias("id"), F.col("s_name").alias("a"), F.round("s_acctbal").cast("bigint").cast("double").alias("n"), (k % 7 + 3).cast("double").alias("d"))
+    p = r.join(r.select((F.col("id") - 1).alias("id"), F.col("a").alias("b"), F.col("n").alias("n2"), F.col("d").alias("d2")), "id")
+    r1, r2, k = F.round(F.col("n") / F.col("d") * 100, 2), F.round(F.col("n2") / F.col("d2") * 100, 2), F.col("id") % 4
+    told = F.when((r1 > r2) == (k != 3), F.col("a")).otherwise(F.col("b"))
+    defect = evaluate.ratio_defect((F.when(k == 1, r1 + 0.03).otherwise(r1), r2), (F.col("n"), F.col("n2")), (F.col("d"), F.col("d2")), (F.col("a"), F.col("b")), told)
+    return p.select("id", defect.alias("defect"))
+
+
+@query("D10", """
+SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 4 OR o_orderkey % 3 = 2 THEN 'ok' WHEN o_orderkey % 5 % 3 = 1 AND o_orderkey % 3 = 1 THEN 'ok' WHEN o_orderkey % 5 % 3 = 0 AND o_orderkey % 3 = 0 THEN 'ok' ELSE 'D10 question type mismatch' END AS defect FROM orders""")
+def audit_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of questions against the tables that they come from."""
+    k = F.col("o_orderkey")
+    kinds = F.array(*[F.lit(x) for x in ("mainland_investment_graph", "related_party_transaction_graph", "numeric")])
+    tables = F.array(*[F.lit(t) for t, _ in evaluate.SOURCE_KINDS], F.lit("轉投資大陸地區之事業相關資訊"), F.lit("資產負債表"))
+    return read(spark, sf_dir, "orders").select(k.alias("id"), evaluate.kind_defect(F.get(kinds, (k % 3).cast("int")), F.concat(F.lit("113Q2/"), F.get(tables, (k % 5).cast("int")), F.lit(".csv"))).alias("defect"))
+
+
 @query("E18 D12 J14", """
 SELECT d.lang, count(*) AS n, count(l.doc_id) AS labelled, count(*) FILTER (WHERE l.toxic = 1) AS toxic, count(*) FILTER (WHERE l.quality = 1) AS good FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.lang""")
 def contamination_strata(spark: SparkSession, sf_dir: str) -> DataFrame:

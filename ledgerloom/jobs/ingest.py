@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.jobs.registry import query
-from ledgerloom.jobs.tables import read
+from ledgerloom.jobs.tables import FACTS, facts, read, shared_folder
 from ledgerloom.operators import chunking, fuzzy
 from ledgerloom.sources import html_tables
 from ledgerloom.streaming import windows
@@ -76,8 +73,7 @@ WITH m AS (SELECT max(ts) AS m FROM events), w AS (SELECT time_bucket(INTERVAL 1
 SELECT strftime(w, '%Y-%m-%d %H') AS hour, event_type, n FROM w, m WHERE w + INTERVAL 1 HOUR <= m - INTERVAL 2 HOUR""")
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed hourly windows of a stream over the events, written to the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-ledgerloom-")
-    base = f"{root.rstrip('/')}/events-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "events")
     events = windows.stream_files(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     closed = windows.run_once(windows.windowed(events, "ts", "event_type").select(F.col("w.start").alias("start"), "event_type", "n"), base + "/out", base + "/state")
     return closed.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")

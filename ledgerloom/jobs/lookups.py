@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import maps, periods, texts
 from ledgerloom.jobs.registry import query
-from ledgerloom.jobs.tables import FACTS, facts, read
+from ledgerloom.jobs.tables import FACTS, facts, kept, read
 from ledgerloom.operators import checked, lookup, relax
 
 # One question per supplier, period and item in rotation; every second names a table, every third a header.
 QUESTIONS = f"""{FACTS}, asked AS (
   SELECT company, period, item_name, min(seq) AS seq FROM facts GROUP BY ALL
 ), questions AS (
-  SELECT company || '|' || period || '|' || item_name AS qid, company AS q_company, period AS q_period,
+  SELECT company || '|' || period || '|' || item_name AS qid, CASE WHEN seq % 5 = 0 THEN substr(company, 2) ELSE company END AS q_company, period AS q_period,
          CASE seq % 3 WHEN 0 THEN item_name WHEN 1 THEN split_part(item_name, ' ', 1) ELSE substr(split_part(item_name, ' ', 1), 2) END AS q_item,
-         CASE WHEN seq % 2 = 0 THEN '綜合損益表' END AS q_table, CASE WHEN (seq // 10) % 2 = 0 THEN left(CAST(CAST(left(period, 3) AS INT) + 1911 AS VARCHAR), 4) || '年1月1日至12月31日' END AS q_header
+         CASE WHEN seq % 2 = 0 THEN '綜合損益表' END AS q_table, CASE WHEN (seq // 10) % 2 = 0 THEN left(CAST(CAST(left(period, 3) AS INT) + 1911 AS VARCHAR), 4) || '年1月1日至12月31日' END AS q_header, seq AS seq_
   FROM asked
 )"""
 
@@ -27,7 +27,7 @@ def questions(rows: DataFrame) -> DataFrame:
     item = F.when(F.col("seq") % 3 == 0, F.col("item_name")).when(F.col("seq") % 3 == 1, native).otherwise(F.expr("substring(split_part(item_name, ' ', 1), 2)"))
     header = F.concat((periods.fiscal_year(F.col("period")) + periods.ROC).cast("string"), F.lit("年1月1日至12月31日"))
     return asked.select(
-        F.concat_ws("|", "company", "period", "item_name").alias("qid"), F.col("company").alias("q_company"), F.col("period").alias("q_period"), item.alias("q_item"),
+        F.concat_ws("|", "company", "period", "item_name").alias("qid"), F.when(F.col("seq") % 5 == 0, F.substring("company", 2, 100)).otherwise(F.col("company")).alias("q_company"), F.col("period").alias("q_period"), item.alias("q_item"),
         F.when(F.col("seq") % 2 == 0, "綜合損益表").alias("q_table"), F.when(F.floor(F.col("seq") / 10) % 2 == 0, header).alias("q_header"),
     )
 
@@ -45,8 +45,8 @@ def lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relax.unique_gate(found, ["company", "period"], "value_raw", asked)
 
 
-@query("F6 P2 P3 P4 P6 P8 P9 J1 X8", f"""WITH {QUESTIONS}, c AS (
-  SELECT *, CASE WHEN q_table IS NULL THEN FALSE ELSE contains(table_name, q_table) END AS p1 FROM questions JOIN facts ON company = q_company
+@query("P2 P3 P4 P6 P8 P9 J1", f"""WITH {QUESTIONS}, c AS (
+  SELECT *, CASE WHEN q_table IS NULL THEN FALSE ELSE contains(table_name, q_table) END AS p1 FROM questions JOIN facts ON company = q_company OR (seq_ % 5 = 0 AND contains(company, q_company))
 ), r1 AS (SELECT * FROM (SELECT *, bool_or(p1) OVER (PARTITION BY qid) AS a1 FROM c) WHERE p1 OR NOT a1),
 t AS (SELECT *, CASE WHEN item_name = q_item THEN 1 WHEN starts_with(item_name, q_item) AND NOT regexp_matches(substr(item_name, length(q_item) + 1, 1), '[一-鿿]') THEN 2 WHEN contains(item_name, q_item) THEN 3 END AS tier FROM r1),
 b AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY qid) AS mt FROM t WHERE tier IS NOT NULL) WHERE tier = mt AND period = q_period),
@@ -57,10 +57,32 @@ SELECT q.qid, count(r2.seq) AS n_rows, count(DISTINCT value_raw) AS n_unique,
   CASE WHEN count(DISTINCT value_raw) = 1 THEN min(value_raw) END AS answer, min(tier) AS tier
 FROM questions q LEFT JOIN r2 ON q.qid = r2.qid GROUP BY q.qid""")
 def lookup_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = facts(spark, sf_dir)
+    rows = kept(facts(spark, sf_dir), "facts")  # questions, items and values all come from it
     return lookup.lookup(questions(rows), rows)
 
 
+@query("P4 J11")
+def lookup_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One misspelt question per company and item, with the first period that it has: answered through the most similar item."""
+    rows = kept(facts(spark, sf_dir), "facts")
+    first = rows.groupBy("company", "item_name").agg(F.min("period").alias("q_period"))
+    null = F.lit(None).cast("string")
+    asked = first.select(F.concat_ws("|", "company", "item_name").alias("qid"), F.col("company").alias("q_company"), "q_period", F.concat(F.expr("substring(item_name, 1, length(item_name) - 2)"), F.lit("xn")).alias("q_item"), null.alias("q_table"), null.alias("q_header"))
+    return lookup.lookup(asked, rows, 0.7)
+
+
+@query("W5 J9", """
+WITH c AS (SELECT c_custkey AS qid, c_name AS a, lag(c_name) OVER (ORDER BY c_custkey) AS b FROM customer)
+SELECT qid, CASE WHEN b IS NULL THEN a ELSE b || ',' || a END AS names FROM c""")
+def name_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's name and the one before it in a sentence, among all names, their stems and an alias of each."""
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code"), F.col("c_name").alias("name"))
+    before = c.select((F.col("code") + 1).alias("code"), F.col("name").alias("before"))
+    q = c.join(before, "code", "left").select(F.col("code").alias("qid"), F.concat(F.lit("請比較 "), F.coalesce(F.concat("before", F.lit("、")), F.lit("")), "name", F.lit(" 的營收")).alias("text"))
+    names = c.unionByName(c.select("code", F.substring("name", 10, 100).alias("name")))
+    return lookup.scanned(q, names).select("qid", F.array_join("names", ",").alias("names"))
+
+
 @query("P5 P7 P8 D8", f"""WITH {FACTS}, q AS (SELECT seq AS qid, company AS qc, item_name AS qi, period AS qp FROM (SELECT *, row_number() OVER (PARTITION BY company, item_name, period ORDER BY seq) AS rn FROM facts) WHERE rn = 1),
 c AS (SELECT q.qid, qi, f.*, CASE WHEN qi LIKE '%折讓%' THEN table_name LIKE '%現金流量%' ELSE FALSE END AS p1 FROM q JOIN facts f ON f.company = qc AND f.item_name = qi AND f.period = qp),
 r1 AS (SELECT * FROM (SELECT *, bool_or(p1) OVER (PARTITION BY qid) AS a1 FROM c) WHERE p1 OR NOT a1),
@@ -134,7 +156,7 @@ def three_period_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("company", "period", answer.alias("answer")).where("answer IS NOT NULL")
 
 
-@query("A-1 A-2 A-3 P18 F26", """
+@query("A-1 A-2 A-3 F26", """
 SELECT o_orderkey AS id, 'C' || o_custkey AS party, o_orderpriority AS account, format('{:,}', CAST(round(o_totalprice) AS BIGINT)) AS amount,
   'value_2=C' || o_custkey || '; value_4=' || o_orderpriority || '; value_5=' || format('{:,}', CAST(round(o_totalprice) AS BIGINT)) AS summary, o_custkey % 2 = 0 AS even_party FROM orders""")
 def kv_map_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,18 +210,22 @@ def longest_synonym(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.longest_contained(q, words, "qid", "text", "word").select("qid", "word")
 
 
-@query("J10 R7 F3 F4 Z1", """
-WITH f AS (SELECT c_custkey AS qid, CASE c_custkey % 3 WHEN 0 THEN c_name || '股份有限公司' WHEN 1 THEN lower(c_name) || ', Co., Ltd.' ELSE 'Supplier#' || c_custkey END AS filed FROM customer)
-SELECT qid, filed, CASE qid % 3 WHEN 2 THEN NULL ELSE qid END AS code, CASE qid % 3 WHEN 2 THEN 'no_company' ELSE 'resolved' END AS status FROM f""")
+@query("J10 F3 F4 Z1", """
+WITH k AS (SELECT upper(replace(c_name, '#', '')) AS key, c_custkey AS code FROM customer), f AS (SELECT c_custkey AS qid, CASE c_custkey % 5 WHEN 0 THEN c_name || '股份有限公司' WHEN 1 THEN lower(c_name) || ', Co., Ltd.' WHEN 2 THEN 'Supplier#' || c_custkey WHEN 3 THEN left(c_name, length(c_name) - 1) ELSE 'Asia ' || c_name || ' (HK)' END AS filed,
+  CASE c_custkey % 5 WHEN 3 THEN upper(replace(left(c_name, length(c_name) - 1), '#', '')) WHEN 4 THEN upper('Asia' || replace(c_name, '#', '') || 'HK') ELSE upper(replace(c_name, '#', '')) END AS key FROM customer)
+SELECT qid, filed, CASE WHEN qid % 5 < 2 THEN qid WHEN qid % 5 = 2 THEN NULL ELSE (SELECT min(code) FROM k WHERE contains(k.key, f.key) OR contains(f.key, k.key)) END AS code,
+  CASE WHEN qid % 5 = 2 THEN 'no_company' WHEN qid % 5 < 2 THEN 'resolved' ELSE 'resolved_in_part' END AS status FROM f""")
 def company_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spellings joined to companies on the normalised name, so it is an equi-join at any size."""
+    """Spellings joined to companies on the normalised name, equal or one within the other."""
     c = read(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    name = F.when(k % 3 == 0, F.concat("c_name", F.lit("股份有限公司"))).when(k % 3 == 1, F.concat(F.lower("c_name"), F.lit(", Co., Ltd."))).otherwise(F.concat(F.lit("Supplier#"), k.cast("string")))
+    name = F.when(k % 5 == 0, F.concat("c_name", F.lit("股份有限公司"))).when(k % 5 == 1, F.concat(F.lower("c_name"), F.lit(", Co., Ltd."))).when(k % 5 == 2, F.concat(F.lit("Supplier#"), k.cast("string")))
+    name = name.when(k % 5 == 3, F.expr("left(c_name, length(c_name) - 1)")).otherwise(F.concat(F.lit("Asia "), "c_name", F.lit(" (HK)")))
     asked = c.select(k.alias("qid"), name.alias("filed"))
     known = c.select(texts.company_key(F.col("c_name")).alias("key"), k.alias("code"))
-    found = asked.withColumn("key", texts.company_key(F.col("filed"))).join(known, "key", "left")
-    return found.select("qid", "filed", "code", F.when(F.col("code").isNull(), "no_company").otherwise("resolved").alias("status"))
+    found = lookup.company_codes(asked.select("qid", texts.company_key(F.col("filed")).alias("name")), known)
+    status = F.when(F.col("code").isNull(), "no_company").when(F.col("tier") == 1, "resolved").otherwise("resolved_in_part")
+    return asked.join(found, "qid", "left").select("qid", "filed", "code", status.alias("status"))
 
 
 @query("J17 N6", f"""WITH {FACTS}, c AS (SELECT printf('%.4f', value_number) AS key, count(*) AS n_cells, min(seq) AS first_seq FROM facts WHERE value_raw <> '-' GROUP BY 1)

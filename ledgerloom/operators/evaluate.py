@@ -162,14 +162,49 @@ def discordant(pairs: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame
     return pairs.groupBy(*by).agg(*[F.count_if(c).alias(n) for n, c in cells.items()])
 
 
-def audit_code(gold: Column, question: Column, n_rows: Column, n_unique: Column, found: Column, prior: Column) -> Column:
+#: Items whose native and Latin names mean different things, and the kind of question that each source table belongs to.
+BROKEN_ITEMS = ("繼續營業單位淨利（淨損） Diluted earnings (loss) per share from continuing operations",)
+SOURCE_KINDS = (
+    ("轉投資大陸地區之事業相關資訊", "mainland_investment_graph"), ("母子公司間業務關係及重要交易往來情形", "related_party_transaction_graph"), ("被投資公司名稱", "investment_graph"),
+)
+#: Difference of a ratio, in percent points, that is still right.
+RATIO_TOLERANCE = 0.02
+
+
+def audit_code(gold: Column, question: Column, item: Column, source: Column, n_rows: Column, n_unique: Column, found: Column, prior: Column) -> Column:
     """The first defect of a gold answer that applies, in a fixed order; ``ok`` if none does."""
     return (
         F.when(gold.rlike(r"value_\d+\s*="), "D3 corrupt gold")
-        .when(question.rlike(r"【[^】]*】的【\d+】"), "D11 row index in question")
+        .when(item.isin(*BROKEN_ITEMS), "D6 item name mismatch")
+        .when(source.contains("去年同期"), "D7 prior-period source")
+        .when(question.rlike(r"的\s*【\s*\d{1,3}\s*】\s*(?:中|涉及|是|，)"), "D11 row index in question")
         .when(n_rows == 0, "D1 not in corpus")
         .when(n_unique > 1, "D5 ambiguous row")
         .when(numbers.number_key(gold) == numbers.number_key(found), "ok")
-        .when(numbers.number_key(gold) == numbers.number_key(prior), "D7 prior-period source")
-        .otherwise("D2 wrong column")
+        .when(numbers.number_key(gold) == numbers.number_key(prior), "D2 wrong column")
+        .otherwise("D1 not in corpus")
     )
+
+
+def two_period_defect(header_year: Column, years: tuple[Column, Column], golds: tuple[Column, Column], truths: tuple[Column, Column]) -> Column:
+    """Of a question on two periods: one column for both, or one gold for two values (D4); a gold that is not its period's value (D2)."""
+    keys, true = [numbers.number_key(g) for g in golds], [numbers.number_key(t) for t in truths]
+    one_column = (header_year == years[0]) != (header_year == years[1])
+    wrong = F.coalesce((keys[0] != true[0]) | (keys[1] != true[1]), F.lit(False))
+    same = F.coalesce((keys[0] == keys[1]) & (true[0] != true[1]), F.lit(False))
+    return F.when(F.coalesce(one_column, F.lit(False)) | same, "D4 same value for two periods").when(wrong, "D2 wrong column").otherwise("ok")
+
+
+def ratio_defect(ratios: tuple[Column, Column], numerators: tuple[Column, Column], denominators: tuple[Column, Column], names: tuple[Column, Column], winner: Column) -> Column:
+    """D9 if a ratio is not its numerator by its denominator, both ratios are equal, or the winner is not the higher one."""
+    off = [F.coalesce(F.abs(r - F.round(F.try_divide(n, d) * 100, 2)) > RATIO_TOLERANCE, F.lit(False)) for r, n, d in zip(ratios, numerators, denominators)]
+    higher = F.when(ratios[0] > ratios[1], names[0]).otherwise(names[1])
+    return F.when(off[0] | off[1], "D9 arithmetic").when(ratios[0] == ratios[1], "D9 no winner").when(winner != higher, "D9 winner").otherwise("ok")
+
+
+def kind_defect(kind: Column, source: Column) -> Column:
+    """D10 if a question says that it is of one graph and its source table belongs to another."""
+    wrong = F.lit(False)
+    for table, expected in SOURCE_KINDS:
+        wrong |= source.contains(table) & (kind != expected)
+    return F.when(kind.contains("graph") & wrong, "D10 question type mismatch").otherwise("ok")
