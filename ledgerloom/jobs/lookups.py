@@ -190,7 +190,7 @@ def resolve_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relax.unique_gate(relax.relax_filter(rows, key, ~F.col("column_header").contains("年1月1日至")), key, "value_raw")
 
 
-@query("W8 U2 P10 X3", """
+@query("W8 U2", """
 WITH f AS (SELECT o_custkey, o_orderstatus AS v, min(o_orderkey) AS s FROM orders GROUP BY ALL), a AS (SELECT o_custkey, string_agg(v, ' ｜ ' ORDER BY s) AS all_values, count(*) AS n_values FROM f GROUP BY 1),
 l AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS last_value FROM orders GROUP BY 1) SELECT * FROM a JOIN l USING (o_custkey)""")
 def list_all_last(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,6 +102,13 @@ def test_intervals_and_mcnemar():
     assert math.isclose(low, 0.1870860284474045, abs_tol=1e-9) and math.isclose(low + high, 1, abs_tol=1e-9)
     assert math.isclose(evaluate.mcnemar_p(2, 13), 0.00738525390625, abs_tol=1e-12)
     assert evaluate.mcnemar_p(0, 0) == 1.0
+    for b, c in ((1, 9), (30, 12), (700, 640)):
+        n = b + c
+        assert math.isclose(evaluate.mcnemar_p(b, c), min(1.0, 2 * sum(math.comb(n, i) for i in range(min(b, c) + 1)) / 2**n), rel_tol=1e-9)
+    for k, n in ((1, 7), (40, 60), (150, 151)):
+        low, high = evaluate.clopper_pearson_bounds(k, n)
+        tail = lambda p, xs: math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in xs)
+        assert math.isclose(tail(low, range(k, n + 1)), 0.025, rel_tol=1e-6) and math.isclose(tail(high, range(k + 1)), 0.025, rel_tol=1e-6)
 
 
 def test_rouge_and_ranks(spark):
@@ -177,3 +184,130 @@ def test_windows_over_many_files_lose_no_rows(spark, tmp_path):
         pq.write_table(pa.table({"ts": times, "kind": ["a", "a"]}), tmp_path / "events" / f"{i:04d}.parquet")
     stream = windows.windowed(windows.stream_files(spark, str(tmp_path / "events")), "ts", "kind").select("kind", "n")
     assert [r.n for r in windows.run_once(stream, str(tmp_path / "out"), str(tmp_path / "state")).collect()] == [2010]
+
+
+def test_facts_have_a_total_order(spark):
+    from ledgerloom.jobs.tables import facts
+
+    for sf in ("0.001", "0.01", "0.1"):
+        f = facts(spark, f"/root/testdata/sf{sf}")
+        n, distinct = f.agg(F.count("*"), F.count_distinct("seq")).first()
+        assert n == distinct > 0
+
+
+def test_order_of_facts_over_several_files(spark, tmp_path):
+    from ledgerloom.jobs.tables import facts
+
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").repartition(5).write.option("maxRecordsPerFile", 500).parquet(f"{tmp_path}/lineitem.parquet")
+    f = facts(spark, str(tmp_path))
+    assert f.count() == f.select("seq").distinct().count()
+
+
+def test_similar_items_against_brute_force(spark):
+    """Every question's item by the ratio of matching blocks among all items of its company, then the gate."""
+    from difflib import SequenceMatcher
+
+    from ledgerloom.jobs import lookups
+    from ledgerloom.jobs.tables import facts
+
+    sf = "/root/testdata/sf0.001"
+    rows = facts(spark, sf).collect()
+    got = {r.qid: (r.decision, r.answer, r.tier) for r in lookups.lookup_fuzzy(spark, sf).collect()}
+    items, values, first = {}, {}, {}
+    for r in rows:
+        items.setdefault(r.company, set()).add(r.item_name)
+        values.setdefault((r.company, r.item_name, r.period), set()).add(r.value_raw)
+        first[r.company, r.item_name] = min(first.get((r.company, r.item_name), r.period), r.period)
+    for (company, item), period in first.items():
+        asked = item[:-2] + "xn"
+        best = max(sorted(items[company]), key=lambda n: SequenceMatcher(None, asked, n).ratio())
+        found = values.get((company, best, period), set())
+        want = ("hit_unique", min(found), 4) if len(found) == 1 else ("no_candidate" if not found else "ambiguous", None, 4 if found else None)
+        assert got[f"{company}|{item}"] == want
+
+
+def test_fuzzy_match_against_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    from ledgerloom.jobs import ingest
+
+    sf = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{sf}/part.parquet").collect()
+    blocks = {}
+    for p in parts:
+        blocks.setdefault((p.p_brand, p.p_size), set()).add(p.p_name)
+    want = {}
+    for p in parts:
+        asked = p.p_name[1:] + "x"
+        scored = sorted((-round(SequenceMatcher(None, asked, n).ratio(), 9), n) for n in blocks[p.p_brand, p.p_size])
+        if len(p.p_name) > 3 and -scored[0][0] >= 0.6:
+            want[p.p_partkey] = scored[0][1]
+    assert {r.qid: r.match for r in ingest.fuzzy_match(spark, sf).collect()} == want
+
+
+def test_chunks_of_the_query_keep_every_row(spark):
+    from ledgerloom.jobs import ingest
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.id: r.text.split("\n") for r in ingest._markdown(spark, sf).collect()}
+    made = {}
+    for r in ingest.chunker(spark, sf).orderBy("id", "chunk_index").collect():
+        assert r.content.split("\n")[:2] == texts[r.id][:2] and r.chunk_index < r.total_chunks
+        made.setdefault(r.id, []).extend(r.content.split("\n")[2:])
+    assert {k: list(dict.fromkeys(v)) for k, v in made.items()} == {k: v[2:] for k, v in texts.items()}
+
+
+def test_names_scan_longest_first(spark):
+    from ledgerloom.operators import lookup
+
+    names = spark.createDataFrame([("台積電", "2330"), ("台灣積體電路", "2330"), ("聯電", "2303"), ("群聯電子", "8299"), ("群聯", "8299")], "name string, code string")
+    q = spark.createDataFrame([(1, "聯電與群聯電子比較，再看台積電、台灣積體電路"), (2, "無"), (3, None), (4, "群聯電子")], "qid int, text string")
+    assert {r.qid: r.names for r in lookup.scanned(q, names).collect()} == {1: ["聯電", "群聯電子", "台積電"], 4: ["群聯電子"]}
+
+
+def test_company_codes_by_parts(spark):
+    from ledgerloom.operators import lookup
+
+    known = spark.createDataFrame([("聯華電子", 2303), ("台灣積體電路製造", 2330), ("群聯電子", 8299)], "key string, code int")
+    aliases = spark.createDataFrame([("大聯大", 3702)], "key string, code int")
+    asked = [(1, "聯華電子"), (2, "台灣積體電路"), (3, "聯華電子股份"), (4, "大聯大"), (5, "大聯大電子香港"), (6, None), (7, ""), (8, "電子")]
+    got = {r.qid: (r.code, r.tier) for r in lookup.company_codes(spark.createDataFrame(asked, "qid int, name string"), known, aliases).collect()}
+    assert got == {1: (2303, 1), 2: (2330, 2), 3: (2303, 2), 4: (3702, 1), 8: (2303, 2)}
+
+
+def test_discriminators_and_triples(spark):
+    from ledgerloom.operators import relations
+
+    rows = spark.createDataFrame([("所在地為【香港】", "香港"), ("帳面價值為2,051,269的被投資公司", "2,051,269"), ("沒有", None), (None, None)], "q string, want string")
+    got = rows.select(F.coalesce(relations.discriminator(F.col("q"), "所在地為"), relations.discriminator(F.col("q"), "帳面價值為")).alias("v"), "want").collect()
+    assert all(r.v == r.want for r in got)
+    t = spark.createDataFrame([("【113Q2】，【A】與【B】之間的【C】交易金額",), ("這份財報裡，甲跟乙之間的貨款交易金額",), ("於113Q2，甲與乙之間的貨款交易金額是",), ("別的",)], "q string")
+    assert [r.t and tuple(r.t) for r in t.select(relations.triple(F.col("q")).alias("t")).collect()] == [("A", "B", "C"), ("甲", "乙", "貨款"), ("甲", "乙", "貨款"), None]
+
+
+def test_notes_and_numbers_of_pages():
+    from ledgerloom.sources import files
+
+    page = "<pre class='note x'>a  b\n\n c</pre><table><tr><td><pre class='note'>in</pre></td></tr></table><p>1</p><div><pre class='note'>near</pre></div>" + "<p></p>" * 30 + "<pre class='note'>far</pre><pre class='note'>near</pre>"
+    assert files.notes_of(page) == [(1, "table_or_near_table", 1, "in"), (2, "table_or_near_table", 1, "near"), (3, "global_note", None, "a b\nc"), (4, "global_note", None, "far")]
+    assert files.notes_of("<ix:nonNumeric>t</ix:nonNumeric>") == [(1, "global_note", None, "t")] and files.notes_of(None) == []
+    assert files.numbers_of("<table><tr><td>商譽</td><td><ix:nonFraction contextRef='c'>1,0</ix:nonFraction></td></tr></table>") == [("商譽", "c", "1,0")]
+
+
+def test_labels_at_their_edges(spark):
+    from ledgerloom.functions import labels
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(labels.cut_bytes(F.lit("公司ab"), 7)) == "公司a" and one(labels.cut_bytes(F.lit(""), 7)) == ""
+    assert one(labels.file_name(F.lit("公" * 100))) == "公" * 58 + ".csv" and one(labels.file_name(F.lit(" . "))) == "untitled.csv"
+    assert one(labels.segments(F.lit("A: 1 ｜ A：2 | b"))) == {"A": "2"} and one(labels.filter_list(F.lit(None).cast("string"))) == []
+    assert one(labels.flat_header(F.lit("record_type"))) == "record_type" and one(labels.symbol(F.lit("3x"), "f")) == "f" and one(labels.quarter_of(F.lit("5"))) == 0
+
+
+def test_headers_with_other_signs_and_words(spark):
+    from ledgerloom.functions import periods
+
+    rows = [("113年1月1日～6月30日", "duration", "current"), ("2023年1月1日到2023年6月30日", "duration", "prior"), ("去年同期累計", "relative", "prior_ytd"), ("期末餘額", "relative", "current_end"), ("金額", "unknown", "unknown"), ("2024年6月30日", "instant", "current")]
+    h = spark.createDataFrame(rows, "h string, kind string, role string")
+    got = h.select("kind", "role", periods.header_kind(F.col("h")).alias("k"), periods.header_role(F.col("h"), F.lit("113Q2")).alias("r")).collect()
+    assert all((r.k, r.r) == (r.kind, r.role) for r in got)
