@@ -228,3 +228,104 @@ def test_words_and_runs():
     assert len(set(h.tolist())) == 11 and Words(["x two"]).hashes()[1] == h[1]
     text, _ = shingles(w, 5)
     assert text.tolist() == [0, 3, 4, 4]
+
+
+def test_language_against_brute_force(spark):
+    """Counts, posteriors, smoothed priors and their product by plain loops over all pages and documents."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    docs = [(r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text is not None and r.lang is not None]
+    pages = spark.read.parquet(f"{SF}/pages.parquet").withColumns({"host": F.lit("clash"), "p": F.lit("clash"), "lang": F.lit("clash")})
+    langs = sorted({x for _, x in docs})
+
+    def grams(t):
+        b = (" " + " ".join(t.lower().split()) + " ").encode()
+        return [((b[i] * 65536 + b[i + 1] * 256 + b[i + 2]) * 2654435761 % 2**32) >> 18 for i in range(len(b) - 2)]
+
+    counts = {x: Counter() for x in langs}
+    for t, x in docs:
+        counts[x].update(grams(t))
+    totals = {x: sum(c.values()) + 0.5 * language.BUCKETS for x, c in counts.items()}
+    rows = []
+    for r in pages.collect():
+        g = grams(language.visible(r.html))
+        logs = [sum(math.log((counts[x][b] + 0.5) / totals[x]) for b in g) * min(len(g), language.EFFECTIVE) / max(len(g), 1) for x in langs]
+        post = [math.exp(x - max(logs)) for x in logs]
+        host = m[1].lower() if (m := re.match(r"[^:]*://([^/?#]*)", r.url or "")) else ""
+        code = m[1].lower() if (m := re.match(r"[^:]*://[^/?#]*/([A-Za-z]{2})(?:[/?#]|$)", r.url or "")) else ""
+        told = m[1].lower() if (m := re.search(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", r.html or "")) else ""
+        parts = host.split(".")
+        rows.append((r.page_id, host, ".".join(parts[-2:]), parts[-1], told, code, logs, [x / sum(post) for x in post]))
+    k = range(len(langs))
+    every = [0.99 * sum(r[7][i] for r in rows) / len(rows) + 0.01 / len(langs) for i in k]
+
+    def priors(at, wider):
+        groups = defaultdict(list)
+        for r in rows:
+            groups[r[at]].append(r)
+        return {key: [(sum(r[7][i] for r in own) + language.SMOOTHING * wider(own[0])[i]) / (len(own) + language.SMOOTHING) for i in k] for key, own in groups.items()}
+
+    suffix = priors(3, lambda r: every)
+    domain = priors(2, lambda r: suffix[r[3]])
+    host, told, code = priors(1, lambda r: domain[r[2]]), priors(4, lambda r: every), priors(5, lambda r: every)
+    got = {r.page_id: r for r in language.identify(pages, spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    for r in rows:
+        logs = [r[6][i] + math.log(host[r[1]][i]) + math.log(told[r[4]][i]) + math.log(code[r[5]][i]) - 2 * math.log(every[i]) for i in k]
+        post = [math.exp(x - max(logs)) for x in logs]
+        best = max(k, key=lambda i: post[i])
+        assert got[r[0]].lang == langs[best] and abs(got[r[0]].score - post[best] / sum(post)) < 1e-6 and got[r[0]].text_lang == langs[max(k, key=lambda i: r[6][i])]
+
+
+def test_quality_measures_and_scores_against_brute_force(spark):
+    """The eight measures, the votes, the posterior of the votes and the linear score by plain loops over each text."""
+    import math
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs)
+    got = {r.doc_id: r for r in quality.judge(docs, model).collect()}
+
+    def measures(text):
+        data = (text or "").encode()
+        words = data.replace(b"\t", b" ").replace(b"\n", b" ").replace(b"\r", b" ").replace(b"\x0b", b" ").replace(b"\x0c", b" ").split()
+        symbol = lambda b: not (b >= 128 or chr(b).isalnum() or chr(b) in ".,;:!?'\"()-/")
+        ink = b"".join(words)
+        letters = [b for b in data if b < 128 and chr(b).isalpha()]
+        n, few = len(words), len(words) < 5
+        if not n:
+            return [None] * 8
+        return [
+            sum(map(symbol, ink)) / len(ink), sum(any(map(symbol, w)) for w in words) / n, sum(chr(b).isupper() for b in letters) / len(letters) if len(letters) >= 20 else None,
+            sum(b"!!" in w or b"??" in w for w in words) / n, None if few else sum(a == b for a, b in zip(words, words[1:])) / n, None if few else sum(a == b == c for a, b, c in zip(words, words[1:], words[2:])) / n,
+            None if few else 1 - len(set(words)) / n, None if few else sum(all(map(symbol, w)) for w in words) / n,
+        ]
+
+    for r in docs.collect():
+        votes = ["-" if m is None else "b" if m >= bad else "g" if m <= good else "-" for m, (_, bad, good) in zip(measures(r.text), quality.LABELLERS)]
+        odds = math.log(model.accuracies.prior / (1 - model.accuracies.prior))
+        for v, good, bad in zip(votes, model.accuracies.good, model.accuracies.bad):
+            odds += math.log(good / (1 - bad)) if v == "g" else math.log((1 - good) / bad) if v == "b" else 0.0
+        x = got[r.doc_id]
+        assert x.pattern == "".join(votes) and abs(x.weak - 1 / (1 + math.exp(-odds))) < 1e-9
+        p = quality.parts_of([r.text])
+        _, bucket, value = quality.features(p, quality._word_hashes(p.data, p.starts, p.ends))
+        z = model.scorer.bias + sum(model.scorer.weights[b] * v for b, v in zip(bucket, value))
+        assert abs(x.score - (1 / (1 + math.exp(-z)) if len(p.starts) else 0.0)) < 1e-9 and x.kept == (x.score >= 0.5)
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    """The machine's sum over all pairs of terms, one by one, for every document."""
+    import math
+    import zlib
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert len(model.w) > 3
+    for r in docs.select("doc_id", "text").collect():
+        _, term = toxicity.terms([r.text])
+        own = [model.place[t] for t in term if model.place[t] >= 0]
+        z = model.w0 + sum(model.w[i] for i in own) + sum(float(model.v[a] @ model.v[b]) for k, a in enumerate(own) for b in own[:k])
+        x = got[r.doc_id]
+        assert abs(x.score - 1 / (1 + math.exp(-z))) < 1e-9 and x.predicted == (x.score >= 0.5) and x.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
