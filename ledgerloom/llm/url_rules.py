@@ -4,9 +4,9 @@ The tokens of labelled URLs and their label are Spark FP-growth's transactions.
 that reach a support and a confidence stay; one that a rule with fewer tokens implies at no less confidence goes. An
 inverted index from a rule's tokens to the rule finds, for every URL, the rules whose tokens it all has.
 
-Labels are a table of their own. Where none are given, the pages themselves say what they are (``evidence``): a base
-rule that fits labels its page, and the other pages' visible text does, by the quality classifier that is fitted, without
-labels, on the texts of all pages.
+Labels are a table of their own; they teach where no base rule decides, as mined rules count there only. Where no labels
+are given, the pages themselves say what they are (``evidence``): by their visible text, which the quality classifier,
+fitted without labels on the texts of all pages, keeps or not.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-#: Support is a count of labelled pages to block, the same at every size; MIN_SUPPORT can ask for a share of them besides.
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_COUNT = 0.0, 0.8, 5
+#: Support is of labelled pages to block: a token alone needs MIN_COUNT of them, at every size; a combination of tokens, which chance
+#: makes far more of, MIN_SUPPORT of the labelled pages besides.
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_COUNT = 0.002, 0.8, 5
 BLOCK = "label=block"
 
 
@@ -93,15 +94,23 @@ def as_items(sets: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def rules_of(labelled: DataFrame, words: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
-    """The rules over the items of ``words``: items apart make rules alone, all others are mined together."""
-    n = labelled.count()
-    least = max(min_count, ceil(min_support * n))
+    """The rules over the items of ``words``: single items by their counts, combinations by mining the items that are not
+    apart and have a combination's support themselves, as every item of a supported combination has."""
+    least = max(min_count, ceil(min_support * labelled.count()))
     labelled = labelled.withColumn("tokens_id", F.xxhash64("tokens"))
-    sets = as_items(labelled, words.where("NOT apart"))
+    sets = as_items(labelled, words.where(~F.col("apart") & (F.col("bad") >= least)))
     rows = labelled.select("tokens_id", "blocked").join(sets, "tokens_id").select("tokens", "blocked")
-    alone = words.where(F.col("apart") & (F.col("bad") >= least) & (F.col("bad") / F.col("n") >= min_confidence))
+    alone = words.where((F.col("bad") >= min_count) & (F.col("bad") / F.col("n") >= min_confidence))
     alone = alone.select(F.col("item").alias("rule_id"), F.array("item").alias("tokens"), (F.col("bad") / F.col("n")).alias("confidence"), F.col("bad").alias("n")).distinct()
-    return alone.unionByName(mine(rows, 0.0, min_confidence, least))
+    return pruned(written(alone.unionByName(mine(rows, 0.0, min_confidence, least).where("size(tokens) > 1")), "url-found"))
+
+
+def pruned(rules: DataFrame) -> DataFrame:
+    """Without the rules that hold a shorter one of no less confidence, which says all that they say."""
+    index = rules.select(F.explode("tokens").alias("token"), F.col("rule_id").alias("short"), F.size("tokens").alias("k"), F.col("confidence").alias("as_sure"))
+    inside = rules.select("rule_id", "confidence", F.size("tokens").alias("own"), F.explode("tokens").alias("token")).join(index, "token")
+    inside = inside.where("k < own AND as_sure >= confidence").groupBy("rule_id", "short", "k").agg(F.count("*").alias("met")).where("met = k")
+    return rules.join(inside.select("rule_id").distinct(), "rule_id", "left_anti").select("rule_id", "tokens", "confidence", "n")
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
@@ -120,11 +129,7 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     rules = found.where("bad AND size(tokens) > 0").select("tokens", F.col("freq").alias("n")).join(found.where("NOT bad").select("tokens", "freq"), "tokens")
     rules = rules.select("tokens", (F.col("n") / F.col("freq")).alias("confidence"), "n").where(F.col("confidence") >= min_confidence)
     rules = written(rules.withColumn("rule_id", F.concat_ws(" ", "tokens")), "url-rules")
-    # A shorter rule within this one, of no less confidence, says all that it says.
-    index = rules.select(F.explode("tokens").alias("token"), F.col("rule_id").alias("short"), F.size("tokens").alias("k"), F.col("confidence").alias("as_sure"))
-    inside = rules.select("rule_id", "confidence", F.size("tokens").alias("own"), F.explode("tokens").alias("token")).join(index, "token")
-    inside = inside.where("k < own AND as_sure >= confidence").groupBy("rule_id", "short", "k").agg(F.count("*").alias("met")).where("met = k")
-    return rules.join(inside.select("rule_id").distinct(), "rule_id", "left_anti").select("rule_id", "tokens", "confidence", "n")
+    return pruned(rules)
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -141,30 +146,26 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("tokens_id").agg(F.min(F.struct((-F.col("confidence")).alias("sure"), "rule_id")).alias("best")).select("tokens_id", F.col("best.rule_id").alias("mined"))
 
 
-def evidence(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id and blocked of every row of ``pages`` (page_id, url, html) that says what it is: by the base rule that
-    fits, else by its visible text, which the quality classifier keeps or not. Pages without a visible word say nothing."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    texts = written(map_texts(rows, lambda x: {"text": [language.visible(t) for t in x]}, "text string", "html"), "url-texts")
-    texts = texts.withColumn("doc_id", F.col("page_id"))
-    judged = quality.judge(texts, quality.train(texts)).where(F.translate("pattern", "-", "") != "").select("page_id", "url", "kept")
-    _, verdict = base_rule(rules)
-    based = parsed(rows).select("page_id", verdict.alias("verdict")).where("verdict IS NOT NULL").select("page_id", (F.col("verdict") == "block").alias("blocked"))
-    other = parsed(judged, "kept").where(verdict.isNull()).select("page_id", (~F.col("kept")).alias("blocked"))
-    return based.union(other)
+def evidence(pages: DataFrame) -> DataFrame:
+    """page_id and blocked of every row of ``pages`` (page_id, html; url is not read) with a visible word: blocked if the
+    quality classifier rejects its text. Texts are cut from the pages anew in each pass: they would fill as much disk."""
+    rows = pages.select(F.col("page_id").cast("long").alias("doc_id"), F.col("html").cast("string").alias("html"))
+    texts = map_texts(rows, lambda x: {"text": [language.visible(t) for t in x]}, "text string", "html")
+    judged = quality.judge(texts, quality.train(texts)).where(F.translate("pattern", "-", "") != "")
+    return judged.select(F.col("doc_id").alias("page_id"), (~F.col("kept")).alias("blocked"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict and mined (the association rule that decided, if any) of every row of ``pages``.
 
-    ``labels`` (page_id, blocked) are what is mined: MIN_COUNT labelled pages to block at least for a rule. The base rules come first;
-    where none fits, an association rule that matches blocks, and else the url is allowed. Null urls and urls
+    ``labels`` (page_id, blocked) are what is mined, on pages without a base rule: MIN_COUNT of them to block at least for a
+    rule. The base rules come first; where none fits, an association rule that matches blocks, and else the url is allowed. Null urls and urls
     without ``://`` have an empty host and path. Null page_ids stay, repeated rows have one row each, and a page_id
     that several labels name counts as blocked if any blocks; null labels say nothing. Without labels nothing is mined.
     """
     urls = written(parsed(pages).withColumn("tokens_id", F.xxhash64("tokens")), "urls")
     bad = labels.where("page_id IS NOT NULL AND blocked IS NOT NULL").groupBy("page_id").agg(F.max("blocked").alias("blocked"))
-    known = written(urls.join(bad, "page_id").select("tokens", "blocked"), "url-labelled")
+    known = written(urls.where(base_rule(rules)[0].isNull()).join(bad, "page_id").select("tokens", "blocked"), "url-labelled")
     words = vocabulary(known)
     mined = written(rules_of(known, words, min_support, min_confidence), "url-mined")
     rule, verdict = base_rule(rules)
