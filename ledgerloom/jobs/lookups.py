@@ -45,8 +45,10 @@ def lookup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relax.unique_gate(found, ["company", "period"], "value_raw", asked)
 
 
-@query("P2 P3 P4 P6 P8 P9 J1", f"""WITH {QUESTIONS}, c AS (
-  SELECT *, CASE WHEN q_table IS NULL THEN FALSE ELSE contains(table_name, q_table) END AS p1 FROM questions JOIN facts ON company = q_company OR (seq_ % 5 = 0 AND contains(company, q_company))
+@query("P2 P3 P4 P6 P8 P9 J1", f"""WITH {QUESTIONS}, names AS (
+  SELECT q_company, company FROM (SELECT DISTINCT q_company FROM questions) JOIN (SELECT DISTINCT company FROM facts) ON contains(company, q_company)
+), c AS (
+  SELECT *, CASE WHEN q_table IS NULL THEN FALSE ELSE contains(table_name, q_table) END AS p1 FROM questions JOIN names USING (q_company) JOIN facts USING (company)
 ), r1 AS (SELECT * FROM (SELECT *, bool_or(p1) OVER (PARTITION BY qid) AS a1 FROM c) WHERE p1 OR NOT a1),
 t AS (SELECT *, CASE WHEN item_name = q_item THEN 1 WHEN starts_with(item_name, q_item) AND NOT regexp_matches(substr(item_name, length(q_item) + 1, 1), '[一-鿿]') THEN 2 WHEN contains(item_name, q_item) THEN 3 END AS tier FROM r1),
 b AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY qid) AS mt FROM t WHERE tier IS NOT NULL) WHERE tier = mt AND period = q_period),
