@@ -77,13 +77,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm import fill_middle
+
+    return fill_middle.transform(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality, "op2_language": op2_language, "op3_topk": op3_topk, "op4_bpe": op4_bpe, "op5_urls": op5_urls,
         "op6_near_dedup": op6_near_dedup, "op7_exact_dedup": op7_exact_dedup, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity,
-        "op10_licenses": op10_licenses,
+        "op10_licenses": op10_licenses, "op13_fill_middle": op13_fill_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": sql.OP7, "op8_mixing": sql.OP8, "op3_topk": sql.OP3}
+    return {"op7_exact_dedup": sql.OP7, "op8_mixing": sql.OP8, "op3_topk": sql.OP3, "op13_fill_middle": sql.OP13}
