@@ -1,11 +1,18 @@
 """Fill-in-the-middle, repair of conversations and main texts of pages, against plain loops and brute force."""
 
 import hashlib
+import heapq
+import itertools
 import random
+import re
+import zlib
+from collections import defaultdict
 
 import pytest
 
-from ledgerloom.llm import fill_middle
+from ledgerloom.llm import conversation_repair, fill_middle
+
+SF = "/root/testdata/sf0.01"
 
 # --- fill in the middle ---------------------------------------------------------------------------------------------
 
@@ -57,3 +64,154 @@ def test_restored_from_output_and_form_alone():
     for output, form in ((b"no mark", "psm"), (b"<P>x<S>y", "psm"), (b"<P>x", "spm")):
         with pytest.raises(ValueError):
             fill_middle.parsed(output, form)
+
+
+# --- repair of conversations ----------------------------------------------------------------------------------------
+
+CODES = "suaxSUAX1234"
+
+
+def ways(code):
+    """(cost, letter, initial or nothing) of the edits of a row."""
+    if code.isdigit():
+        return [(4, "D", "")]
+    more = 3 if code.isupper() else 0
+    return [(4, "D", ""), (3 + more, "R", "u"), (3 + more, "R", "a")] + ([(more, "K", code.lower())] if code.lower() != "x" else [])
+
+
+def exhaustive(codes):
+    """The cheapest (cost, audit) over all choices, with up to two insertions in each gap."""
+    gaps = ["", *"ua", "uu", "ua", "au", "aa"]
+    best = None
+    for inserted in itertools.product(gaps, repeat=len(codes) + 1):
+        for edits in itertools.product(*map(ways, codes)):
+            cost = 3 * sum(map(len, inserted)) + sum(e[0] for e in edits)
+            if best is not None and cost > best[0]:
+                continue
+            roles = "".join(i + e[2] for i, e in zip(inserted, edits)) + inserted[-1]
+            if re.fullmatch("(s?(ua)+)?", roles):
+                audit = "".join("I" * len(i) + e[1] for i, e in zip(inserted, edits)) + "I" * len(inserted[-1])
+                best = min(best or (10**9,), (cost, audit))
+    return best
+
+
+MOVES = {("0", "s"): "1", ("0", "u"): "2", ("1", "u"): "2", ("2", "a"): "3", ("3", "u"): "2"}
+
+
+def searched(codes):
+    """(cost, audit, roles) by Dijkstra over (place, state of a finite automaton), whole audits as tie-breakers."""
+    heap, done = [(0, "", 0, "0", "")], set()
+    while heap:
+        cost, audit, at, state, kept = heapq.heappop(heap)
+        if at == len(codes) and state in "03":
+            return cost, audit, kept
+        if (at, state) in done:
+            continue
+        done.add((at, state))
+        for r in "ua":
+            if (state, r) in MOVES:
+                heapq.heappush(heap, (cost + 3, audit + "I", at, MOVES[state, r], kept + r))
+        if at < len(codes):
+            for c, letter, r in ways(codes[at]):
+                if not r or (state, r) in MOVES:
+                    heapq.heappush(heap, (cost + c, audit + letter, at + 1, MOVES[state, r] if r else state, kept + r))
+
+
+def repaired_roles(codes):
+    cost, edits, last = conversation_repair.repair(codes)
+    rows = conversation_repair.lines(edits, last, [c.lower() for c in codes], [""] * len(codes))
+    audit = "".join(map(conversation_repair.audit_of, edits)) + conversation_repair.audit_of(last)
+    return cost, audit, "".join(r[0] for r in rows)
+
+
+def test_repair_against_all_choices():
+    for n in range(3):
+        for codes in itertools.product(CODES, repeat=n):
+            want = exhaustive(codes)
+            assert repaired_roles("".join(codes))[:2] == want == searched("".join(codes))[:2], codes
+
+
+def test_long_repairs_against_a_search():
+    random.seed(12)
+    for _ in range(1500):
+        codes = "".join(random.choice(random.choice((CODES, "ua", "sua", "SUA12", "x1"))) for _ in range(random.randrange(26)))
+        assert repaired_roles(codes) == searched(codes), codes
+    cost, audit, _ = repaired_roles("sx1U" * 50_000)
+    assert len(audit) >= 200_000 and cost > 0 and len(conversation_repair._frontiers) < 3000
+
+
+def damage(rows):
+    by_conv = defaultdict(list)
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        n = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        made = by_conv[conv]
+        if n == 0:
+            continue
+        if n == 1:
+            text = ""
+        if n == 2:
+            text = re.sub("[.!?]", "", text)
+        if n == 4:
+            role = "user"
+        made += [(turn, role, text)] * (2 if n == 3 else 1)
+    return by_conv
+
+
+def expected(rows):
+    out = {}
+    for conv, made in damage(rows).items():
+        made.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), hashlib.sha256(r[2].encode()).hexdigest()))
+        seen, codes, faults = set(), "", [0, 0, 0]
+        for _, role, text in made:
+            c = role[:1] if role[:1] in ("s", "u", "a") else "x"
+            body = text.strip("\t\n\x0b\x0c\r ")
+            if not body or (role, text) in seen:
+                faults[1 if body else 0] += 1
+                c = "1234"["suax".index(c)]
+            elif body[-1] not in ".!?":
+                faults[2] += 1
+                c = c.upper()
+            seen.add((role, text))
+            codes += c
+        initials = [r[1][:1] for r in made]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        cost, audit, kept = searched(codes)
+        lines, at, i = [], 0, 0
+        for letter in audit:
+            if letter == "I":
+                lines.append({"u": "user:", "a": "assistant:"}[kept[i]])
+            elif letter != "D":
+                lines.append((made[at][1] if letter == "K" else {"u": "user", "a": "assistant"}[kept[i]]) + ":" + made[at][2])
+            i += letter != "D"
+            at += letter != "I"
+        turns = {r[0] for r in made if r[0] is not None}
+        gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+        out[conv] = (gaps, *faults, illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
+
+
+FIELDS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def test_conversations_against_plain_loops(spark):
+    table = spark.read.parquet(f"{SF}/conversations.parquet")
+    want = expected([tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()])
+    assert {r.conv_id: tuple(r[f] for f in FIELDS) for r in conversation_repair.repaired(table).collect()} == want
+    assert len({w[5] for w in want.values()}) > 4 and sum(w[1] for w in want.values()) and sum(w[2] for w in want.values())
+
+
+@pytest.mark.parametrize("bounds", [(20_000, 8 << 20), (30, 1 << 20), (0, 0), (3, 40)])
+def test_odd_conversations_and_large_ones_in_segments(spark, bounds):
+    random.seed(5)
+    roles = ["user", "assistant", "system", None, "", "tool", "User", "émile"]
+    texts = ["Yes.", "no", None, "", " \t\n", "Why?  \n", "é!", "\xa0", "word " * 400, "same.", "same."]
+    rows = [(c, random.choice([None, 0, 1, 2, 3, 9, 40, -5]), random.choice(roles), random.choice(texts)) for c in (1, 2, None) for _ in range(60)]
+    rows += [(7, t, "assistant" if t % 2 else "user", f"turn {t}.") for t in range(300)] + [(8, 3, "user", "again.")] * 100
+    rows += [(c, 0, "user", "alone.") for c in range(100, 160)]
+    table = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, file string, code int").repartition(5)
+    got = conversation_repair.repaired(table, *bounds).collect()
+    want = expected(rows)
+    assert len(got) == len(want) and {r.conv_id: tuple(r[f] for f in FIELDS) for r in got} == want
+    assert any(w[6] == "" for w in want.values())
+    assert conversation_repair.repaired(table.limit(0), *bounds).count() == 0
