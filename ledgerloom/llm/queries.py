@@ -77,6 +77,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).select(*columns)
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerloom.llm import main_text
+
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerloom.llm import conversation_repair
 
@@ -93,7 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality, "op2_language": op2_language, "op3_topk": op3_topk, "op4_bpe": op4_bpe, "op5_urls": op5_urls,
         "op6_near_dedup": op6_near_dedup, "op7_exact_dedup": op7_exact_dedup, "op8_mixing": op8_mixing, "op9_toxicity": op9_toxicity,
-        "op10_licenses": op10_licenses, "op12_repair": op12_repair, "op13_fill_middle": op13_fill_middle,
+        "op10_licenses": op10_licenses, "op11_main_text": op11_main_text, "op12_repair": op12_repair, "op13_fill_middle": op13_fill_middle,
     }
 
 

@@ -2,15 +2,17 @@
 
 import hashlib
 import heapq
+import html
 import itertools
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from ledgerloom.llm import conversation_repair, fill_middle
+from ledgerloom.llm import conversation_repair, fill_middle, main_text
 
 SF = "/root/testdata/sf0.01"
 
@@ -215,3 +217,107 @@ def test_odd_conversations_and_large_ones_in_segments(spark, bounds):
     assert len(got) == len(want) and {r.conv_id: tuple(r[f] for f in FIELDS) for r in got} == want
     assert any(w[6] == "" for w in want.values())
     assert conversation_repair.repaired(table.limit(0), *bounds).count() == 0
+
+
+# --- main text of pages ---------------------------------------------------------------------------------------------
+
+
+def article_of(page):
+    """The given pages are all of one form: the paragraphs of the article element."""
+    body = re.search("<article>(.*?)</article>", page, re.S)[1]
+    parts = [" ".join(html.unescape(re.sub("<b>|<br>", "", p)).split()) for p in re.split("</?h1>|</?p>", body)]
+    return "\n".join(p for p in parts if p)
+
+
+def test_given_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r for r in main_text.extract(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows)
+    assert all(got[r.page_id].text == article_of(r.html) and got[r.page_id].n_chars == len(got[r.page_id].text) and got[r.page_id].url == r.url for r in rows)
+
+
+AROUND = """<!doctype html><html><head><title>T</title><style>p{}</style><script>if (a<b) "</p>"</script></head><body class="sidebar"><header><h1>Site</h1></header>
+<nav><ul><li>Home<li>News</ul></nav><div class="cookieNotice">We use cookies</div><form>Search <input></form><main>
+<article><header><h1>The &lt;title&gt; &amp; more</h1></header><p>One  <b>two</b><br>three&nbsp;four<p>Caf&eacute; &#233;<aside>Aside</aside>
+<div class='ad'>Buy <p>now</div><table><tr><td>cell<td>next</table><span class="share">Tweet</span><footer>Filed under</footer></article>
+<section id="comments"><article class="comment"><p>First!</p></article></section></main><div class="related-posts"><article>Other</article></div>
+<!-- <article>no</article> --><footer>(c)</footer></body></html>"""
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (AROUND, "The <title> & more\nOne two three four\nCafé é\ncell\nnext"),
+    (None, ""), ("", ""), ("just text", "just text"), ("a < b & c", "a < b & c"), ("<p>a<p>b", "a\nb"), ("<nav>menu", ""), ("<script>x", ""), ("a<!-- x", "a"),
+    ("<div><a href=x>One</a> <a href=y>two</a></div><div>Text with a <a href=z>link</a>.</div>", "Text with a link."),
+    ("<form><article>In a form</article></form>", "In a form"), ("<div class=ad><article>x</article></div><p>Text</p>", "x"),
+    ('<div class="related"><article>Other</article></div><article>Own</article>', "Own"), ("<article><p>" + "word " * 100_000 + "</article>", ("word " * 100_000).strip()),
+    ("<p title='a > b'>x</p>", "x"), ('<p title="a>x</p>', "x"), ("<noscript>on</noscript><svg/><p>y</p><template>z</template>", "y"),
+    ("<div role=main>A<div role=search>B</div></div>C", "A"), ("<div class=entry-content>A</div><div>C</div>", "A"), ("<b><div>x</b>y</div><p>z", "xy\nz"),
+])
+def test_odd_pages(page, want):
+    parsed = main_text.Page(page)
+    assert main_text.joined(parsed.blocks, parsed.main) == want
+
+
+@pytest.mark.parametrize("page", ["<" * 500_000, "<a " * 300_000 + ">", '<a "' * 200_001 + ">", "<!--" * 200_000, "<ol>" + "<div>" * 3000 + "<li>x</li>" * 20_000, "<b><p>" * 50_000 + "</b>" * 50_000])
+def test_scan_is_linear(page):
+    import time
+
+    began = time.process_time()
+    main_text.Page(page)
+    assert time.process_time() - began < 8
+
+
+def test_suffix_array_against_sorting():
+    random.seed(8)
+    for length in (1, 2, 5, 8):
+        pages = [[random.randrange(3) for _ in range(random.randrange(12))] for _ in range(9)]
+        tokens = np.array([t for p in pages for t in p], np.uint64)
+        page = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+        order, rank = main_text.suffix_array(tokens, page, length)
+        suffix = [tuple(p[i : i + length]) for p in pages for i in range(len(p))]
+        assert [suffix[i] for i in order] == sorted(suffix)
+        assert all((rank[i] == rank[j]) == (suffix[i] == suffix[j]) for i, j in itertools.combinations(range(len(suffix)), 2))
+
+
+def plain_words(text):
+    return [w for w in "".join(c.lower() if c.isascii() and c.isalnum() else c if ord(c) > 127 else " " for c in text).split(" ") if w]
+
+
+def host_texts(pages):
+    """What stays of pages without an article, by counting runs of tokens in sets."""
+    where, streams = defaultdict(set), []
+    for _, url, page in pages:
+        parsed = main_text.Page(page)
+        around = [(s, t) for s, t in parsed.blocks if parsed.main == main_text.OPEN or s != parsed.main]
+        stream = [(w, b) for b, (_, t) in enumerate(around) for w in [*plain_words(t), None]]
+        host = url.split("/")[2] if url else ""
+        runs = [tuple(w for w, _ in stream[i : i + main_text.RUN]) for i in range(max(len(stream) - main_text.RUN + 1, min(len(stream), 1)))]
+        for r in runs:
+            where[host, r].add(tuple(t for _, t in parsed.blocks))
+        streams.append((parsed, around, stream, host, runs))
+    out = []
+    for parsed, around, stream, host, runs in streams:
+        if parsed.main != main_text.OPEN:
+            out.append(main_text.joined(parsed.blocks, parsed.main))
+            continue
+        covered = {i + j for i, r in enumerate(runs) if len(where[host, r]) > 1 for j in range(main_text.RUN)}
+        words = Counter(b for w, b in stream if w is not None)
+        hit = Counter(b for i, (w, b) in enumerate(stream) if w is not None and i in covered)
+        open_ = [(b, t) for b, (s, t) in enumerate(around) if s == main_text.OPEN]
+        out.append("\n".join([t for b, t in open_ if hit[b] < main_text.COVERED * max(words[b], 1)] or [t for _, t in open_]))
+    return out
+
+
+def test_pages_without_an_article_against_counting(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").collect()
+    bare = lambda page: re.sub("<(/?)(nav|article|footer|li)>", r"<\1div>", page.replace('<div class="ad">', "<div>")).replace("<a ", "<i ").replace("</a>", "</i>")
+    pages = [(r.page_id, r.url, bare(r.html) if r.page_id % 3 else r.html) for r in rows]
+    pages += [(None, None, "<div>Same words on two pages of the empty host, are they not?</div><p>One</p>"), (None, None, "<div>Same words on two pages of the empty host, are they not?</div><p>Two</p>")]
+    pages += [(9000, "http://copy.example/1", "<p>A page and its copy are one page, so that nothing of it goes.</p>")] * 3 + [(9001, None, None)]
+    table = spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id long, url string, html string, text string, row int").repartition(7)
+    got = sorted(map(str, ((r.page_id, r.url, r.text) for r in main_text.extract(table).collect())))
+    want = host_texts(pages)
+    assert got == sorted(map(str, ((p[0], p[1], w) for p, w in zip(pages, want))))
+    assert {"One", "Two"} <= set(want) and sum(w != host_texts([p])[0] for p, w in zip(pages, want)) > 50
+    assert main_text.extract(table.limit(0)).count() == 0
