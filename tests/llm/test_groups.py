@@ -146,6 +146,33 @@ def test_small_buckets_are_compared_in_full(spark):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def roots_in_one_bucket(spark, texts, rounds):
+    """The groups of texts that all stand in one bucket, by the leaders' rounds alone."""
+    docs = written(table(spark, [(i, t, "s") for i, t in enumerate(texts)]), "stray")
+    reps = near_dedup.representatives(near_dedup.sketched(docs)).withColumn("bands", F.array(F.lit(1).cast("long")))
+    roots = {r.node: r.root for r in near_dedup.links(docs, reps, rounds=rounds).collect()}
+    ids = {r.fp: r.id for r in reps.collect()}
+    return [roots.get(i, i) for i in (ids[r["fp"]] for r in near_dedup.sketched(docs).orderBy("doc_id").collect())]
+
+
+def test_a_round_without_pairs_is_no_end(spark):
+    """Whichever text leads first: one is four times as long as the two near copies, so that a round can give no pair."""
+    for seed in range(2):
+        a = edited(seed, 2, 1)
+        long = " ".join(f"z{seed}x{i}" for i in range(800))
+        got = roots_in_one_bucket(spark, [long, *a], near_dedup.ROUNDS)
+        assert got[1] == got[2] != got[0]
+
+
+def test_rounds_without_a_bound_are_exact(spark):
+    """A loose bucket: strangers, strangers of other sizes and two groups, one of them a chain."""
+    words = [f"w{i}" for i in range(300)]
+    texts = edited(9, 6, 3) + [" ".join(words[i * 12 : i * 12 + 150]) for i in range(4)] + [" ".join(f"q{k}x{i}" for i in range(20 * 2**k)) for k in range(3)]
+    random.Random(3).shuffle(texts)
+    got, want = roots_in_one_bucket(spark, texts, None), brute_components(texts)
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
 def test_recall_in_a_loose_group(spark):
     """300 copies at 0.3 to 1.0 of each other: rounds of leaders keep at least 0.99 of the links, and add none."""
     texts = edited(5, 300, 16)
