@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import periods
 from ledgerloom.operators import facts as ops
+from ledgerloom.sources.ordered import numbered
 
 ITEMS = {
     "l_quantity": "數量 Quantity",
@@ -24,8 +25,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, which all executors see; where that is unset, as in tests, in a local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-ledgerloom-")
+    """A new folder name under ``spark.checkpoint.dir``, which all executors see. Where that is unset, a local session, as
+    in tests, gets a local folder, and a cluster an error: its executors would not see one another's files."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-ledgerloom-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -36,14 +42,6 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def place_in_file() -> Column:
-    """The order of rows as they were filed: the number of the part file, then the row in it. Unique, and no shuffle."""
-    name, digits = F.col("_metadata.file_name"), F.lit(0).cast("bigint")
-    for pattern, scale in ((r"part-(\d+)", 1000), (r"-c(\d+)", 1)):
-        digits = digits + F.coalesce(F.when(F.regexp_extract(name, pattern, 1) != "", F.regexp_extract(name, pattern, 1).cast("bigint") * scale), F.lit(0))
-    return digits * (1 << 34) + F.col("_metadata.row_index")
-
-
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, company, period, table_name, item_name, column_header, value_raw, value_number: four per line item.
 
@@ -53,8 +51,8 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.quarter(d)
     year = F.year(d).cast("string")
     last = F.when(q.isin(1, 4), 31).otherwise(30).cast("string")
-    rows = read(spark, sf_dir, "lineitem").select(
-        place_in_file().alias("line"),
+    rows = numbered(read(spark, sf_dir, "lineitem"), "line").select(
+        "line",
         F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("company"),
         periods.label_of(d).alias("period"),
         F.when(F.col("l_returnflag") == "R", "資產負債表").when(F.col("l_returnflag") == "A", "現金流量表_2").otherwise("綜合損益表").alias("table_name"),
