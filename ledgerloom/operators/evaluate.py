@@ -63,10 +63,14 @@ def rouge(pairs: DataFrame, key: str, answer: str, gold: str, *sizes: int) -> Da
     """key, n, precision, recall and f of the n-grams of tokens, for each n of ``sizes``, four decimals.
 
     Multiset overlap by a join on (key, n, n-gram). Tokens are cut once; an n-gram is n neighbouring rows, so the work grows
-    with the length of the text. Pairs without an n-gram score 0.
+    with the length of the text. Pairs without an n-gram score 0. Texts are cut at blanks; a column that is an array of
+    tokens, as ``segment.segmented`` gives for unspaced script, is taken as it is.
     """
     def grams(c: str, name: str) -> DataFrame:
-        words = F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+"), lambda x: x != "")
+        if pairs.schema[c].dataType.typeName() == "array":
+            words = F.transform(F.col(c), F.lower)
+        else:
+            words = F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+"), lambda x: x != "")
         rows = pairs.select(key, words.alias("t"))
         # A list of n-grams is zipped from the list of tokens and the lists that begin one, two, ... tokens later.
         shifted = lambda t, n: F.arrays_zip(*[F.slice(t, k + 1, F.greatest(F.size(t) - n + 1, F.lit(0))).alias(str(k)) for k in range(n)])

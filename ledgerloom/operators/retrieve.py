@@ -54,14 +54,19 @@ def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75)
     """qid, doc_id, score of every query (qid, text) with every document (doc_id, text) that shares a term.
 
     Documents are tokenised once and counted per (document, term) before anything is joined; the queries' distinct terms
-    prune the counts first, so terms nobody asks for are never shuffled by document.
+    prune the counts first, so terms nobody asks for are never shuffled by document. A text that is an array of tokens, as
+    ``segment.segmented`` gives for unspaced script, is taken as it is.
     """
-    lengths = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("dl"))
+    def terms_of(rows: DataFrame) -> Column:
+        is_array = rows.schema["text"].dataType.typeName() == "array"
+        return F.transform("text", F.lower) if is_array else tokens(F.col("text"))
+
+    lengths = docs.select("doc_id", F.size(terms_of(docs)).alias("dl"))
     totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    terms = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    terms = queries.select("qid", F.explode(F.array_distinct(terms_of(queries))).alias("term"))
     wanted = terms.select("term").distinct()
     # Lengths are joined later: next to explode they would be computed anew for every token.
-    tf = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
+    tf = docs.select("doc_id", F.explode(terms_of(docs)).alias("term"))
     tf = tf.join(wanted, "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
