@@ -62,10 +62,18 @@ def path_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("F29 J11")
 def fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Misspelt part names against the names of the same brand and size."""
-    parts = read(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("block"), "p_partkey", "p_name")
-    asked = parts.where("length(p_name) > 3").select("block", F.col("p_partkey").alias("qid"), F.concat(F.substring("p_name", 2, 1000), F.lit("x")).alias("asked"))
-    return fuzzy.best_match(asked, parts.select("block", "p_name"), "block", "asked", "p_name", "qid", 0.6).select("qid", F.col("p_name").alias("match"), F.round("score", 4).alias("score"))
+    """Misspelt part names against all names."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+    asked = parts.where("length(p_name) > 3").select(F.col("p_partkey").alias("qid"), F.concat(F.substring("p_name", 2, 1000), F.lit("x")).alias("asked"))
+    return fuzzy.most_similar(asked, parts.select("p_name"), "asked", "p_name", "qid", 0.6).select("qid", F.col("p_name").alias("match"), F.round("score", 4).alias("score"))
+
+
+@query("J11 P4")
+def similar_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long words of the benchmark and the long words of all documents that are spelt nearly so."""
+    words = lambda name: read(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-zà-ÿ]{9,})"), F.lit(1))).alias("w")).distinct()
+    pairs = fuzzy.similar(words("benchmark").withColumnRenamed("w", "asked"), words("documents").withColumnRenamed("w", "found"), "asked", "found", 0.85)
+    return pairs.where("asked != found").select("asked", "found", F.round("score", 4).alias("score"))
 
 
 @query("§2.19", """

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import periods
 from ledgerloom.operators import facts as ops
+from ledgerloom.shared import kept, shared_folder  # noqa: F401
 from ledgerloom.sources.ordered import numbered
 
 ITEMS = {
@@ -24,24 +22,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``, which all executors see. Where that is unset, a local session, as
-    in tests, gets a local folder, and a cluster an error: its executors would not see one another's files."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-ledgerloom-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again, for jobs that use it several times."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """seq, company, period, table_name, item_name, column_header, value_raw, value_number: four per line item.
 
