@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ledgerloom.shared import shared_folder
+
 #: Bytes of text, and texts, that one vectorised step takes at a time at most; a longer text is a step of its own.
 STEP_BYTES, STEP_TEXTS = 1 << 20, 1024
 
@@ -29,13 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; where that is unset (tests), under a local temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-ledgerloom-")
-        spark.conf.set("spark.ledgerloom.scratch", root) if spark.conf.get("spark.ledgerloom.scratch", None) is None else None
-        root = spark.conf.get("spark.ledgerloom.scratch")
-    return f"{root.rstrip('/')}/ledgerloom-{name}-{uuid.uuid4().hex}"
+    """A new folder name under ``spark.checkpoint.dir``, see ``shared_folder``."""
+    return shared_folder(spark, f"ledgerloom-{name}")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -45,6 +41,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict) -> Iterator[None]:
+    """Session settings for the jobs that are run inside; afterwards they are as before."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, str(v))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def fold(text: str | None) -> bytes:
     """Words of a text, lower-cased (A-Z) and joined by spaces; runs of spaces may remain."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD)

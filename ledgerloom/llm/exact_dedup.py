@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import shared_path, written
+from ledgerloom.llm.common import settings, shared_path, written
 
 #: Settings of the stream. The state is many small stores: no disk is allocated ahead for each, what a batch changed is
 #: what it saves, and the stores of an executor share one bound of memory.
@@ -23,7 +23,7 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 #: Files of digests that one micro-batch reads.
 FILES_PER_BATCH = 10_000
@@ -79,14 +79,8 @@ def stream_keepers(rows: DataFrame, out: str, checkpoint: str) -> None:
     def append(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")  # a batch that is run again replaces itself
 
-    before = {k: spark.conf.get(k, None) for k in STATE}
-    for k, v in STATE.items():
-        spark.conf.set(k, v)
-    try:
+    with settings(spark, STATE):
         query = changed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     query.awaitTermination()
 
 
@@ -119,7 +113,10 @@ def decide(docs: DataFrame, digest=sha256) -> DataFrame:
     state = written(keepers(spark, changes), "dedup-keepers")
     text = normalised(docs["text"])
     texts = located(docs, digest(text).alias("digest"), text.alias("text"))
-    clashes = texts.select("digest", "text").distinct().groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
+    # Only digests that were hit again are checked. Their table is joined as its size allows: a small one goes to all tasks,
+    # and then no text of a unique digest is shuffled.
+    hits = written(state.where("group_size > 1").select("digest"), "dedup-hits")
+    clashes = texts.join(hits, "digest", "left_semi").select("digest", "text").distinct().groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
     clashes = written(clashes, "dedup-clashes")
     if not clashes.limit(1).count():
         return rows.join(state, "digest")

@@ -26,12 +26,17 @@ EFFECTIVE = 40
 #: Pages' worth of the wider group's distribution that a group's own counts are mixed with.
 SMOOTHING = 5.0
 
-_MARKUP = re.compile(r"<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*>", re.I | re.S)
+_MARKUP = re.compile(r"<(?:script|style)\b.*?(?:</(?:script|style)\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*+(>|\Z)", re.I | re.S)
+_OPENED = re.compile(r"<(?:script|style)\b.*|<!--.*", re.I | re.S)
 
 
 def visible(html: str | None) -> str:
-    """The text of a page: no markup, scripts, styles or comments; entities resolved."""
-    return entities.unescape(_MARKUP.sub(" ", html)) if html else ""
+    """The text of a page: no markup, scripts, styles or comments; entities resolved. A ``<`` behind the last ``>`` is a sign.
+
+    Linear: the first such ``<`` ends the search, as what follows it can hold no tag.
+    """
+    plain = lambda m: _OPENED.sub(" ", m[0]) if m[1] == "" else " "
+    return entities.unescape(_MARKUP.sub(plain, html)) if html else ""
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

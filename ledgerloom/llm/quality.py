@@ -251,8 +251,10 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model | None:
     made = map_texts(rows, described, "weak double, buckets array<int>, shares array<float>").where(F.size("buckets") > 0)
     made = written(made, "quality-sample").groupBy("doc_id").agg(F.min(F.struct("buckets", "shares", "weak")).alias("one"))
     made = made.select(F.xxhash64("doc_id").alias("place"), "doc_id", "one.*")
-    upto = F.sum(F.size("buckets")).over(W.Window.orderBy("place", "doc_id"))  # over max_rows rows at most
-    local = made.withColumn("upto", upto).where(F.col("upto") <= MAX_TRAIN_PAIRS).orderBy("place", "doc_id").select("weak", "buckets", "shares").toArrow()
+    # Three numbers of max_rows rows at most are in one window; the lists join what it leaves.
+    upto = F.sum("size").over(W.Window.orderBy("place", "doc_id"))
+    within = made.select("place", "doc_id", F.size("buckets").alias("size")).withColumn("upto", upto).where(F.col("upto") <= MAX_TRAIN_PAIRS).select("doc_id")
+    local = made.join(F.broadcast(within), "doc_id").orderBy("place", "doc_id").select("weak", "buckets", "shares").toArrow()
     weak, buckets, shares = (local.column(c).combine_chunks() for c in local.column_names)
     if not local.num_rows:
         return Model(accuracies, Scorer(0.0, np.zeros(BUCKETS)))

@@ -49,6 +49,15 @@ def test_copies_with_strong_and_weak_digests(spark, digest):
     assert sorted((str(r.doc_id), str(r.keep.doc_id), r.group_size) for r in got) == want
 
 
+def test_only_texts_of_repeated_digests_are_compared(spark):
+    """Unique texts do not reach the check of bytes; a clash of weak digests among many rows does."""
+    rows = [(i, f"only once {i} " * 50, "s") for i in range(300)] + [(1000 + i, "", "s") for i in range(40)] + [(2000 + i, f"same length {i % 3}", "s") for i in range(30)]
+    got = exact_dedup.decide(table(spark, rows), lambda c: F.length(c).cast("string")).collect()
+    size = Counter(normal(t) for _, t, _ in rows)
+    text = {i: normal(t) for i, t, _ in rows}
+    assert len(got) == len(rows) and all(r.group_size == size[text[r.doc_id]] and r.keep.doc_id == min(i for i in text if text[i] == text[r.doc_id]) for r in got)
+
+
 def test_one_row_of_each_group_stays(spark):
     got = exact_dedup.exact_dedup(table(spark, COPIES)).collect()
     assert sum(r.kept for r in got) == len({normal(t) for _, t, _ in COPIES})

@@ -329,3 +329,16 @@ def test_toxicity_scores_against_brute_force(spark):
         z = model.w0 + sum(model.w[i] for i in own) + sum(float(model.v[a] @ model.v[b]) for k, a in enumerate(own) for b in own[:k])
         x = got[r.doc_id]
         assert abs(x.score - 1 / (1 + math.exp(-z))) < 1e-9 and x.predicted == (x.score >= 0.5) and x.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+@pytest.mark.parametrize(("page", "want"), [("a < b", "a < b"), ("<p>x</p> 1 < 2 <!-- cut", " x  1 < 2  "), ("<b>y< <script>z", " y z"), ("<<<", "<<<"), ("a<!-- b > c", "a "), ("<STYLE>p{}", " ")])
+def test_unclosed_markup(page, want):
+    assert language.visible(page) == want
+
+
+def test_unclosed_markup_is_linear():
+    import time
+
+    began = time.process_time()
+    assert language.visible("<p>" + "<" * 1_000_000) == " " + "<" * 1_000_000
+    assert time.process_time() - began < 1
