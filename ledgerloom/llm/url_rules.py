@@ -11,8 +11,6 @@ fitted without labels on the texts of all pages, keeps or not.
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +25,8 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-#: Support is of labelled pages to block: a token alone needs MIN_COUNT of them, at every size; a combination of tokens, which chance
-#: makes far more of, MIN_SUPPORT of the labelled pages besides.
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_COUNT = 0.002, 0.8, 5
-BLOCK = "label=block"
+#: A rule needs MIN_COUNT labelled pages to block, at every size of the table, and MIN_CONFIDENCE of its labelled pages.
+MIN_CONFIDENCE, MIN_COUNT = 0.8, 5
 
 
 def after_scheme(url: Column) -> Column:
@@ -93,16 +89,14 @@ def as_items(sets: DataFrame, words: DataFrame) -> DataFrame:
     return sets.join(words.select("token", "item"), "token").groupBy("tokens_id").agg(F.sort_array(F.collect_set("item")).alias("tokens"))
 
 
-def rules_of(labelled: DataFrame, words: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
-    """The rules over the items of ``words``: single items by their counts, combinations by mining the items that are not
-    apart and have a combination's support themselves, as every item of a supported combination has."""
-    least = max(min_count, ceil(min_support * labelled.count()))
+def rules_of(labelled: DataFrame, words: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
+    """The rules over the items of ``words``: single items by their counts, combinations by mining the items that are not apart."""
     labelled = labelled.withColumn("tokens_id", F.xxhash64("tokens"))
-    sets = as_items(labelled, words.where(~F.col("apart") & (F.col("bad") >= least)))
+    sets = as_items(labelled, words.where(~F.col("apart")))
     rows = labelled.select("tokens_id", "blocked").join(sets, "tokens_id").select("tokens", "blocked")
     alone = words.where((F.col("bad") >= min_count) & (F.col("bad") / F.col("n") >= min_confidence))
     alone = alone.select(F.col("item").alias("rule_id"), F.array("item").alias("tokens"), (F.col("bad") / F.col("n")).alias("confidence"), F.col("bad").alias("n")).distinct()
-    return pruned(written(alone.unionByName(mine(rows, 0.0, min_confidence, least).where("size(tokens) > 1")), "url-found"))
+    return pruned(written(alone.unionByName(mine(rows, min_confidence, min_count).where("size(tokens) > 1")), "url-found"))
 
 
 def pruned(rules: DataFrame) -> DataFrame:
@@ -113,36 +107,45 @@ def pruned(rules: DataFrame) -> DataFrame:
     return rules.join(inside.select("rule_id").distinct(), "rule_id", "left_anti").select("rule_id", "tokens", "confidence", "n")
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
-    """rule_id, tokens, confidence and n of the mined rules for ``block``; ``labelled`` has tokens and blocked (boolean)."""
-    items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens"))
-    sets = written(labelled.where(F.col("blocked").isNotNull()).select(items.alias("items")), "url-transactions")
-    n = sets.count()
-    empty = sets.sparkSession.createDataFrame([], "rule_id string, tokens array<string>, confidence double, n long")
-    least = max(min_count, ceil(min_support * n))
-    if n < least or not n:
-        return empty
+def mine(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
+    """rule_id, tokens, confidence and n of the mined rules for ``block``; ``labelled`` has tokens and blocked (boolean).
+
+    Only pages to block are FP-growth's transactions, as only they support a rule: so an itemset is one of ``min_count`` pages to
+    block, whatever the size of the table, and none of clean pages alone is made. How many labelled pages hold an itemset
+    is counted over the distinct token sets with their numbers, each itemset standing under its rarest token.
+    """
+    sets = labelled.where(F.col("blocked").isNotNull()).select(F.array_sort(F.array_distinct("tokens")).alias("tokens"), "blocked")
+    sets = written(sets.groupBy("tokens").agg(F.count("*").alias("n"), F.count_if("blocked").alias("bad")), "url-sets")
+    bad = sets.where("bad > 0").select(F.col("tokens").alias("items"), F.explode(F.sequence(F.lit(1), F.col("bad"))).alias("_k")).select("items")
+    n = sets.agg(F.sum("bad")).first()[0] or 0
+    if n < max(min_count, 1):
+        return sets.sparkSession.createDataFrame([], "rule_id string, tokens array<string>, confidence double, n long")
     # Half a page less, so that rounding cannot raise the count.
-    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / n)).fit(sets)
-    # Of all rules only those for the label are wanted: its itemsets joined with the same ones without it.
-    found = written(model.freqItemsets.select(F.array_sort(F.array_except("items", F.array(F.lit(BLOCK)))).alias("tokens"), F.array_contains("items", BLOCK).alias("bad"), "freq"), "url-itemsets")
-    rules = found.where("bad AND size(tokens) > 0").select("tokens", F.col("freq").alias("n")).join(found.where("NOT bad").select("tokens", "freq"), "tokens")
-    rules = rules.select("tokens", (F.col("n") / F.col("freq")).alias("confidence"), "n").where(F.col("confidence") >= min_confidence)
-    rules = written(rules.withColumn("rule_id", F.concat_ws(" ", "tokens")), "url-rules")
-    return pruned(rules)
+    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (min_count - 0.5) / n)).fit(bad)
+    found = model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("n"))
+    found = written(found.withColumn("rule_id", F.concat_ws(" ", "tokens")), "url-itemsets")
+    index = indexed(found).withColumnRenamed("n", "support")
+    hits = sets.select("tokens", "n", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("needed", "tokens")) == 0)
+    counted = hits.groupBy("rule_id").agg(F.first("needed").alias("tokens"), F.first("support").alias("n"), F.sum("n").alias("held"))
+    rules = counted.select("rule_id", "tokens", (F.col("n") / F.col("held")).alias("confidence"), "n").where(F.col("confidence") >= min_confidence)
+    return pruned(written(rules, "url-rules"))
+
+
+def indexed(rules: DataFrame) -> DataFrame:
+    """The inverted index: each rule under its rarest token, the one that fewest rules hold, with all its tokens as ``needed``."""
+    tokens = rules.select("rule_id", F.explode("tokens").alias("token"))
+    rarity = tokens.groupBy("token").agg(F.count("*").alias("held"))
+    key = tokens.join(rarity, "token").groupBy("rule_id").agg(F.min(F.struct("held", "token")).alias("key"))
+    return written(rules.withColumnRenamed("tokens", "needed").join(key.select("rule_id", F.col("key.token").alias("token")), "rule_id"), "url-index")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """tokens_id, mined (the surest rule that matches, ties to the smaller id) for distinct token sets of ``urls``.
 
-    Each rule stands in the index under its rarest token, the one that fewest rules hold; the others are checked there.
+    A rule is found in the index under one of its tokens; the others are checked there.
     """
-    tokens = rules.select("rule_id", F.explode("tokens").alias("token"))
-    rarity = tokens.groupBy("token").agg(F.count("*").alias("held"))
-    key = tokens.join(rarity, "token").groupBy("rule_id").agg(F.min(F.struct("held", "token")).alias("key"))
-    index = written(rules.join(key, "rule_id").select("rule_id", F.col("tokens").alias("needed"), "confidence", F.col("key.token").alias("token")), "url-index")
     sets = urls.select("tokens_id", "tokens").dropDuplicates(["tokens_id"])
-    hits = sets.select("tokens_id", "tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("needed", "tokens")) == 0)
+    hits = sets.select("tokens_id", "tokens", F.explode("tokens").alias("token")).join(indexed(rules), "token").where(F.size(F.array_except("needed", "tokens")) == 0)
     return hits.groupBy("tokens_id").agg(F.min(F.struct((-F.col("confidence")).alias("sure"), "rule_id")).alias("best")).select("tokens_id", F.col("best.rule_id").alias("mined"))
 
 
@@ -155,7 +158,7 @@ def evidence(pages: DataFrame) -> DataFrame:
     return judged.select(F.col("doc_id").alias("page_id"), (~F.col("kept")).alias("blocked"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """page_id, host, path, rule, verdict and mined (the association rule that decided, if any) of every row of ``pages``.
 
     ``labels`` (page_id, blocked) are what is mined, on pages without a base rule: MIN_COUNT of them to block at least for a
@@ -167,7 +170,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, min_support: float =
     bad = labels.where("page_id IS NOT NULL AND blocked IS NOT NULL").groupBy("page_id").agg(F.max("blocked").alias("blocked"))
     known = written(urls.where(base_rule(rules)[0].isNull()).join(bad, "page_id").select("tokens", "blocked"), "url-labelled")
     words = vocabulary(known)
-    mined = written(rules_of(known, words, min_support, min_confidence), "url-mined")
+    mined = written(rules_of(known, words, min_confidence), "url-mined")
     rule, verdict = base_rule(rules)
     found = written(matched(as_items(urls, words), mined), "url-matches")
     out = urls.join(found, "tokens_id", "left").withColumns({"rule": rule, "_base": verdict})

@@ -387,7 +387,7 @@ def test_url_items_make_the_same_rules(spark):
 def test_mined_rules_match_brute_force(spark):
     sets = [({"a", "b"}, True)] * 8 + [({"a"}, False)] * 10 + [({"b", "c"}, False)] * 3 + [({"c"}, True)] * 2
     rows = spark.createDataFrame([(sorted(t), y) for t, y in sets], "tokens array<string>, blocked boolean")
-    rules = {r.rule_id: (round(r.confidence, 6), r.n) for r in url_rules.mine(rows, 0.01, 0.7, 2).collect()}
+    rules = {r.rule_id: (round(r.confidence, 6), r.n) for r in url_rules.mine(rows, 0.7, 2).collect()}
     assert rules == {"b": (round(8 / 11, 6), 8), "a b": (1.0, 8)}
 
 
