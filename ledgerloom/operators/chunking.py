@@ -40,12 +40,15 @@ def chunks(text: str | None) -> list[str]:
         return ["\n".join([*head, *rows])]
     n = max(LEAST, min(MOST, int(TARGET / max(1, sum(map(len, rows)) / len(rows)))))
     overlap = max(2, n // 8)
+    sections: list[str | None] = []  # the section that each row stands below
+    for row in rows:
+        sections.append(sections[-1] if sections and not is_section(rows[len(sections) - 1]) else rows[len(sections) - 1] if sections else None)
     out, start = [], 0
     while start < len(rows):
         end = min(start + n, len(rows))
         while end < len(rows) and is_subtotal(rows[end]):
             end += 1
-        above = next((r for r in reversed(rows[:start]) if is_section(r)), None)
+        above = sections[start]
         carried = [above] if above and not is_section(rows[start]) else []
         out.append("\n".join([*head, *carried, *rows[start:end]]))
         if end == len(rows):

@@ -309,3 +309,34 @@ def test_headers_with_other_signs_and_words(spark):
     h = spark.createDataFrame(rows, "h string, kind string, role string")
     got = h.select("kind", "role", periods.header_kind(F.col("h")).alias("k"), periods.header_role(F.col("h"), F.lit("113Q2")).alias("r")).collect()
     assert all((r.k, r.r) == (r.kind, r.role) for r in got)
+
+
+def test_chunks_of_long_tables_take_linear_time():
+    import time
+
+    rows = ["| |Section %d| |" % i if i % 997 == 0 else f"|{i}|item {i}|{i * 7}|" for i in range(100_000)]
+    began = time.process_time()
+    made = chunking.chunks("\n".join(["|a|b|c|", "|-|-|-|", *rows]))
+    assert time.process_time() - began < 10 and len(made) > 2000
+    for c in made[5:2000:97]:
+        first = next(l for l in c.split("\n")[2:] if not chunking.is_section(l))
+        at = int(first.split("|")[1])
+        assert chunking.is_section(c.split("\n")[2]) and f"Section {at // 997 * 997}" in c
+
+
+def test_labels_of_items_and_what_is_left(spark):
+    from ledgerloom.operators import risks
+
+    q = [
+        (1, "甲公司的其他應付款被標記為哪類", "甲公司股份", "", "113Q1"), (2, "其他應付款票據是什麼風險", "甲公司股份", "", None), (3, "Other payables?", "甲公司股份", "Other payables", "113Q1"), (4, "x", "甲公司股份", "Receivab", "120Q1"),
+        (5, "應收帳款?", "", "", "113Q2"), (6, "x", "沒有的公司", "", "113Q2"), (7, None, None, None, None), (8, "x", "甲公司股份", "paya", "113Q1"),
+    ]
+    e = [
+        ("甲公司股份有限", "其他應付款", "2024Q1", "流動性", 3), ("甲公司股份有限", "其他應付款 Other payables", "113Q1", "信用", 1), ("甲公司股份有限", "其他應付款票據 Notes payable", "2024Q1", "票據", 2), ("甲公司股份有限", "Receivables", "2024Q1", "應收", 4),
+        ("乙公司", "應收帳款", "113Q2", "市場", 5), ("乙公司", "應收帳款 A", "2025Q1", "匯率", 6), ("乙公司", None, None, None, 7),
+    ]
+    got = {r.qid: (r.answer, r.by) for r in risks.item_labels(spark.createDataFrame(q, "qid int, question string, company string, subject string, quarter string"), spark.createDataFrame(e, "company_name string, item_name string, period string, label string, seq int")).collect()}
+    everything = "信用;票據;流動性;應收;市場;匯率"
+    assert got == {
+        1: ("信用;流動性", "native"), 2: ("票據", "native"), 3: ("信用", "subject"), 4: ("應收", "subject"), 5: ("市場", "native"), 6: ("市場", "company"), 7: (everything, "company"), 8: ("信用;票據;流動性;應收", "company"),
+    }
