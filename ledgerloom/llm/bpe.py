@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import ids_and_texts, map_texts, written
+from ledgerloom.llm.common import give_back, ids_and_texts, map_texts, written
 
 #: Words in the automaton at most; the rest is merged by rank, with the same ids.
 LEXICON_WORDS = 100_000
@@ -34,7 +34,7 @@ LEAST_COUNT = 4
 #: Distinct runs that a task counts before it hands them on.
 COUNTED_CHUNKS = 500_000
 #: A worker keeps the chunks it met last, so many to twice as many.
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 100_000
 
 # White space as the vocabulary's normaliser has it (Unicode White_Space; str.split() also splits at \x1c-\x1f).
 _CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
@@ -318,6 +318,7 @@ def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
                     yield summed(chunks)
                     chunks.clear()
         yield summed(chunks)
+        give_back()
 
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))

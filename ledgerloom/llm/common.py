@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -108,6 +109,15 @@ class Words:
             return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def give_back() -> None:
+    """At the end of a task: memory that is free goes back to the machine. Workers live on, and the next stage has its own peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def steps(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts, given by their lengths, of at most STEP_BYTES and STEP_TEXTS together or of one text."""
     ends = np.cumsum(np.asarray(lengths, dtype=np.int64) + 1)
@@ -143,6 +153,7 @@ def map_texts(df: DataFrame, fn: Callable[[list[str | None]], dict], schema: str
                 arrays = [here.column(here.schema.get_field_index(c)) for c in kept]
                 arrays += [x if isinstance(x := made[f.name], pa.Array) else pa.array(x, type=f.type) for f in types]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *new.names])
+        give_back()
 
     return df.mapInArrow(run, out)
 

@@ -3,7 +3,7 @@
 A stream of (digest, doc_id, content locator) rows is grouped by digest. Its state lives on disk in RocksDB, has no
 watermark and so never expires: per digest it retains the smallest row (doc_id, then locator) and the number of rows.
 Rows are combined per task before the shuffle, so a digest that a third of all rows share is no hot key. Digests that
-were hit more than once are then checked on the full bytes of the normalised texts: a digest of several distinct texts
+were hit more than once, which each task knows by a bitmap of bounded size, are then checked on the full bytes of the normalised texts: a digest of several distinct texts
 fails the check and is grouped by its texts instead. Distinct texts are found per task first, so that copies of one
 text never meet in one task.
 """
@@ -28,6 +28,9 @@ STATE = {
 #: Files of digests that one micro-batch reads.
 FILES_PER_BATCH = 10_000
 
+#: Bits for the digests that were hit again: 8 MB. Beyond some hundred million of them more unique texts join the check.
+BITS = 1 << 26
+
 STREAMED = "digest string, doc_id long, file string, row long"
 
 
@@ -95,6 +98,24 @@ def keepers(spark: SparkSession, out: str) -> DataFrame:
     return changes.groupBy("digest").agg(F.min("keep").alias("keep"), F.max("group_size").alias("group_size"))
 
 
+def _place() -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(BITS)) + 1
+
+
+def hit_bits(state: DataFrame) -> DataFrame:
+    """bucket, bits: a bit for each digest that was hit again, at a hashed place. All buckets are BITS / 8 bytes at most,
+    whatever the table's size, so every task can have them: a text whose bit is not set is unique and goes nowhere."""
+    hit = state.where("group_size > 1").select(_place().alias("place"))
+    return hit.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+
+
+def _bit() -> Column:
+    """Whether the digest's bit is set in its bucket."""
+    position = F.bitmap_bit_position(_place())
+    byte = F.conv(F.hex(F.substring("bits", (position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.pmod(F.floor(byte / F.pow(F.lit(2), F.pmod(position, F.lit(8)))), F.lit(2)) == 1
+
+
 def decide(docs: DataFrame, digest=sha256) -> DataFrame:
     """One row per row of ``docs``: doc_id, file, row, digest, keep (struct of the row that stays), group_size.
 
@@ -113,10 +134,8 @@ def decide(docs: DataFrame, digest=sha256) -> DataFrame:
     state = written(keepers(spark, changes), "dedup-keepers")
     text = normalised(docs["text"])
     texts = located(docs, digest(text).alias("digest"), text.alias("text"))
-    # Only digests that were hit again are checked. Their table is joined as its size allows: a small one goes to all tasks,
-    # and then no text of a unique digest is shuffled.
-    hits = written(state.where("group_size > 1").select("digest"), "dedup-hits")
-    clashes = texts.join(hits, "digest", "left_semi").select("digest", "text").distinct().groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
+    hits = texts.join(F.broadcast(hit_bits(state)), F.bitmap_bucket_number(_place()) == F.col("bucket")).where(_bit()).select("digest", "text")
+    clashes = hits.distinct().groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
     clashes = written(clashes, "dedup-clashes")
     if not clashes.limit(1).count():
         return rows.join(state, "digest")

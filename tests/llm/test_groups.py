@@ -58,6 +58,15 @@ def test_only_texts_of_repeated_digests_are_compared(spark):
     assert len(got) == len(rows) and all(r.group_size == size[text[r.doc_id]] and r.keep.doc_id == min(i for i in text if text[i] == text[r.doc_id]) for r in got)
 
 
+def test_bits_of_hits(spark):
+    """Every digest that was hit again has its bit; of the others hardly any has."""
+    state = spark.range(4000).selectExpr("concat('d', id) AS digest", "1 + id % 2 AS group_size")
+    bits = exact_dedup.hit_bits(state)
+    rows = state.join(bits, F.bitmap_bucket_number(exact_dedup._place()) == F.col("bucket"), "left").withColumn("hit", F.coalesce(exact_dedup._bit(), F.lit(False)))
+    n = {(r.group_size, r.hit): r["count"] for r in rows.groupBy("group_size", "hit").count().collect()}
+    assert n[2, True] == 2000 and n[1, False] >= 1990 and (2, False) not in n
+
+
 def test_one_row_of_each_group_stays(spark):
     got = exact_dedup.exact_dedup(table(spark, COPIES)).collect()
     assert sum(r.kept for r in got) == len({normal(t) for _, t, _ in COPIES})
