@@ -340,3 +340,36 @@ def test_labels_of_items_and_what_is_left(spark):
     assert got == {
         1: ("信用;流動性", "native"), 2: ("票據", "native"), 3: ("信用", "subject"), 4: ("應收", "subject"), 5: ("市場", "native"), 6: ("市場", "company"), 7: (everything, "company"), 8: ("信用;票據;流動性;應收", "company"),
     }
+
+
+def test_amounts_with_and_without_a_payer(spark):
+    from ledgerloom.operators import relations
+
+    rows = [("A", "value_2=BC; value_4=貨款x; value_5=1", 1), ("D", "value_2=B; value_4=貨款; value_5=2", 2), ("D", "value_2=B; value_4=貨款; value_5=", 3), (None, "value_2=Q; value_4=r; value_5=9", 4), ("A", "value_2=Z; value_4=貨款; value_5=5", 5)]
+    q = [
+        (1, "某公司，A與B之間的貨款交易金額？"), (2, "請問跟關係人B之間的貨款交易金額"), (3, "【公司】，【X】與【B】之間的【貨款】交易是多少"), (4, "與【Z】之間的【貨款】交易"), (5, "與【Q】之間的【r】交易金額"), (6, "與【Q】之間的【r】交易"), (7, "nothing"),
+    ]
+    edges = relations.transactions(spark.createDataFrame(rows, "payer string, summary string, seq int"))
+    got = {r.qid: r.answer for r in relations.amounts(spark.createDataFrame(q, "qid int, question string"), edges).collect()}
+    whole = "D；value_2=B; value_4=貨款; value_5="
+    assert got == {1: "1", 2: whole, 3: whole, 4: "A；value_2=Z; value_4=貨款; value_5=5", 5: "9"}
+
+
+def test_accounts_with_pairs_and_clauses(spark):
+    from ledgerloom.operators import relations
+
+    rows = [("c", "3", "p1", "value_2=X; value_4=Y; k=7", 1), ("c", "3", "p2", "value_2=X; value_4=Y; k=8", 2), ("c", "3", "p3", "value_2=O; value_4=Y", 3), ("c", "3", "", "last", 9), ("d", "3", "p9", "s", 10)]
+    q = [(1, "?", "c", "3"), (2, "與【X】之間的【Y】交易", "c", "3"), (3, "與【X】之間的【Y】交易（k為【7】的那筆）", "c", "3"), (4, "與【N】之間的【Y】交易", "c", "3"), (5, "?", "e", "3"), (6, "（k為【8】的那筆）", "c", "3")]
+    got = relations.by_account(spark.createDataFrame(q, "qid int, question string, company string, business string"), spark.createDataFrame(rows, "company string, account string, party string, summary string, seq int"))
+    assert {r.qid: r.answer.split("；")[0] for r in got.collect()} == {1: "p3", 2: "p2", 3: "p1", 4: "p3", 6: "p2"}
+
+
+def test_investees_relax_company_and_period(spark):
+    from ledgerloom.operators import relations
+
+    edges = [("I", f"t{i}", c, p, i, loc, "b", "10", "5") for i, (c, p, loc) in enumerate([("C", "P", "TW"), ("C", "P", "US"), ("C", "R", "TW"), ("D", "P", "JP"), ("D", "R", "TW")])]
+    e = spark.createDataFrame(edges, "investor string, investee string, company string, period string, seq int, location string, main_business string, ownership_percent string, book_value string")
+    q = [(1, "C", "P", "所在地為【TW】", False), (2, "C", "P", "", True), (3, "C", "none", "", True), (4, "none", "R", "", True), (5, "none", "none", "所在地為【JP】", True), (6, "D", "P", "所在地為【XX】", True)]
+    asked = spark.createDataFrame([(i, t, "I", c, p, x) for i, c, p, t, x in q], "qid int, question string, investor string, q_company string, q_period string, every boolean")
+    got = {r.qid: r.answer for r in relations.investees(asked, e).collect()}
+    assert got == {1: "t0", 2: "t0 ｜ t1", 3: "t0 ｜ t1 ｜ t2", 4: "t2 ｜ t4", 5: "t3", 6: "t3"}
