@@ -86,9 +86,12 @@ def dup_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.duplicate_rank(facts(spark, sf_dir), ["company", "period", "table_name", "item_name", "column_header"]).select("seq", "duplicate_rank", "is_duplicate")
 
 
-@query("W1 W3 A5 D7", f"""WITH {FACTS}, r AS (SELECT *, row_number() OVER (PARTITION BY company, item_name, period
+CURRENT = f"""WITH {FACTS}, r AS (SELECT *, row_number() OVER (PARTITION BY company, item_name, period
   ORDER BY CASE WHEN column_header LIKE '%至%' THEN 1 ELSE 0 END DESC, CAST(left(column_header, 4) AS INT) DESC, seq) AS rn FROM facts)
-SELECT seq, company, period, item_name, value_raw FROM r WHERE rn = 1""")
+SELECT seq, company, period, item_name, value_raw FROM r WHERE rn = 1"""
+
+
+@query("W1 W3 A5 D7", CURRENT)
 def dedupe_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.current_view(facts(spark, sf_dir)).select("seq", "company", "period", "item_name", "value_raw")
 

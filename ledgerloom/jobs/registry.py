@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("facts", "labels", "lookups", "graphs", "relations", "retrieval", "evaluation", "ingest", "files", "segments", "questions", "builds", "risks")
+MODULES = ("facts", "labels", "lookups", "graphs", "relations", "retrieval", "evaluation", "ingest", "files", "segments", "questions", "builds", "risks", "patterns", "streams")
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 COVERS: dict[str, str] = {}

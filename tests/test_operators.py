@@ -373,3 +373,21 @@ def test_investees_relax_company_and_period(spark):
     asked = spark.createDataFrame([(i, t, "I", c, p, x) for i, c, p, t, x in q], "qid int, question string, investor string, q_company string, q_period string, every boolean")
     got = {r.qid: r.answer for r in relations.investees(asked, e).collect()}
     assert got == {1: "t0", 2: "t0 ｜ t1", 3: "t0 ｜ t1 ｜ t2", 4: "t2 ｜ t4", 5: "t3", 6: "t3"}
+
+
+def test_current_facts_after_any_batches(spark, tmp_path):
+    from ledgerloom.operators import facts as fact_ops
+    from ledgerloom.streaming import current
+
+    r = __import__("random").Random(8)
+    headers = ["2024年1月1日至2024年3月31日", "2023年12月31日", "2024年3月31日", "none", None]
+    rows = [(i, r.choice("ab"), r.choice(["x", None]), r.choice(["113Q1", "113Q2"]), r.choice(headers), r.choice([None, str(i)])) for i in range(90)]
+    df = spark.createDataFrame(rows, "seq long, company string, item_name string, period string, column_header string, value_raw string")
+    want = sorted(map(str, (tuple(x) for x in fact_ops.current_view(df).select("seq", *current.KEY, "value_raw").collect())))
+    for split in range(2):
+        root = f"file://{tmp_path}/{split}"
+        for k in range(3):
+            df.where(F.pmod(F.xxhash64("seq", F.lit(split)), F.lit(3)) == k).write.mode("append").parquet(f"{root}/in")
+            current.follow(spark.readStream.schema(df.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/state")
+        got = current.view(spark, f"{root}/out", current.corrections(df).schema)
+        assert sorted(map(str, (tuple(x) for x in got.select("seq", *current.KEY, "value_raw").collect()))) == want
