@@ -42,37 +42,42 @@ def edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merge_edges(rows, ["source", "type"], "source_csv")
 
 
-@query("J5 J6 R8 U1", f"""WITH {SUPPLIES}, a AS (SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_nationkey = 3 UNION SELECT 'supplier:' || s_suppkey FROM supplier WHERE s_nationkey = 3),
-h AS (SELECT * FROM e WHERE source IN (SELECT id FROM a) OR target IN (SELECT id FROM a))
-SELECT source, target, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_name END, substr(source, 10)) AS source_name FROM h LEFT JOIN supplier ON source = 'supplier:' || s_suppkey""")
+@query("J5 J6 U1", f"""WITH {SUPPLIES}, a AS (SELECT c_nationkey AS nation, 'customer:' || c_custkey AS id FROM customer UNION SELECT s_nationkey, 'supplier:' || s_suppkey FROM supplier),
+h AS (SELECT nation, source, target FROM e JOIN a ON source = id UNION SELECT nation, source, target FROM e JOIN a ON target = id)
+SELECT nation, source, target, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_name END, substr(source, 10)) AS source_name FROM h LEFT JOIN supplier ON source = 'supplier:' || s_suppkey""")
 def one_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges around the companies of one nation, with names; every second supplier is without one."""
-    customers = read(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
+    """Edges around the companies of each nation, with names; every second supplier is without one."""
     suppliers = read(spark, sf_dir, "supplier")
     sid = F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id")
-    anchors = customers.union(suppliers.where("s_nationkey = 3").select(sid))
     nodes = suppliers.select(sid, F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("name"))
-    return graph.named(graph.one_hop(supplies(spark, sf_dir), anchors), nodes, "source").select("source", "target", "source_name")
+    return graph.named(graph.hops_of(supplies(spark, sf_dir), _companies(spark, sf_dir), "nation"), nodes, "source").select("nation", "source", "target", "source_name")
 
 
-@query("J7 U3 R14", f"""WITH {SUPPLIES}, a AS (SELECT 'supplier:' || min(s_suppkey) AS id FROM supplier), h1 AS (SELECT DISTINCT target AS id FROM e WHERE source IN (SELECT id FROM a)),
-h2 AS (SELECT DISTINCT source AS id FROM e WHERE target IN (SELECT id FROM h1) AND source NOT IN (SELECT id FROM a))
-SELECT id, 1 AS hop FROM h1 UNION ALL SELECT id, 2 FROM h2""")
+def _companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation, id of all suppliers and customers."""
+    customers = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
+    return customers.union(read(spark, sf_dir, "supplier").select("s_nationkey", F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string"))))
+
+
+@query("J7 U3 R14", f"""WITH {SUPPLIES}, a AS (SELECT s_nationkey AS nation, 'supplier:' || s_suppkey AS id FROM supplier), h1 AS (SELECT DISTINCT nation, target AS id FROM e JOIN a ON source = id),
+h2 AS (SELECT DISTINCT h1.nation, source AS id FROM e JOIN h1 ON target = h1.id WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.nation = h1.nation AND a.id = source))
+SELECT nation, id, 1 AS hop FROM h1 UNION ALL SELECT nation, id, 2 FROM h2""")
 def subgraph_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes one and two hops from the suppliers of each nation."""
     edges = supplies(spark, sf_dir)
-    anchor = read(spark, sf_dir, "supplier").agg(F.concat(F.lit("supplier:"), F.min("s_suppkey").cast("string")).alias("id"))
-    first = graph.neighbours(edges, anchor)
-    second = graph.neighbours(edges, first.union(anchor))
-    return first.withColumn("hop", F.lit(1)).union(second.withColumn("hop", F.lit(2)))
+    anchors = _companies(spark, sf_dir).where("id LIKE 'supplier:%'")
+    first = graph.neighbours_of(edges, anchors, "nation")
+    second = graph.neighbours_of(edges, first, "nation").join(anchors, ["nation", "id"], "left_anti")
+    return first.withColumn("hop", F.lit(1)).unionByName(second.withColumn("hop", F.lit(2)))
 
 
 @query("R13", """
-WITH e AS (SELECT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY ALL HAVING count(*) > 1)
-SELECT x.a, x.b, y.b AS c FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b AND NOT EXISTS (SELECT 1 FROM e z WHERE z.a = x.a AND z.b = y.b)""")
+WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_suppkey <> l_partkey)
+SELECT x.a, y.b AS c, count(*) AS n_middles, min(x.b) AS least FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b AND NOT EXISTS (SELECT 1 FROM e z WHERE z.a = x.a AND z.b = y.b) GROUP BY ALL""")
 def two_hop_indirect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indirect holdings: a holds b, b holds c, and a does not hold c itself. Holdings are supplies disclosed more than once."""
-    pairs = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).where("source != target")
-    return graph.indirect(pairs.groupBy("source", "target").agg(F.count("*").alias("n")).where("n > 1"))
+    """Indirect holdings: a holds some b that holds c, and a does not hold c itself; over how many, and the least of them."""
+    edges = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).where("source != target")
+    return graph.indirect(edges).groupBy("a", "c").agg(F.count("*").alias("n_middles"), F.min("b").alias("least"))
 
 
 @query("Q3 Q17", """

@@ -391,3 +391,18 @@ def test_current_facts_after_any_batches(spark, tmp_path):
             current.follow(spark.readStream.schema(df.schema).parquet(f"{root}/in"), f"{root}/out", f"{root}/state")
         got = current.view(spark, f"{root}/out", current.corrections(df).schema)
         assert sorted(map(str, (tuple(x) for x in got.select("seq", *current.KEY, "value_raw").collect()))) == want
+
+
+def test_hubs_and_sets_of_anchors_against_plain_loops(spark):
+    r = __import__("random").Random(1)
+    pairs = {(f"n{r.randrange(25)}", r.choice(["hub", f"n{r.randrange(25)}"])) for _ in range(120)} | {("hub", f"n{i}") for i in range(0, 25, 3)}
+    pairs = sorted(p for p in pairs if p[0] != p[1])
+    edges = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "source string, target string, edge_id int")
+    want = sorted((a, b, c) for a, b in pairs for b2, c in pairs if b == b2 and a != c and (a, c) not in pairs)
+    for in_edges in (1, 3, 1000):
+        assert sorted((x.a, x.b, x.c) for x in graph.indirect(edges, in_edges).collect()) == want
+    sets = {k: {f"n{i}" for i in range(25) if i % 4 == k} for k in range(3)}
+    anchors = spark.createDataFrame([(k, i) for k, s in sets.items() for i in s], "k int, id string")
+    assert sorted((x.k, x.edge_id) for x in graph.hops_of(edges, anchors, "k").collect()) == sorted((k, i) for k, s in sets.items() for i, (a, b) in enumerate(pairs) if a in s or b in s)
+    near = sorted((x.k, x.id) for x in graph.neighbours_of(edges, anchors, "k").collect())
+    assert near == sorted({(k, y) for k, s in sets.items() for a, b in pairs for x, y in ((a, b), (b, a)) if x in s and y not in s})
