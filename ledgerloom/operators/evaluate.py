@@ -43,6 +43,34 @@ def number_matches(answer: Column, gold: Column) -> dict[str, Column]:
     return {"numeric": some & (missing == 0) & (F.size(F.array_except(a, g)) == 0), "contains": some & (missing == 0), "partial": some & (missing < F.size(g))}
 
 
+#: Absolute and relative error that is none, the wider one where the answer speaks of percents, and how far from its end.
+NEAR, SHARE, WIDE, TAIL = 0.01, 0.05, 0.10, 100
+YES_NO = ("yes", "no")
+
+
+def tolerant(answer: Column, gold: Column, response: Column) -> tuple[Column, Column]:
+    """(right, unreadable) of an answer on given evidence.
+
+    yes and no are equal or not. Numbers are equal within NEAR or SHARE of the gold, as they are, as percent or as share; with the
+    other sign by their absolute values; and, where the answer is above 1, the gold below and the response's end
+    speaks of percents, within WIDE as a share. A null answer, and one that is no number, is unreadable.
+    """
+    a, g = F.lower(F.trim(answer)), F.lower(F.trim(gold))
+    x, y = numbers.ratio_number(answer), numbers.ratio_number(gold)
+
+    def near(p: Column, q: Column, share: float = SHARE) -> Column:
+        return (F.abs(p - q) <= NEAR) | ((q != 0) & (F.abs(p - q) / F.abs(q) <= share))
+
+    either = near(x, y) | near(x / 100, y) | near(x * 100, y)
+    signs = (x * y < 0) & (near(F.abs(x), F.abs(y)) | near(F.abs(x) / 100, F.abs(y)) | near(F.abs(x) * 100, F.abs(y)))
+    percent = F.right(F.coalesce(response, F.lit("")), F.lit(TAIL)).rlike("(?i)%|percent(?:age)?")
+    wide = (x > 1) & (F.abs(y) > 0) & (F.abs(y) < 1) & percent & near(x / 100, y, WIDE)
+    is_word = g.isin(*YES_NO)
+    right = F.when(answer.isNull(), False).when(is_word, a == g).otherwise(F.coalesce(either | signs | wide, F.lit(False)))
+    unreadable = F.when(answer.isNull(), True).when(is_word, (a != g) & ~a.isin(*YES_NO)).otherwise(x.isNull() | y.isNull())
+    return right, unreadable
+
+
 def report(rows: DataFrame, *by: str) -> DataFrame:
     """Per group of a rollup of ``by``: counts, and rates of four decimals. rows has em, refusal, contains, fallback (booleans) and seconds.
 
