@@ -406,3 +406,30 @@ def test_hubs_and_sets_of_anchors_against_plain_loops(spark):
     assert sorted((x.k, x.edge_id) for x in graph.hops_of(edges, anchors, "k").collect()) == sorted((k, i) for k, s in sets.items() for i, (a, b) in enumerate(pairs) if a in s or b in s)
     near = sorted((x.k, x.id) for x in graph.neighbours_of(edges, anchors, "k").collect())
     assert near == sorted({(k, y) for k, s in sets.items() for a, b in pairs for x, y in ((a, b), (b, a)) if x in s and y not in s})
+
+
+def test_shortest_paths_against_a_search(spark):
+    from ledgerloom.operators import paths
+
+    r = __import__("random").Random(5)
+    pairs = {(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(55)} | {("hub", f"n{i}") for i in range(0, 40, 4)}
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    asked = [(i, f"n{r.randrange(40)}", r.choice(["hub", "nobody", *(f"n{r.randrange(40)}" for _ in range(8))])) for i in range(80)]
+    want = set()
+    for i, a, b in asked:
+        level = [[a]] if a != b else []
+        for length in (1, 2, 3):
+            level = [[*p, x] for p in level for x in near.get(p[-1], ()) if x not in p]
+            hits = [p for p in level if p[-1] == b]
+            level = [p for p in level if p[-1] != b and len(near[p[-1]]) <= 6]
+            if hits:
+                want |= {(i, length, ">".join(p)) for p in hits}
+                break
+    df = spark.createDataFrame(asked, "qid int, a string, b string"), spark.createDataFrame(sorted(pairs), "source string, target string")
+    got = [(x.qid, x.length, x.path) for x in paths.between(*df, hub=6).collect()]
+    assert set(got) == want and len(got) == len(want) and {n for _, n, _ in got} == {1, 2, 3}
+    assert paths.between(df[0].limit(0), df[1]).count() == 0
