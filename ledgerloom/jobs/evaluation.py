@@ -34,10 +34,15 @@ def em_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("id", "em", "refusal")
 
 
-@query("E1 E10", f"""WITH {ANSWERS} SELECT id, c IN (0, 1, 2) AS numeric, c IN (0, 1, 2) AS contains, c IN (0, 1, 2) AS partial FROM s""")
+@query("E1 E10", f"""WITH {ANSWERS} SELECT id, c = 1 AS numeric, c IN (1, 2) AS contains, c IN (0, 1, 2) AS partial FROM s""")
 def number_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers and gold compared by the numbers in them."""
-    return answers(spark, sf_dir).select("id", *[c.alias(n) for n, c in evaluate.number_matches(F.col("answer"), F.col("gold")).items()])
+    """Answers and gold compared by the numbers in them: one of two, both, both and another, none, and gold without any."""
+    c, k = F.col("id") % 5, F.lit(" of 7.5")
+    v = F.format_number(F.col("v"), 0)
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.round("o_totalprice").cast("bigint").alias("v"))
+    answer = F.when(c == 0, v).when(c == 1, F.concat(F.lit("7.5 and "), v)).when(c == 2, F.concat(v, k, F.lit(" since 0.5"))).when(c == 3, "none").otherwise("12")
+    gold = F.when(c == 4, "no number").otherwise(F.concat(F.col("v").cast("string"), k))
+    return rows.select("id", *[x.alias(n) for n, x in evaluate.number_matches(answer, gold).items()])
 
 
 @query("E7 G4 G5 G6 G8 G9", f"""WITH {ANSWERS}, t AS (SELECT kind, mode, em, refusal, c IN (0, 1, 2) AS contains, c IN (1, 3) AS fallback, CAST(k % 100 AS DOUBLE) AS seconds FROM s),
@@ -128,11 +133,16 @@ def clopper_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("nation", "n", "k", evaluate.clopper_pearson("k", "n").alias("ci")).select("nation", "n", "k", "ci.*")
 
 
-@query("E13 G16 Z39")
+@query("E13 G16 Z39", """
+WITH t AS (SELECT o_orderpriority, o_totalprice > 200000 AS a, o_orderstatus = 'F' AS b FROM orders),
+n AS (SELECT o_orderpriority, count(*) FILTER (WHERE a AND b) AS both, count(*) FILTER (WHERE a AND NOT b) AS only_a, count(*) FILTER (WHERE NOT a AND b) AS only_b, count(*) FILTER (WHERE NOT a AND NOT b) AS neither FROM t GROUP BY 1),
+s AS (SELECT o_orderpriority, only_a + only_b AS m, unnest(range(0, least(only_a, only_b) + 1)) AS i FROM n),
+p AS (SELECT o_orderpriority, round(least(1.0, 2 * sum(exp(lgamma(m + 1.0) - lgamma(i + 1.0) - lgamma(m - i + 1.0) - m * ln(2.0)))), 6) AS p FROM s GROUP BY 1)
+SELECT n.*, p FROM n JOIN p USING (o_orderpriority)""")
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two graders of the orders of each priority, their 2 x 2 table and the exact test."""
     rows = read(spark, sf_dir, "orders").select("o_orderpriority", (F.col("o_totalprice") > 200000).alias("a"), (F.col("o_orderstatus") == "F").alias("b"))
-    return evaluate.discordant(rows, ["o_orderpriority"], "a", "b").withColumn("p", evaluate.mcnemar("only_a", "only_b"))
+    return evaluate.discordant(rows, ["o_orderpriority"], "a", "b").withColumn("p", F.round(evaluate.mcnemar("only_a", "only_b"), 6))
 
 
 @query("G21 J16 Z46", """
