@@ -15,13 +15,13 @@ NAMES = ("被投資公司名稱、所在地區", "關係人名稱及關係", "
 HEADER = ("投資公司名稱", "被投資公司名稱", "代號", "所在地區", "主要營業項目", "原始投資金額", "上期期末", "股數", "比率", "帳面金額", "本期認列之投資損益", "備註")
 CELLS = [f"c{i}" for i in range(13)]
 
-PAGES = """c AS (SELECT *, c_nationkey % 5 AS kind, c_custkey // 40 AS page, CAST(round(c_acctbal) AS BIGINT) AS v, c_custkey % 7 AS k FROM customer), files AS (SELECT DISTINCT c_nationkey AS nation, page, kind FROM c)"""
+PAGES = """c AS (SELECT *, c_nationkey % 5 AS kind, c_custkey // 1000 AS page, CAST(round(c_acctbal) AS BIGINT) AS v, c_custkey % 7 AS k FROM customer), files AS (SELECT DISTINCT c_nationkey AS nation, page, kind FROM c)"""
 VALID = f"""{PAGES}, r AS (SELECT c_custkey, '控股' || c_nationkey || ' 股份有限公司' AS investor_name, c_name AS investee_name, n_name AS location, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END AS main_business,
   CAST(v AS DOUBLE) AS book_value, CAST(c_custkey % 100 AS DOUBLE) AS ownership_percent FROM c JOIN nation ON c_nationkey = n_nationkey WHERE kind IN (0, 1, 3) AND k > 2)"""
 
 
 def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, name, text of table files, one for up to 40 customers of a nation: a header and rows, some of them no records."""
+    """path, name, text of table files, one for the customers of a nation out of each 1,000: a header and rows, some of them no records."""
     c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     k, v, blank = F.col("c_custkey") % 7, F.round("c_acctbal").cast("bigint"), F.lit("")
     money = F.when(v < 0, F.concat(F.lit("( "), F.format_number(-v, 0), F.lit(" )"))).otherwise(F.format_number(v, 0))
@@ -31,7 +31,7 @@ def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
         money, F.lit("-"), F.format_number(F.col("c_custkey") * 1000, 0), F.concat((F.col("c_custkey") % 100).cast("string"), F.lit("%")), money, F.lit("nan"), blank, F.lit("more"),
     ]
     names = F.array(*map(F.lit, NAMES))
-    rows = c.select(F.get(names, F.col("c_nationkey") % 5).alias("t"), F.col("c_nationkey").alias("n"), F.floor(F.col("c_custkey") / 40).alias("p"), F.col("c_custkey").alias("at"), *[F.when(k == 2, "").otherwise(x).alias(c) for x, c in zip(row, CELLS)])
+    rows = c.select(F.get(names, F.col("c_nationkey") % 5).alias("t"), F.col("c_nationkey").alias("n"), F.floor(F.col("c_custkey") / 1000).alias("p"), F.col("c_custkey").alias("at"), *[F.when(k == 2, "").otherwise(x).alias(c) for x, c in zip(row, CELLS)])
     # Every kind of file but the third begins with a header.
     head = rows.select("t", "n", "p").distinct().where(F.col("n") % 5 != 2).select("t", "n", "p", F.lit(-1).alias("at"), *[F.lit(x).alias(c) for x, c in zip([*HEADER, ""], CELLS)])
     rows = head.unionByName(rows).withColumn("is_text", F.col("n") % 5 == 4)
@@ -40,7 +40,7 @@ def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt.where("NOT is_text").drop("at", "is_text").write.partitionBy("t", "n", "p").csv(root)
     dealt.where("is_text").select("t", "n", "p", F.concat_ws(",", *CELLS).alias("value")).write.mode("append").partitionBy("t", "n", "p").text(root)
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return raw.select(F.url_decode("path").alias("path"), F.decode("content", F.lit("UTF-8")).alias("text")).withColumn("name", F.regexp_extract("path", "/t=([^/]+)/", 1))
+    return raw.select(F.url_decode("path").alias("path"), F.decode("content", "UTF-8").alias("text")).withColumn("name", F.regexp_extract("path", "/t=([^/]+)/", 1))
 
 
 def _place(i: int, name: str):
