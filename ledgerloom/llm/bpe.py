@@ -34,7 +34,7 @@ LEAST_COUNT = 4
 #: Distinct runs that a task counts before it hands them on.
 COUNTED_CHUNKS = 500_000
 #: A worker keeps the chunks it met last, so many to twice as many.
-CACHE_CHUNKS = 160_000
+CACHE_CHUNKS = 200_000
 
 # White space as the vocabulary's normaliser has it (Unicode White_Space; str.split() also splits at \x1c-\x1f).
 _CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
