@@ -301,6 +301,23 @@ def test_search_in_very_long_and_very_large_vectors(spark):
         assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == sorted(s.items(), key=lambda e: (-e[1], e[0]))[:5]
 
 
+def test_copied_blocks_are_never_broadcast(spark):
+    """Files of blocks are small, their copies for all blocks of the other side are not: no broadcast may gather them in the driver."""
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(400)], "vec_id long, embedding array<double>")
+    rows = topk.scaled(v, F.expr("vec_id % 20 = 0"))
+    pairs = topk.paired(topk.packed(rows.where("asked"), 3, 1), topk.packed(rows, 5, 2), 3, 5)
+    assert pairs.count() == 15
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {r.width for r in pairs.select("width").collect()} == {2}
+
+
+def test_components_travel_in_few_bytes():
+    for top, width in ((127, 1), (128, 2), (2**15, 4), (2**31, 8), (-(2**63), 8)):
+        made = topk.narrow(np.array([[top, 0], [1, -1]], np.int64))
+        assert made.itemsize == width and made.tolist() == [[top, 0], [1, -1]]
+    assert topk.narrow(np.zeros((0, 3), np.int64)).itemsize == 1
+
+
 def test_url_rules(spark):
     urls = [
         "https://A.Example.COM/de/x?y#z", "https://example.net/en/1", "http://sub.example.net/fr/1", "https://x.org/fr/", "https://x.org/FR/", "no scheme", None, "a://b://c/d", "https://example.com?x=/de/", "http://casino-win.example.com/en/1",
