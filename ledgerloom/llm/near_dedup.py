@@ -11,8 +11,10 @@ Texts that agree on a band of coordinates are candidates. They meet in rounds, n
 bucket that still holds texts of several groups names one leader, and the texts of other groups are compared with it.
 The first leader is the text with the most companions over all its buckets, the centre of its group: nearly every link
 of a group runs through it. Later leaders are texts that stand outside the bucket's largest group. A round makes at most
-as many pairs as there are places in buckets, and a bucket of up to ROUNDS + 1 texts is compared in full. With
-``rounds=None`` every text outside its bucket's largest group leads once: no link between texts of one bucket is lost.
+as many pairs as there are places in buckets, and a bucket of up to ROUNDS + 1 texts is compared in full. What the rounds
+leave in larger buckets, the texts that stand outside their bucket's largest group and have not led, is joined exactly:
+of two texts that are similar enough, the rarest runs of each have one in common. So no link between texts of one bucket
+is lost, however large and loose it is.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from ledgerloom.llm.common import Words, give_back, map_texts, mix, settings, shingles, written
 from ledgerloom.llm.exact_dedup import from_files, located, whole
@@ -33,8 +36,7 @@ THRESHOLD = 0.8
 #: Texts with similarity 0.8 share a band with probability 1 - (1 - 0.8**7)**32 = 0.9994.
 BANDS, ROWS = 32, 7
 COORDINATES = BANDS * ROWS
-#: Leaders that a bucket has at most. Over 45,000 texts, 2,200 of them in one loose group, one round leaves 2 of 407,140
-#: links between different groups, and four leave 1 (README).
+#: Leaders that a bucket has at most, before what is left is joined by rare runs.
 ROUNDS = 4
 #: Pairs that a task holds at a time, each with the runs of two whole texts.
 PAIRS_PER_BATCH = 256
@@ -262,11 +264,55 @@ def pairs_with(leaders: DataFrame, members: DataFrame, threshold: float) -> Data
     return both.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
 
 
+def standing(places: DataFrame, roots: DataFrame) -> DataFrame:
+    """The places of buckets with the group (root) of each text, which is its own without a link."""
+    return places.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def still_open(here: DataFrame) -> DataFrame:
+    """The places of buckets of several groups, and the largest group (main) of each."""
+    groups = here.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups"))
+    return written(here.join(groups.where("groups > 1").select("band", "main"), "band"), "near-open")
+
+
+def elements(sets: DataFrame) -> DataFrame:
+    """id, element and weight: a row for every run of the texts."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
+                weight = weight_of(np.frombuffer(batch.column(2)[i].as_buffer(), np.uint32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), batch.column(0)[i].as_py())), pa.array(found), pa.array(weight)], names=["id", "element", "weight"])
+        give_back()
+
+    return sets.select("id", "runs", "times").mapInArrow(run, "id long, element long, weight double")
+
+
+def rare_pairs(texts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of ``texts`` (id, root, total, free) of different groups, one of them free, that can be similar enough: an
+    exact join, that loses no link.
+
+    Runs stand in one order for all texts, those of the fewest texts first. From the first run that two similar texts
+    share, the rest of either text weighs at least what they have in common, which is threshold / (1 + threshold) of
+    both weights. Only runs with such a rest are joined; texts that share no more than common runs never meet.
+    """
+    own = written(elements(sets.join(texts.select("id"), "id", "left_semi")).join(texts, "id"), "near-elements")
+    known = own.groupBy("element").agg(F.count("*").alias("n"))
+    before = W.Window.partitionBy("id").orderBy("n", "element").rowsBetween(W.Window.unboundedPreceding, -1)
+    left = own.join(known, "element").withColumn("rest", F.col("total") - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
+    left = written(left.where((F.col("n") > 1) & (F.col("rest") >= (threshold - 1e-9) * F.col("total"))).select("element", "id", "root", "total", "free", "rest"), "near-rare")
+    lead = left.where("free").select("element", *[F.col(c).alias(f"lead_{c}") for c in ("id", "root", "total", "rest")])
+    common = (threshold / (1 + threshold) - 1e-9) * (F.col("total") + F.col("lead_total"))
+    met = left.join(lead, (left["element"] == lead["element"]) & (F.col("root") != F.col("lead_root")) & (F.least("rest", "lead_rest") >= common))
+    return met.select(F.least("id", "lead_id").alias("a"), F.greatest("id", "lead_id").alias("b")).distinct()
+
+
 def links(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, rounds: int | None = ROUNDS) -> DataFrame:
     """(node, root) of every representative that a link joins to another: the groups of texts.
 
     A round without pairs is no end: its leaders were ruled out by size or tested before, and others come after them. The
-    end is a round without leaders, when no bucket is open, or the last of ``rounds``.
+    end is a round without leaders, when no bucket is open, or the last of ``rounds``; what is then left is joined by rare runs.
     """
     spark = docs.sparkSession
     places = buckets(reps)
@@ -275,12 +321,24 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, rounds
     sets = written(map_texts(texts, runs_of, "runs binary, times binary"), "near-runs")
     roots = spark.createDataFrame([], "node long, root long")
     led = tested = found = None
+
+    def linked(pairs: DataFrame) -> None:
+        """Compare ``pairs`` that were not compared before; ``roots`` are then those of all links."""
+        nonlocal tested, found, roots
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        if not pairs.limit(1).count():
+            return
+        with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": PAIRS_PER_BATCH}):
+            new = written(compared(pairs, sets).where(F.col("sim") >= threshold).select("a", "b"), "near-links")
+        tested = pairs if tested is None else tested.union(pairs)
+        if new.limit(1).count():
+            found = new if found is None else found.union(new)
+            roots = components(found)
+
     for nth in count() if rounds is None else range(rounds):
-        here = places.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        here = standing(places, roots)
         if nth:
-            # Buckets of several groups, and the largest of these.
-            groups = here.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("groups"))
-            here = written(here.join(groups.where("groups > 1").select("band", "main"), "band"), "near-open")
+            here = still_open(here)
             free = here.where("root != main").join(led, ["band", "id"], "left_anti")
             turn = F.xxhash64("central", F.lit(nth))
         else:
@@ -290,16 +348,16 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float = THRESHOLD, rounds
         if not leaders.limit(1).count():
             break
         led = leaders.select("band", "id") if led is None else led.union(leaders.select("band", "id"))
-        pairs = pairs_with(leaders, here, threshold)
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if not pairs.limit(1).count():
-            continue
-        with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": PAIRS_PER_BATCH}):
-            new = written(compared(pairs, sets).where(F.col("sim") >= threshold).select("a", "b"), "near-links")
-        tested = pairs if tested is None else tested.union(pairs)
-        if new.limit(1).count():
-            found = new if found is None else found.union(new)
-            roots = components(found)
+        linked(pairs_with(leaders, here, threshold))
+    else:
+        here = still_open(standing(places, roots))
+        waits = here.where("root != main") if led is None else here.where("root != main").join(led, ["band", "id"], "left_anti")
+        free = written(waits.select("id").distinct(), "near-free")
+        if free.limit(1).count():
+            # Only buckets with a text that waits have anything left.
+            bands = here.join(free, "id", "left_semi").select("band").distinct()
+            texts = here.join(bands, "band", "left_semi").select("id", "root", "total").distinct().join(free.withColumn("free", F.lit(True)), "id", "left")
+            linked(rare_pairs(written(texts.withColumn("free", F.coalesce("free", F.lit(False))), "near-left"), sets, threshold))
     return roots
 
 
@@ -324,8 +382,8 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, rounds: int | None
     class_id is the smallest doc_id among texts that links of similarity ``threshold`` or more connect; one row of each
     class, the first with that doc_id, has kept = true. Copies with the same runs are one node, so groups of any size
     cost one row each. Null and empty texts, and texts without words, are alone: their class_id is their own doc_id.
-    A null doc_id ranks last. An empty table gives no rows. ``rounds=None`` is exact within buckets, at the price of as
-    many rounds as the loosest bucket has texts outside its largest group.
+    A null doc_id ranks last. An empty table gives no rows. No link between texts of one bucket is lost, whatever
+    ``rounds`` is: it only says how many leaders a bucket has before the rest is joined by rare runs (None: no bound).
     """
     rows = classes(docs, threshold, rounds)
     out = rows.join(_kept(rows), "class", "left")

@@ -191,6 +191,23 @@ def test_rounds_without_a_bound_are_exact(spark):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def loose_bucket():
+    """Fourteen pairs and a chain, strangers to each other but for a passage that all have: more than four leaders can join."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [passage + " " + t.replace("w", f"w{k}x") for k in range(14) for t in edited(k, 2, 2)]
+    words = [f"c{i}" for i in range(300)]
+    texts += [" ".join(words[i * 12 : i * 12 + 150]) for i in range(4)]
+    random.Random(8).shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("rounds", [0, 1, near_dedup.ROUNDS])
+def test_what_the_rounds_leave_is_joined_exactly(spark, rounds):
+    texts = loose_bucket()
+    got, want = roots_in_one_bucket(spark, texts, rounds), brute_components(texts)
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) == 15
+
+
 def test_recall_in_a_loose_group(spark):
     """300 copies at 0.3 to 1.0 of each other: rounds of leaders keep at least 0.99 of the links, and add none."""
     texts = edited(5, 300, 16)
