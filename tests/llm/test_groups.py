@@ -208,6 +208,13 @@ def test_what_the_rounds_leave_is_joined_exactly(spark, rounds):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want)) == 15
 
 
+def test_dedup_of_a_loose_bucket_is_exact(spark, monkeypatch):
+    """The pipeline's stage: of every group in one bucket of all texts one row stays."""
+    texts, plain = loose_bucket(), near_dedup.representatives
+    monkeypatch.setattr(near_dedup, "representatives", lambda rows: plain(rows).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    assert near_dedup.deduplicated(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).count() == 15
+
+
 def test_recall_in_a_loose_group(spark):
     """300 copies at 0.3 to 1.0 of each other: rounds of leaders keep at least 0.99 of the links, and add none."""
     texts = edited(5, 300, 16)
