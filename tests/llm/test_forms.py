@@ -321,3 +321,35 @@ def test_pages_without_an_article_against_counting(spark):
     assert got == sorted(map(str, ((p[0], p[1], w) for p, w in zip(pages, want))))
     assert {"One", "Two"} <= set(want) and sum(w != host_texts([p])[0] for p, w in zip(pages, want)) > 50
     assert main_text.extract(table.limit(0)).count() == 0
+
+
+def repeated_blocks(pages):
+    """(blocks outside main text, those that runs of other pages of the host cover) of each page, by counting in sets."""
+    where, streams = defaultdict(set), []
+    for _, url, page in pages:
+        parsed = main_text.Page(page)
+        around = [t for s, t in parsed.blocks if parsed.main == main_text.OPEN or s != parsed.main]
+        stream = [(w, b) for b, t in enumerate(around) for w in [*plain_words(t), None]]
+        host = url.split("/")[2] if url else ""
+        runs = [(host, tuple(w for w, _ in stream[i : i + main_text.RUN])) for i in range(max(len(stream) - main_text.RUN + 1, min(len(stream), 1)))]
+        for r in runs:
+            where[r].add(tuple(t for _, t in parsed.blocks))
+        streams.append((around, stream, runs))
+    out = []
+    for around, stream, runs in streams:
+        hit = {i + j for i, r in enumerate(runs) if len(where[r]) > 1 for j in range(main_text.RUN)}
+        words = Counter(b for w, b in stream if w is not None)
+        found = Counter(b for i, (w, b) in enumerate(stream) if w is not None and i in hit)
+        out.append((len(around), sum(found[b] >= main_text.COVERED * max(words[b], 1) for b in range(len(around)))))
+    return out
+
+
+def test_every_page_goes_through_the_arrays_of_its_host(spark):
+    """Pages with an article too, whose markup decides in the end: what their host repeats is found, and the article stays."""
+    pages = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    menu = "<div>Home and news and all that a menu of ten words has</div>"
+    pages += [(9000 + i, "http://a.example/", f"{menu}<article><p>Text {i}</p>{menu}</article>") for i in range(3)] + [(9010, "http://a.example/", menu + "<p>Open</p>"), (9011, None, None)]
+    got = {r.page_id: r for r in main_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)).collect()}
+    assert {p[0]: (got[p[0]].n_around, got[p[0]].n_repeated) for p in pages} == dict(zip([p[0] for p in pages], repeated_blocks(pages)))
+    assert (got[9000].text, got[9000].n_repeated) == ("Text 0\nHome and news and all that a menu of ten words has", 1)
+    assert got[9010].text == "Open" and sum(got[p[0]].n_repeated > 0 for p in pages) > 50
