@@ -33,8 +33,8 @@ LEXICON_WORDS = 100_000
 LEAST_COUNT = 4
 #: Distinct runs that a task counts before it hands them on.
 COUNTED_CHUNKS = 500_000
-#: A worker keeps the chunks it met last, so many to twice as many.
-CACHE_CHUNKS = 200_000
+#: A task keeps the chunks it met last, so many to twice as many, and none of more than so many characters.
+CACHE_CHUNKS, CACHED_CHARS = 250_000, 64
 
 # White space as the vocabulary's normaliser has it (Unicode White_Space; str.split() also splits at \x1c-\x1f).
 _CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
@@ -220,7 +220,12 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.v, self.lexicon = vocabulary, lexicon
-        self.cache, self.older, self.words, self.older_words = {}, {}, {}, {}
+        self.rare = 0  # words so far that the automaton lacks: they seldom come again and are not kept
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the caches, which fill again as texts need them."""
+        self.cache, self.older = {}, {}
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -236,31 +241,36 @@ class Codec:
 
     def word_ids(self, word: str) -> list[int]:
         spelled = self.v.spelled(word)
-        ids = self.lexicon.find(spelled) if self.lexicon else None
-        return ids if ids is not None else self.v.merge(spelled) if len(spelled) < 40 else self.v.merge_long(spelled)
+        if self.lexicon:
+            if (ids := self.lexicon.find(spelled)) is not None:
+                return ids
+            self.rare += 1
+        return self.v.merge(spelled) if len(spelled) < 40 else self.v.merge_long(spelled)
 
     def word(self, word: str) -> tuple[int, str, str]:
         """Number of ids of a word, the ids in decimal and the decoded tokens."""
-        if (made := self.older_words.get(word)) is None:
-            ids, tokens = self.word_ids(word), self.v.tokens
-            made = (len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids]))
-        if len(self.words) >= CACHE_CHUNKS:
-            self.words, self.older_words = {}, self.words
-        self.words[word] = made
-        return made
+        ids, tokens = self.word_ids(word), self.v.tokens
+        if len(ids) == 1:
+            return 1, str(ids[0]), tokens[ids[0]]
+        return len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
 
     def split(self, chunk: str) -> list[str]:
         """The words of a run without white space."""
         return [chunk] if chunk.isalpha() else self.v.words.findall(chunk)
 
     def chunk(self, chunk: str) -> tuple[int, str, str]:
-        """The same of a run without white space."""
+        """The same of a run without white space. Its words of letters are runs of their own, so one cache has both."""
+        rare = self.rare
         if (made := self.older.get(chunk)) is None:
-            words = [self.words.get(w) or self.word(w) for w in self.split(chunk)]
-            made = words[0] if len(words) == 1 else (sum([w[0] for w in words]), " ".join([w[1] for w in words]), " ".join([w[2] for w in words]))
-        if len(self.cache) >= CACHE_CHUNKS:
-            self.cache, self.older = {}, self.cache
-        self.cache[chunk] = made
+            if chunk.isalpha():
+                made = self.word(chunk)
+            else:
+                words = [(self.cache.get(w) or self.chunk(w)) if w.isalpha() else self.word(w) for w in self.split(chunk)]
+                made = words[0] if len(words) == 1 else (sum([w[0] for w in words]), " ".join([w[1] for w in words]), " ".join([w[2] for w in words]))
+        if self.rare == rare and len(chunk) <= CACHED_CHARS:
+            if len(self.cache) >= CACHE_CHUNKS:
+                self.cache, self.older = {}, self.cache
+            self.cache[chunk] = made
         return made
 
     def parts(self, text: str | None) -> list[tuple[int, str, str]]:
@@ -357,8 +367,8 @@ def ship_lexicon(docs: DataFrame, vocabulary: str, limit: int = LEXICON_WORDS) -
 def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None) -> DataFrame:
     """Token ids of every document: the columns of ``docs`` and ids array<int>. Null and empty texts have no ids."""
     texts = docs.withColumn("_text", F.col("text").cast("string"))
-    coded = map_texts(texts, lambda x: {"ids": [_codec(vocabulary, lexicon).encode(t) for t in x]}, "ids array<int>", "_text")
-    return coded
+    ids = lambda x: {"ids": [_codec(vocabulary, lexicon).encode(t) for t in x]}
+    return map_texts(texts, ids, "ids array<int>", "_text", after=lambda: _codec(vocabulary, lexicon).forget())
 
 
 def decode(coded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -392,4 +402,4 @@ def round_trip(docs: DataFrame, vocabulary: str, limit: int = LEXICON_WORDS) ->
             decoded.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
         return {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
 
-    return map_texts(docs, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", after=lambda: _codec(vocabulary, lexicon).forget())

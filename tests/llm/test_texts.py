@@ -1,11 +1,13 @@
 """Operators on single texts: BPE, licenses, quality, toxicity and language, with odd rows throughout."""
 
+import gc
 import hashlib
 import random
 import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -55,6 +57,32 @@ def test_bpe_on_the_documents(spark, reference):
     assert got == {r.doc_id: expected(reference, r.text) for r in docs.select("doc_id", "text").collect()}
 
 
+def test_bpe_leaves_no_chunks_in_workers(spark):
+    def held(batches):
+        list(batches)
+        codecs = [x for x in gc.get_objects() if isinstance(x, bpe.Codec)]
+        yield pa.RecordBatch.from_pydict({"n": [sum(len(d) for c in codecs for d in vars(c).values() if isinstance(d, dict))]})
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(8)
+    assert bpe.round_trip(docs, VOCABULARY).where("n_tokens > 0").count()
+    bpe.encode(docs, VOCABULARY).collect()
+    assert {r.n for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()} == {0}
+
+
+def test_bpe_caches_are_bounded(reference, tmp_path, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 50)
+    letters = "abcdefghij"
+    words = [a + b + c for a in letters for b in letters for c in letters]
+    text = " ".join(words + [w + "," for w in words] + ["x" * 100_000 + "!"] + words[:30])
+    v = bpe.Vocabulary(VOCABULARY)
+    bpe.save_lexicon(bpe.compile_lexicon({w: v.merge(w) for w in words[:30]}), tmp_path / "l")
+    for lexicon, most in ((None, 100), (bpe.Lexicon(tmp_path / "l"), 30)):
+        codec = bpe.Codec(v, lexicon)
+        assert codec.encode(text) == reference.encode(text, add_special_tokens=False).ids
+        caches = [d for d in vars(codec).values() if isinstance(d, dict)]
+        assert 30 <= sum(map(len, caches)) <= most and max(len(c) for d in caches for c in d) <= 64
+
+
 def test_bpe_keeps_ids_and_texts(spark, reference):
     docs = table(spark, ODD[:4] + ["hello world"]).select("doc_id", "text")
     coded = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
