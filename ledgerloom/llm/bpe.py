@@ -2,21 +2,26 @@
 
 The corpus is counted once by a grouped aggregation; its most frequent words are compiled, with their token ids as
 outputs, into a shared-suffix automaton whose flat arrays every executor memory-maps. A word that the automaton lacks
-is merged exactly by the ranks of the vocabulary, so the size of the automaton never changes a result.
+is merged exactly by the ranks of the vocabulary, so the size of the automaton never changes a result. Words go through
+both by the thousand, as columns of a matrix of bytes, each distinct run of a step once.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import os
 import re
+import string
 import tempfile
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +40,16 @@ LEAST_COUNT = 4
 COUNTED_CHUNKS = 500_000
 #: A task keeps the chunks it met last, so many to twice as many, and none of more than so many characters.
 CACHE_CHUNKS, CACHED_CHARS = 250_000, 64
+#: Words that are looked up or merged together, and the bytes of one at most; a longer word is merged by itself.
+BLOCK_WORDS, BLOCK_BYTES = 4096, 64
 
 # White space as the vocabulary's normaliser has it (Unicode White_Space; str.split() also splits at \x1c-\x1f).
 _CHUNK = re.compile("[^\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
+#: Marks that are one word where they end a run; an apostrophe may begin another.
+_MARKS = "".join(c for c in string.punctuation if c != "'")
+#: The rank of a pair that does not merge.
+_NONE = np.iinfo(np.int32).max
 
 
 class Vocabulary:
@@ -60,25 +71,66 @@ class Vocabulary:
         rest = [b for b in range(256) if b not in set(plain)]
         self.letters = {b: chr(256 + i) for i, b in enumerate(rest)}
 
+        #: code point of the letter of each byte, and its id inside a word and at its end
+        spelled = [self.letters.get(b, chr(b)) for b in range(256)]
+        self.codes = np.array([ord(x) for x in spelled], np.int64)
+        self.inside = np.array([self.ids[x] for x in spelled], np.int64)
+        self.last = np.array([self.ids[x + self.end] for x in spelled], np.int64)
+        #: pairs of ids that merge in sorted order, with their ranks, then one that no pair reaches; by rank the id that comes of it
+        keys = np.array([self.ids[a] << 32 | self.ids[b] for a, b in self.ranks], np.int64)
+        order = np.argsort(keys)
+        self.pairs = np.append(keys[order], np.iinfo(np.int64).max)
+        self.pair_ranks = np.append(np.array(list(self.ranks.values()), np.int64)[order], _NONE)
+        self.merged = np.zeros(len(spec["model"]["merges"]), np.int64)
+        self.merged[list(self.ranks.values())] = [self.ids[a + b] for a, b in self.ranks]
+        #: ranks of pairs of bytes, the second one inside a word or at its end
+        self.first_ranks = np.stack([self.rank(self.inside[:, None], x[None, :]) for x in (self.inside, self.last)])
+
     def spelled(self, word: str) -> str:
         if word.isascii() and word.isalnum():
             return word
         return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
 
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; -1 is no id and merges with none."""
+        key = left << 32 | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], _NONE)
+
+    def merge_columns(self, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has. ``data``: their bytes, a word in each column.
+
+        The pair of lowest rank of every word merges at once, the leftmost of equals, until none has a pair. Parts are
+        linked by their places in the flat matrix; one more row, of no ids, stands before and after all words.
+        """
+        (rows, m), row = data.shape, np.arange(len(data))[:, None]
+        columns, shift = np.arange(m), max(rows - 1, 1).bit_length()
+        ids = np.full((rows + 1, m), -1)
+        ids[:rows] = np.where(row < lengths, self.inside[data], -1)
+        ids[lengths - 1, columns] = self.last[data[lengths - 1, columns]]
+        best = np.full((rows + 1, m), _NONE << shift)  # rank of the pair that begins here, then its row
+        ranks = self.first_ranks[(row[:-1] == lengths - 2).astype(np.int8), data[:-1], data[1:]]
+        best[: rows - 1] = np.where(row[:-1] < lengths - 1, ranks, _NONE) << shift | row[:-1]
+        at = np.arange((rows + 1) * m).reshape(rows + 1, m)
+        after, before = at + m, at - m
+        after[lengths - 1, columns], before[0] = at[rows], at[rows]
+        ids_at, best_at, after, before = ids.ravel(), best.ravel(), after.ravel(), before.ravel()
+        while len(on := np.flatnonzero((least := best[:rows].min(axis=0)) < _NONE << shift)):
+            rank, i = least[on] >> shift, (least[on] & (1 << shift) - 1) * m + on
+            j, made = after[i], self.merged[rank]
+            k, h = after[j], before[i]
+            ids_at[i], ids_at[j], best_at[j] = made, -1, _NONE << shift
+            after[i], before[k] = k, i
+            best_at[i] = self.rank(made, ids_at[k]) << shift | i // m
+            best_at[h] = self.rank(ids_at[h], made) << shift | h // m
+        alive = ids[:rows].T >= 0
+        return ids[:rows].T[alive], alive.sum(axis=1)
+
     def merge(self, word: str) -> list[int]:
         """Ids of one spelled word: the pair of lowest rank merges first, the leftmost of equals."""
-        parts, rank, none = list(word), self.ranks.get, 1 << 60
-        parts[-1] += self.end
-        ranks = [rank(pair, none) for pair in zip(parts, parts[1:])]
-        while ranks and (least := min(ranks)) < none:
-            i = ranks.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
-            if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), none)
-        return [self.ids[p] for p in parts]
+        bytes_of = {x: b for b, x in self.letters.items()}
+        data = np.array([bytes_of.get(x, ord(x)) for x in word], np.uint8)
+        return self.merge_columns(data[:, None], np.array([len(word)]))[0].tolist()
 
     def merge_long(self, word: str) -> list[int]:
         """As ``merge`` for words of any length, in n log n steps: a heap of pairs over a linked list of parts."""
@@ -192,27 +244,64 @@ class Lexicon:
         data = np.memmap(path, dtype=np.int32, mode="r")
         at = len(ARRAYS)
         for name, n in zip(ARRAYS, data[: len(ARRAYS)].tolist()):
-            setattr(self, name, memoryview(data[at : at + n]))
+            setattr(self, name, np.asarray(data[at : at + n]))
             at += n
+        #: (state, letter) of each arc in sorted order, then one that no word reaches
+        self.arcs = np.append(np.repeat(np.arange(len(self.first) - 1), np.diff(self.first)) << 32 | self.letters, np.iinfo(np.int64).max)
+
+    def places(self, letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Places of words in sorted order, -1 for those that it lacks. ``letters``: their code points, a word in each column."""
+        state, place = np.zeros((2, len(lengths)), np.int64)
+        on = np.arange(len(lengths))
+        for row, codes in enumerate(letters):
+            on = on[lengths[on] > row]
+            key = state[on] << 32 | codes[on]
+            at = np.searchsorted(self.arcs, key)
+            known = self.arcs[at] == key
+            place[on[~known]], at, on = -1, at[known], on[known]
+            place[on] += self.skipped[at]
+            state[on] = self.targets[at]
+        # a word that fell out of the automaton stands in the state before
+        return np.where((place >= 0) & (self.final[state] > 0), place, -1)
 
     def find(self, word: str) -> list[int] | None:
-        first, letters, targets, skipped = self.first, self.letters, self.targets, self.skipped
-        state = place = 0
-        for c in map(ord, word):
-            a, b = first[state], first[state + 1]
-            while a < b:
-                m = (a + b) >> 1
-                if letters[m] < c:
-                    a = m + 1
-                else:
-                    b = m
-            if a >= first[state + 1] or letters[a] != c:
-                return None
-            place += skipped[a]
-            state = targets[a]
-        if not self.final[state]:
-            return None
-        return list(self.ids[self.starts[place] : self.starts[place + 1]])
+        codes = np.array([ord(c) for c in word], np.int64)
+        place = self.places(codes[:, None], np.array([len(word)]))[0]
+        return None if place < 0 else self.ids[self.starts[place] : self.starts[place + 1]].tolist()
+
+    def found(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at these places, one after the other, and how many each has."""
+        begin = self.starts[places].astype(np.int64)
+        n = self.starts[places + 1] - begin
+        return self.ids[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+
+
+def columns(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(which, lengths, bytes): words of up to BLOCK_BYTES bytes as columns, those of like length together."""
+    if not words:
+        return
+    data = np.frombuffer((" ".join(words) + " ").encode("utf-8", "surrogatepass"), np.uint8)  # no word has a space
+    ends = np.flatnonzero(data == 32)
+    lengths = np.diff(ends, prepend=-1) - 1
+    order = np.argsort(lengths, kind="stable")
+    order = order[: np.searchsorted(lengths[order], BLOCK_BYTES, side="right")]
+    for a in range(0, len(order), BLOCK_WORDS):
+        which = order[a : a + BLOCK_WORDS]
+        n = lengths[which]
+        row = np.arange(n[-1])[:, None]
+        yield which, n, np.where(row < n, data[np.minimum(ends[which] - n + row, ends[which])], 0)
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Inside, tuples come by the hundred thousand and no cycles: the collector would go through them again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 class Codec:
@@ -220,7 +309,7 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.v, self.lexicon = vocabulary, lexicon
-        self.rare = 0  # words so far that the automaton lacks: they seldom come again and are not kept
+        self.names = [str(i) for i in range(max(vocabulary.tokens) + 1)]
         self.forget()
 
     def forget(self) -> None:
@@ -239,53 +328,80 @@ class Codec:
         text = self.normal(text)
         return _CHUNK.findall(text) if _ODD.search(text) else text.split()
 
-    def word_ids(self, word: str) -> list[int]:
-        spelled = self.v.spelled(word)
-        if self.lexicon:
-            if (ids := self.lexicon.find(spelled)) is not None:
-                return ids
-            self.rare += 1
-        return self.v.merge(spelled) if len(spelled) < 40 else self.v.merge_long(spelled)
-
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Number of ids of a word, the ids in decimal and the decoded tokens."""
-        ids, tokens = self.word_ids(word), self.v.tokens
-        if len(ids) == 1:
-            return 1, str(ids[0]), tokens[ids[0]]
-        return len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
-
     def split(self, chunk: str) -> list[str]:
         """The words of a run without white space."""
-        return [chunk] if chunk.isalpha() else self.v.words.findall(chunk)
-
-    def chunk(self, chunk: str) -> tuple[int, str, str]:
-        """The same of a run without white space. Its words of letters are runs of their own, so one cache has both."""
-        rare = self.rare
-        if (made := self.older.get(chunk)) is None:
-            if chunk.isalpha():
-                made = self.word(chunk)
+        if chunk.isalpha():
+            return [chunk]
+        stem = chunk.rstrip(_MARKS)
+        if stem.isalpha():
+            return [stem, chunk[len(stem) :]]
+        return self.v.words.findall(chunk) if stem else [chunk]
+
+    def words(self, words: list[str]) -> tuple[list[tuple[int, str, str]], set[str]]:
+        """Of each word the number of ids, the ids in decimal and the decoded tokens; and the words that the automaton lacks."""
+        made: list = [None] * len(words)
+        rare = []
+
+        def put(which: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+            ids, names, tokens, a = ids.tolist(), self.names, self.v.tokens, 0
+            for w, n in zip(which.tolist(), counts.tolist()):
+                if n == 1:
+                    made[w] = 1, names[ids[a]], tokens[ids[a]]
+                else:
+                    own = ids[a : a + n]
+                    made[w] = n, " ".join([names[i] for i in own]), " ".join([tokens[i] for i in own])
+                a += n
+
+        for which, lengths, data in columns(words):
+            if self.lexicon:
+                places = self.lexicon.places(self.v.codes[data], lengths)
+                put(which[places >= 0], *self.lexicon.found(places[places >= 0]))
+                which, lengths, data = which[places < 0], lengths[places < 0], data[:, places < 0]
+                rare += which.tolist()
+            if len(which):
+                put(which, *self.v.merge_columns(data, lengths))
+        for w, word in enumerate(words):
+            if made[w] is None:
+                ids = np.array(self.v.merge_long(self.v.spelled(word)))
+                put(np.array([w]), ids, np.array([len(ids)]))
+                rare.append(w)
+        return made, {words[w] for w in rare} if self.lexicon else set()
+
+    def learn(self, chunks: set[str]) -> dict[str, tuple[int, str, str]]:
+        """The same of runs without white space that the cache lacks. It keeps those of words of the automaton: others seldom come again."""
+        made = {c: p for c in chunks if (p := self.older.get(c))}
+        split = {c: self.split(c) for c in chunks if c not in made}
+        known = made | {w: p for w in chain.from_iterable(split.values()) if (p := self.cache.get(w) or self.older.get(w))}
+        new = list({w for w in chain.from_iterable(split.values()) if w not in known})
+        coded, rare = self.words(new)
+        known.update(zip(new, coded))
+        keep = [*made, *[w for w in new if w not in rare]]
+        for c, words in split.items():
+            if len(words) == 1:
+                made[c] = known[words[0]]
             else:
-                words = [(self.cache.get(w) or self.chunk(w)) if w.isalpha() else self.word(w) for w in self.split(chunk)]
-                made = words[0] if len(words) == 1 else (sum([w[0] for w in words]), " ".join([w[1] for w in words]), " ".join([w[2] for w in words]))
-        if self.rare == rare and len(chunk) <= CACHED_CHARS:
-            if len(self.cache) >= CACHE_CHUNKS:
-                self.cache, self.older = {}, self.cache
-            self.cache[chunk] = made
+                parts = [known[w] for w in words]
+                made[c] = sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+                if rare.isdisjoint(words):
+                    keep.append(c)
+        for c in keep:
+            if len(c) <= CACHED_CHARS:
+                if len(self.cache) >= CACHE_CHUNKS:
+                    self.cache, self.older = {}, self.cache
+                self.cache[c] = made[c] if c in made else known[c]
         return made
 
-    def parts(self, text: str | None) -> list[tuple[int, str, str]]:
-        """Of a text in order: each special token and each run of which tokens come."""
-        out = []
-        for segment in self.segments(text or ""):
-            if segment in self.v.special:
-                out.append((1, str(self.v.special[segment]), segment))
-            else:
-                known, made = self.cache.get, self.chunk
-                out += [p for c in self.chunks(segment) if (p := known(c) or made(c))[0]]
-        return out
+    def parts(self, texts: list[str | None]) -> list[list[tuple[int, str, str]]]:
+        """Of each text in order: each special token and each run of which tokens come."""
+        marks = {" " + s: (1, str(i), s) for s, i in self.v.special.items()}  # no run has a space
+        runs = [[c for s in self.segments(t or "") for c in ([" " + s] if s in self.v.special else self.chunks(s))] for t in texts]
+        with uncollected():
+            parts = [list(map(self.cache.get, run)) for run in runs]
+            made = self.learn({c for run, found in zip(runs, parts) for c, p in zip(run, found) if p is None}.difference(marks)) | marks
+            return [[q for p, c in zip(found, run) if (q := p or made[c])[0]] for run, found in zip(runs, parts)]
 
     def encode(self, text: str | None) -> list[int]:
-        return [int(i) for p in self.parts(text) for i in p[1].split()]
+        return [int(i) for p in self.parts([text])[0] for i in p[1].split()]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by one space, special ones too; ids outside the vocabulary are left out."""
@@ -312,7 +428,7 @@ def word_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
         codec = _codec(vocabulary, None)
 
         def summed(chunks: Counter) -> pa.RecordBatch:
-            words: Counter = Counter()
+            words: dict[str, int] = defaultdict(int)
             for c, n in chunks.items():
                 for w in codec.split(c):
                     words[w] += n
@@ -352,8 +468,9 @@ def frequent_words(docs: DataFrame, vocabulary: str, limit: int = LEXICON_WORDS)
 def ship_lexicon(docs: DataFrame, vocabulary: str, limit: int = LEXICON_WORDS) -> str:
     """Compile the automaton of the frequent words, send its file to every executor and return the file's name."""
     v = _vocabulary(vocabulary)
-    spelled = [v.spelled(w) for w in frequent_words(docs, vocabulary, limit)]
-    arrays = compile_lexicon({w: v.merge_long(w) for w in spelled})
+    words = frequent_words(docs, vocabulary, limit)
+    ids = ([int(i) for i in p[1].split()] for p in Codec(v).words(words)[0])
+    arrays = compile_lexicon(dict(zip(map(v.spelled, words), ids)))
     context = docs.sparkSession.sparkContext
     name = "lexicon-" + hashlib.sha256(b"".join(arrays[a].tobytes() for a in ARRAYS)).hexdigest()[:24]
     if (context.applicationId, name) not in _shipped:
@@ -367,7 +484,7 @@ def ship_lexicon(docs: DataFrame, vocabulary: str, limit: int = LEXICON_WORDS) -
 def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None) -> DataFrame:
     """Token ids of every document: the columns of ``docs`` and ids array<int>. Null and empty texts have no ids."""
     texts = docs.withColumn("_text", F.col("text").cast("string"))
-    ids = lambda x: {"ids": [_codec(vocabulary, lexicon).encode(t) for t in x]}
+    ids = lambda x: {"ids": [[int(i) for p in parts for i in p[1].split()] for parts in _codec(vocabulary, lexicon).parts(x)]}
     return map_texts(texts, ids, "ids array<int>", "_text", after=lambda: _codec(vocabulary, lexicon).forget())
 
 
@@ -393,13 +510,12 @@ def round_trip(docs: DataFrame, vocabulary: str, limit: int = LEXICON_WORDS) ->
     lexicon = ship_lexicon(docs, vocabulary, limit)
 
     def digests(texts: list[str | None]) -> dict:
-        codec = _codec(vocabulary, lexicon)
         n, ids, decoded = [], [], []
-        for t in texts:
-            parts = codec.parts(t)
-            n.append(sum([p[0] for p in parts]))
-            ids.append(hashlib.sha256(" ".join([p[1] for p in parts]).encode()).hexdigest())
-            decoded.append(hashlib.sha256(" ".join([p[2] for p in parts]).encode()).hexdigest())
+        for parts in _codec(vocabulary, lexicon).parts(texts):
+            counts, numbers, tokens = zip(*parts) if parts else ((), (), ())
+            n.append(sum(counts))
+            ids.append(hashlib.sha256(" ".join(numbers).encode()).hexdigest())
+            decoded.append(hashlib.sha256(" ".join(tokens).encode()).hexdigest())
         return {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
 
     return map_texts(docs, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string", after=lambda: _codec(vocabulary, lexicon).forget())

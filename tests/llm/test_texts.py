@@ -3,7 +3,9 @@
 import gc
 import hashlib
 import random
+import sys
 import time
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -83,6 +85,28 @@ def test_bpe_caches_are_bounded(reference, tmp_path, monkeypatch):
         assert 30 <= sum(map(len, caches)) <= most and max(len(c) for d in caches for c in d) <= 64
 
 
+def test_bpe_codes_words_together(reference, tmp_path, monkeypatch):
+    """Few Python calls a word, and the library's ids: ties, words of many bytes, blocks of every size, runs with marks."""
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 2000)
+    rnd, v = random.Random(5), bpe.Vocabulary(VOCABULARY)
+    words = {"".join(rnd.choices("etaoinsé漢ß", k=rnd.randint(1, 16))) for _ in range(9_000)}
+    words |= {x * n for x in ("a", "é", "ab", "!", "'s") for n in (1, 2, 31, 32, 33, 63, 64, 65, 200)}
+    words = sorted(words | {w + m for w in sorted(words)[::5] for m in (".", "!!", "'s", "'", ",'ve", "7", "--9")})
+    alike = [w for w in words if w.isalpha() and w.isascii()][::3]
+    bpe.save_lexicon(bpe.compile_lexicon({w: v.merge_long(w) for w in alike}), tmp_path / "l")
+    text = " ".join(words)
+    for lexicon in (None, bpe.Lexicon(tmp_path / "l")):
+        codec, calls = bpe.Codec(v, lexicon), Counter()
+        sys.setprofile(lambda frame, event, arg: calls.update([event]))
+        try:
+            got = codec.encode(text)
+        finally:
+            sys.setprofile(None)
+        assert got == reference.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text) == got and calls["call"] < 2 * len(words)
+        assert [codec.encode(w) for w in words[::50]] == [reference.encode(w, add_special_tokens=False).ids for w in words[::50]]
+
+
 def test_bpe_keeps_ids_and_texts(spark, reference):
     docs = table(spark, ODD[:4] + ["hello world"]).select("doc_id", "text")
     coded = bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY)
