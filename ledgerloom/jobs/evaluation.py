@@ -207,9 +207,9 @@ def audit_two_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH r AS (SELECT s_suppkey AS id, s_name AS a, CAST(round(s_acctbal) AS BIGINT) AS n, s_suppkey % 7 + 3 AS d FROM supplier), p AS (SELECT x.id, x.a, y.a AS b, round(x.n::DOUBLE / x.d * 100, 2) AS r1, round(y.n::DOUBLE / y.d * 100, 2) AS r2 FROM r x JOIN r y ON y.id = x.id + 1)
 SELECT id, CASE WHEN id % 4 = 1 THEN 'D9 arithmetic' WHEN id % 4 = 3 THEN 'D9 winner' WHEN r1 = r2 THEN 'D9 no winner' ELSE 'ok' END AS defect FROM p""")
 def audit_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratios of each supplier and the next: some with a wrong ratio, some with the loser as winner."""
+    """Ratios of each supplier and the next: some with a wrong ratio, some with the loser as winner. Two may bear one name, so keys tell who won."""
     s, k = read(spark, sf_dir, "supplier"), F.col("s_suppkey")
-    r = s.select(k.alias("id"), F.col("s_name").alias("a"), F.round("s_acctbal").cast("bigint").cast("double").alias("n"), (k % 7 + 3).cast("double").alias("d"))
+    r = s.select(k.alias("id"), k.alias("a"), F.round("s_acctbal").cast("bigint").cast("double").alias("n"), (k % 7 + 3).cast("double").alias("d"))
     p = r.join(r.select((F.col("id") - 1).alias("id"), F.col("a").alias("b"), F.col("n").alias("n2"), F.col("d").alias("d2")), "id")
     r1, r2, k = F.round(F.col("n") / F.col("d") * 100, 2), F.round(F.col("n2") / F.col("d2") * 100, 2), F.col("id") % 4
     told = F.when((r1 > r2) == (k != 3), F.col("a")).otherwise(F.col("b"))
