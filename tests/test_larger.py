@@ -4,8 +4,11 @@ import os
 
 import pytest
 from compare import connect, rows_of, sql_rows
+from pyspark.sql import functions as F
 
+from ledgerloom.jobs import files as file_jobs
 from ledgerloom.jobs import registry
+from ledgerloom.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +28,17 @@ def same_as_sql(spark, name, folder, **tables):
 def test_winners_of_equal_ratios_and_of_equal_names(spark, tmp_path, name, balance):
     rows = [(k, name(k), 1, balance(k)) for k in range(40)]
     same_as_sql(spark, "audit_ratios", tmp_path, supplier=spark.createDataFrame(rows, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"))
+
+
+def test_pages_are_filed_in_bundles(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(file_jobs, "shared_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    pages = file_jobs._filed_pages(spark, SF)
+    assert pages.select("path").distinct().count() == pages.count() == spark.sql(f"SELECT DISTINCT c_nationkey, c_custkey div 40 FROM parquet.`{SF}/customer.parquet`").count()
+    assert len([f for _, _, names in os.walk(tmp_path) for f in names if f.endswith(".txt")]) < 10
+
+
+def test_bundled_pages_come_back(spark):
+    rows = [("/a/1", "<p>x</p>"), ("/b", "<pre>two\nlines\n</pre>\n"), ("/c", ""), ("/d", "$1 <!-- page: not at a line's start -->")]
+    lines = spark.createDataFrame(rows, "name string, html string").coalesce(1).select(files.bundled(F.col("name"), F.col("html")).alias("v"))
+    text = lines.groupBy().agg(F.concat(F.array_join(F.collect_list("v"), "\n"), F.lit("\n")).alias("text"))
+    assert sorted(map(tuple, files.pages_of(text, "text").collect())) == rows
