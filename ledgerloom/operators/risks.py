@@ -28,42 +28,52 @@ def item_labels(questions: DataFrame, evidence: DataFrame) -> DataFrame:
     first characters are one (subject), else the company's whole evidence answers (company). Periods, in either calendar,
     hold where any row has them. Questions without evidence are left out.
 
-    Companies, items and subjects are matched as distinct names, and a question meets the labels of its item only by
-    equality; labels of a whole company are one row per period before questions meet them.
+    Questions that ask for the same are one until their answer is known. Companies, items and subjects are matched as
+    distinct names, evidence is one row per item, period and label of all companies that a start means, and a question
+    meets the labels of its item, or of the whole company, only by equality.
     """
-    asked = kept(questions.select("qid", "question", "company", "subject", "quarter"), "risk-questions")
+    start = F.coalesce(F.substring("company", 1, COMPANY), F.lit("")).alias("start")
+    sub = F.when(F.length("subject") >= SUBJECT_LEAST, F.substring("subject", 1, SUBJECT)).otherwise("").alias("sub")
+    asked = questions.select("qid", start, "question", sub, "quarter")
+    spec = ["start", "question", "sub", "quarter"]
+    specs = asked.select(*spec).distinct()
     native = texts.native_part(F.coalesce("item_name", F.lit("")))
     rows = evidence.where("label IS NOT NULL AND trim(label) != ''").select(F.coalesce("company_name", F.lit("")).alias("company_name"), F.coalesce("item_name", F.lit("")).alias("item_name"), native.alias("native"), F.coalesce("period", F.lit("")).alias("period"), "label", "seq")
     rows = kept(rows.groupBy("company_name", "item_name", "native", "period", "label").agg(F.min("seq").alias("seq")), "risk-evidence")
-    every = F.lit("*")  # the scope of a question without a company: each row counts for its company and for all
-    scopes = rows.select("*", F.explode(F.array(F.concat(F.lit("="), "company_name"), every)).alias("scope"))
     names = rows.select("company_name").distinct()
-    starts = asked.select(F.substring("company", 1, COMPANY).alias("start")).where("start != ''").distinct()
-    held = contained(names.withColumn("t", F.col("company_name")), starts, "company_name", "t", "start").select("start", F.concat(F.lit("="), "company_name").alias("scope"))
-    scoped = asked.withColumn("start", F.substring("company", 1, COMPANY)).join(held, "start", "left").select("qid", "quarter", F.coalesce("scope", every).alias("scope"))
-    scoped = kept(scoped, "risk-scopes")
+    starts = specs.select("start").where("start != ''").distinct()
+    held = kept(contained(names.withColumn("t", F.col("company_name")), starts, "company_name", "t", "start").select("start", "company_name"), "risk-starts")
+    every, scope = F.lit("*"), F.concat(F.lit("="), "start").alias("scope")  # the scope of a question without a company is all rows
+    scopes = rows.withColumn("scope", every).unionByName(rows.join(held.select("company_name", scope), "company_name")).drop("company_name")
+    scopes = kept(scopes.groupBy("scope", "item_name", "native", "period", "label").agg(F.min("seq").alias("seq")), "risk-scopes")
+    specs = specs.join(held.select("start", scope).distinct(), "start", "left").withColumn("scope", F.coalesce("scope", every))
+    specs = kept(specs.withColumn("spec", F.monotonically_increasing_id()), "risk-questions")
 
     natives = rows.select("native").where(F.length("native") >= NATIVE_LEAST).distinct()
-    met = contained(asked.select("qid", "question"), natives, "qid", "question", "native").select("qid", "native")
+    met = contained(specs.select("question").distinct().withColumn("t", F.col("question")), natives, "question", "t", "native").select("question", "native")
     known = scopes.select("scope", "native").distinct()
-    best = scoped.join(met, "qid").join(known, ["scope", "native"]).groupBy("qid").agg(F.max(F.struct(F.length("native").alias("n"), "native")).alias("b")).select("qid", F.col("b.native").alias("native"))
+    best = specs.join(met, "question").join(known, ["scope", "native"]).groupBy("spec").agg(F.max(F.struct(F.length("native").alias("n"), "native")).alias("b")).select("spec", F.col("b.native").alias("native"))
     best = kept(best, "risk-native")
-    by_native = best.join(scoped, "qid").join(scopes, ["scope", "native"]).withColumn("by", F.lit("native"))
+    labels = lambda *by: scopes.groupBy("scope", *by, "period", "label").agg(F.min("seq").alias("seq"))
+    by_native = best.join(specs, "spec").join(labels("native"), ["scope", "native"]).withColumn("by", F.lit("native"))
 
-    rest = asked.join(best, "qid", "left_anti")
-    subjects = rest.where(F.length("subject") >= SUBJECT_LEAST).select("qid", F.substring("subject", 1, SUBJECT).alias("start"))
+    rest = specs.join(best, "spec", "left_anti")
+    subjects = rest.where("sub != ''").select("scope", "sub").distinct()
     items = rows.select("item_name").where("item_name != ''").distinct()
-    holding = contained(items.withColumn("t", F.col("item_name")), subjects.select("start").distinct(), "item_name", "t", "start").select("start", "item_name")
-    one = subjects.join(holding, "start").join(scoped, "qid").join(scopes.select("scope", "item_name").distinct(), ["scope", "item_name"])
-    one = kept(one.groupBy("qid").agg(F.min("item_name").alias("item_name"), F.max("item_name").alias("other")).where("item_name = other").drop("other"), "risk-subject")
-    by_subject = one.join(scoped, "qid").join(scopes, ["scope", "item_name"]).withColumn("by", F.lit("subject"))
+    holding = contained(items.withColumn("t", F.col("item_name")), subjects.select("sub").distinct(), "item_name", "t", "sub").select("sub", "item_name")
+    one = subjects.join(holding, "sub").join(scopes.select("scope", "item_name").distinct(), ["scope", "item_name"])
+    one = kept(one.groupBy("scope", "sub").agg(F.min("item_name").alias("item_name"), F.max("item_name").alias("other")).where("item_name = other").drop("other"), "risk-subject")
+    by_subject = rest.join(one, ["scope", "sub"]).join(labels("item_name"), ["scope", "item_name"]).withColumn("by", F.lit("subject"))
 
-    totals = scopes.groupBy("scope", "period", "label").agg(F.min("seq").alias("seq"))
-    by_company = rest.select("qid").join(one, "qid", "left_anti").join(scoped, "qid").join(totals, "scope").withColumn("by", F.lit("company"))
-    columns = ["qid", "quarter", "period", "label", "seq", "by"]
+    by_company = rest.join(one, ["scope", "sub"], "left_anti").join(labels(), "scope").withColumn("by", F.lit("company"))
+    columns = ["spec", "quarter", "period", "label", "seq", "by"]
     found = by_native.select(*columns).unionByName(by_subject.select(*columns)).unionByName(by_company.select(*columns))
-    found = relax_filter(found, ["qid"], (F.col("period") == F.col("quarter")) | (F.col("period") == periods.western_label(F.col("quarter"))))
-    return list_all(found, ["qid", "by"], F.col("label"), "seq", ";").select("qid", F.col("all_values").alias("answer"), "by")
+    found = relax_filter(found, ["spec"], (F.col("period") == F.col("quarter")) | (F.col("period") == periods.western_label(F.col("quarter"))))
+    answers = specs.join(list_all(found, ["spec", "by"], F.col("label"), "seq", ";"), "spec").select(*[F.col(c).alias(f"_{c}") for c in spec], F.col("all_values").alias("answer"), "by")
+    same = F.lit(True)
+    for c in spec:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return asked.join(answers, same).select("qid", "answer", "by")
 
 
 def direct_answers(questions: DataFrame, exposures: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.jobs import files as file_jobs
 from ledgerloom.jobs import registry
+from ledgerloom.operators import risks
 from ledgerloom.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,13 @@ def test_bundled_pages_come_back(spark):
     lines = spark.createDataFrame(rows, "name string, html string").coalesce(1).select(files.bundled(F.col("name"), F.col("html")).alias("v"))
     text = lines.groupBy().agg(F.concat(F.array_join(F.collect_list("v"), "\n"), F.lit("\n")).alias("text"))
     assert sorted(map(tuple, files.pages_of(text, "text").collect())) == rows
+
+
+def test_repeated_questions_on_risks_are_one(spark, monkeypatch):
+    tables, keep = {}, risks.kept
+    monkeypatch.setattr(risks, "kept", lambda df, name: tables.setdefault(name, keep(df, name)))
+    q = spark.range(500).selectExpr("id AS qid", "if(id % 2 = 0, '應付款x', null) AS question", "concat('甲公司股', id % 5) AS company", "'' AS subject", "if(id % 2 = 0, '113Q1', null) AS quarter")
+    e = spark.range(900).selectExpr("concat('甲公司股份', id) AS company_name", "if(id % 3 = 0, '應付款 A', '其他') AS item_name", "'113Q1' AS period", "concat('l', id % 2) AS label", "id AS seq")
+    got = {r.qid: (r.answer, r.by) for r in risks.item_labels(q, e).collect()}
+    assert got == {i: ("l0;l1", "native" if i % 2 == 0 else "company") for i in range(500)}
+    assert tables["risk-questions"].count() == 2 and max(t.count() for name, t in tables.items() if name not in ("risk-evidence", "risk-starts")) < 20
