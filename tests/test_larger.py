@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.jobs import files as file_jobs
 from ledgerloom.jobs import registry
-from ledgerloom.operators import risks
+from ledgerloom.operators import lookup, risks
 from ledgerloom.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +53,11 @@ def test_repeated_questions_on_risks_are_one(spark, monkeypatch):
     got = {r.qid: (r.answer, r.by) for r in risks.item_labels(q, e).collect()}
     assert got == {i: ("l0;l1", "native" if i % 2 == 0 else "company") for i in range(500)}
     assert tables["risk-questions"].count() == 2 and max(t.count() for name, t in tables.items() if name not in ("risk-evidence", "risk-starts")) < 20
+
+
+def test_codes_are_joined_without_repeating_their_sides(spark):
+    rows = [(i, f"COMPANY{i:08}") for i in range(300)]
+    known = spark.createDataFrame(rows, "code long, key string")
+    got = lookup.company_codes(spark.createDataFrame([(i, n if i % 2 else f"ASIA{n}HK") for i, n in rows] + [(-1, ""), (-2, None)], "qid long, name string"), known)
+    assert {r.qid: (r.code, r.tier) for r in got.collect()} == {i: (i, 1 if i % 2 else 2) for i, _ in rows}
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Scan") <= 8
