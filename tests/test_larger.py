@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.jobs import files as file_jobs
 from ledgerloom.jobs import registry
-from ledgerloom.operators import lookup, risks
+from ledgerloom.operators import lookup, relax, risks
+from ledgerloom.shared import kept
 from ledgerloom.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +62,18 @@ def test_codes_are_joined_without_repeating_their_sides(spark):
     got = lookup.company_codes(spark.createDataFrame([(i, n if i % 2 else f"ASIA{n}HK") for i, n in rows] + [(-1, ""), (-2, None)], "qid long, name string"), known)
     assert {r.qid: (r.code, r.tier) for r in got.collect()} == {i: (i, 1 if i % 2 else 2) for i, _ in rows}
     assert got._jdf.queryExecution().sparkPlan().toString().count("Scan") <= 8
+
+
+def test_questions_meet_no_single_suppliers(spark, tmp_path, monkeypatch):
+    met, f = [], relax.relax_filter
+    monkeypatch.setattr(relax, "relax_filter", lambda rows, *a: (met.append(rows.count()), f(rows, *a))[1])
+    customers, suppliers = spark.range(30).selectExpr("id AS c_custkey", "cast(id % 2 as int) AS c_nationkey"), spark.range(600).selectExpr("id AS s_suppkey", "cast(id % 2 as int) AS s_nationkey", "id * 10D AS s_acctbal")
+    same_as_sql(spark, "relax_filters", tmp_path, customer=customers, supplier=suppliers)
+    assert max(met) <= 30 * 14
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    shuffles = lambda: sum(f.startswith("shuffle_") for d, _, names in os.walk(spark.conf.get("spark.local.dir")) for f in names)
+    before = shuffles()
+    made = kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "tidy")
+    assert shuffles() <= before and made.count() == 7
