@@ -77,3 +77,10 @@ def test_shuffle_files_go_once_a_table_is_written(spark):
     before = shuffles()
     made = kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "tidy")
     assert shuffles() <= before and made.count() == 7
+
+
+def test_filed_facts_are_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(file_jobs, "shared_folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    file_jobs._filed(spark, SF)
+    made = [f"{d}/{f}" for d, _, names in os.walk(tmp_path) for f in names if ".csv" in f and not f.endswith(".crc")]
+    assert made and sum(map(os.path.getsize, made)) < 5 * os.path.getsize(f"{SF}/lineitem.parquet")
