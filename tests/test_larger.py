@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.jobs import files as file_jobs
 from ledgerloom.jobs import registry
-from ledgerloom.operators import lookup, relax, risks
+from ledgerloom.operators import fuzzy, lookup, relax, risks
 from ledgerloom.shared import kept
 from ledgerloom.sources import files
 
@@ -84,3 +84,10 @@ def test_filed_facts_are_small(spark, tmp_path, monkeypatch):
     file_jobs._filed(spark, SF)
     made = [f"{d}/{f}" for d, _, names in os.walk(tmp_path) for f in names if ".csv" in f and not f.endswith(".crc")]
     assert made and sum(map(os.path.getsize, made)) < 5 * os.path.getsize(f"{SF}/lineitem.parquet")
+
+
+def test_characters_of_names_are_numbered_before_names_meet(spark):
+    a, b = (spark.createDataFrame([(w,) for w in words], f"{c} string") for c, words in (("a", ["wordbook", "xyz"]), ("b", ["wordbooks", "abc"])))
+    made = fuzzy.candidates(a, b, "a", "b", 0.85)
+    counted = [line for line in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "array_intersect" in line]
+    assert counted and not any("sequence" in line for line in counted) and [tuple(r) for r in made.collect()] == [("wordbook", "wordbooks")]
