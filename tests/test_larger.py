@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.jobs import files as file_jobs
 from ledgerloom.jobs import registry
-from ledgerloom.operators import fuzzy, lookup, relax, risks
+from ledgerloom.operators import discriminate, fuzzy, lookup, relax, risks
 from ledgerloom.shared import kept
 from ledgerloom.sources import files
 
@@ -91,3 +91,12 @@ def test_characters_of_names_are_numbered_before_names_meet(spark):
     made = fuzzy.candidates(a, b, "a", "b", 0.85)
     counted = [line for line in made._jdf.queryExecution().optimizedPlan().toString().split("\n") if "array_intersect" in line]
     assert counted and not any("sequence" in line for line in counted) and [tuple(r) for r in made.collect()] == [("wordbook", "wordbooks")]
+
+
+def test_discriminators_in_slices(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("id % 390 AS id", "id % 9 AS c", "id % 5 AS x", "id % 7 AS y", "if(id % 4 = 0, null, id % 41) AS z")
+    run = lambda: sorted(map(tuple, discriminate.smallest(rows, "id", ["c"], ("x", "y", "z")).collect()))
+    whole, tables, keep = run(), [], discriminate.kept
+    monkeypatch.setattr(discriminate, "SLICE", 300)
+    monkeypatch.setattr(discriminate, "kept", lambda df, name: (tables.append(name), keep(df, name))[1])
+    assert run() == whole and len({r[1] for r in whole}) > 1 and tables.count("discriminate-slice") >= 6
