@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.jobs import files as file_jobs
 from ledgerloom.jobs import registry
-from ledgerloom.operators import discriminate, fuzzy, lookup, relax, risks
+from ledgerloom.operators import discriminate, fuzzy, lookup, paths, relax, risks
 from ledgerloom.shared import kept
 from ledgerloom.sources import files
 
@@ -100,3 +100,13 @@ def test_discriminators_in_slices(spark, monkeypatch):
     monkeypatch.setattr(discriminate, "SLICE", 300)
     monkeypatch.setattr(discriminate, "kept", lambda df, name: (tables.append(name), keep(df, name))[1])
     assert run() == whole and len({r[1] for r in whole}) > 1 and tables.count("discriminate-slice") >= 6
+
+
+def test_paths_of_three_edges_in_slices(spark, monkeypatch):
+    edges = spark.range(60).selectExpr("concat('n', id % 30) AS source", "concat('n', (id * 7 + id div 30) % 41) AS target")
+    asked = spark.range(200).selectExpr("id AS qid", "concat('n', id % 41) AS a", "concat('n', (id * 3 + 1) % 41) AS b")
+    run = lambda: sorted(map(tuple, paths.between(asked, edges, 12).collect()))
+    whole, tables, keep = run(), [], paths.kept
+    monkeypatch.setattr(paths, "SLICE", 40, raising=False)
+    monkeypatch.setattr(paths, "kept", lambda df, name: (tables.append(name), keep(df, name))[1])
+    assert run() == whole and any(r[1] == 3 for r in whole) and tables.count("paths-3") > 1
